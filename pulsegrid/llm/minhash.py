@@ -7,12 +7,13 @@ class from then on.  Band keys give candidate pairs; the packed bits give a
 collision-corrected similarity that drops hopeless ones; the rest are compared
 on their full sets.
 
-Candidates come in rounds and never as all pairs of a bucket.  In the first,
-each bucket proposes its smallest member to all others.  Confirmed links merge
-classes into components; later rounds look only at buckets that still hold
-more than one component, and there propose each component's smallest member to
-those of the others.  When few cross pairs are left they are all compared, so
-that no bucket is left with an unexamined pair of different components.
+Candidates are never all pairs of a bucket.  First each bucket proposes its
+smallest member to all others, and confirmed links merge classes into
+components.  Only buckets that then still hold more than one component are
+looked at again: small ones give their cross pairs, large ones are dealt into
+cells of two bounded blocks of members, each compared inside one task, which
+emits nothing but links.  So no two classes that share a bucket stay in
+different components without having been compared.
 """
 
 from __future__ import annotations
@@ -28,17 +29,20 @@ from pulsegrid.llm.graph import components
 SHINGLE = 5
 #: Bands and minima a band: a pair at 0.75 shares no band once in 190,000 times, at 0.85 once in 10**10.
 BANDS, ROWS = 32, 4
-#: Low bits kept of each minimum.
-BITS = 4
+#: Minima kept in the signature (the first BANDS * ROWS also make the bands), and low bits kept of each.
+MINIMA, BITS = 256, 4
 #: Similarity of a link, in hundredths.
 LINK = 75
-#: Estimates below this go: six standard deviations under a link.
-HOPELESS = 0.50
-
-_N = BANDS * ROWS
-_A = (mix(np.arange(1, _N + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (mix(np.arange(1001, _N + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_LONGS = _N * BITS // 64
+#: Estimates below this go: nearly five standard deviations under a link.
+HOPELESS = 0.62
+#: Buckets up to this size give their cross pairs; larger ones go by blocks of about so many members or shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 24, 384, 300_000
+
+_A = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (mix(np.arange(1001, MINIMA + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+_LONGS = MINIMA * BITS // 64
+_LANES = 0x1111111111111111
+_CHANCE = 1.0 / (1 << BITS)
 _BAND = mix(np.arange(5001, 5001 + BANDS, dtype=np.uint64))
 
 SIGNED = "n_shingles long, fp1 long, fp2 long, bands array<long>, bits array<long>"
@@ -46,10 +50,10 @@ SIGNED = "n_shingles long, fp1 long, fp2 long, bands array<long>, bits array<lon
 
 def minima(shingled: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions over a set."""
-    low = np.full(_N, 0xFFFFFFFF, np.uint32)
+    low = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     h = (shingled >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(h), 2048):
-        part = h[at : at + 2048]
+    for at in range(0, len(h), 1024):
+        part = h[at : at + 1024]
         np.minimum(low, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=low)
     return low
 
@@ -60,7 +64,7 @@ def signature(shingled: np.ndarray):
     with np.errstate(over="ignore"):
         fp1, fp2 = shingled.sum(dtype=np.uint64), mix(shingled).sum(dtype=np.uint64)
         keys = _BAND.copy()
-        for row in low.reshape(BANDS, ROWS).T:
+        for row in low[: BANDS * ROWS].reshape(BANDS, ROWS).T:
             keys = mix(keys ^ row)
     per = 64 // BITS
     kept = (low & np.uint64((1 << BITS) - 1)).reshape(_LONGS, per)
@@ -89,45 +93,101 @@ def _sign(batches):
 def _sets(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("shingled", pa.list_(pa.int64()))])
     for batch in batches:
-        found = [shingle_set(words, SHINGLE).view(np.int64) for words, *_ in hashed_texts(batch.column("text"), lower=True)]
+        found = [np.sort(shingle_set(words, SHINGLE).view(np.int64)) for words, *_ in hashed_texts(batch.column("text"), lower=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, schema.types[1])], schema=schema)
 
 
 def estimated(x: str = "x", y: str = "y"):
-    """Collision-corrected similarity of two packed signatures: equal lanes are counted by bits, and chance equals taken off."""
-    lane = int("1" * (64 // BITS), 16) if BITS == 4 else None
+    """Collision-corrected similarity of two packed signatures: differing lanes are counted by bits, and chance equals taken off."""
     differing = F.lit(0)
     for i in range(_LONGS):
         z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        differing = differing + F.bit_count(z.bitwiseAND(F.lit(lane)))
-    chance = 1.0 / (1 << BITS)
-    return ((F.lit(1.0) - differing / F.lit(float(_N))) - chance) / (1 - chance)
+        differing = differing + F.bit_count(z.bitwiseAND(F.lit(_LANES)))
+    return (F.lit(1.0 - _CHANCE) - differing / F.lit(float(MINIMA))) / (1 - _CHANCE)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingled) of the documents named."""
+    found = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return materialise(found.mapInArrow(_sets, "doc_id long, shingled array<long>"), "sets")
 
 
-def _confirmed(pairs: DataFrame, bits: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the full sets are similar enough."""
+    bits = own.select("doc_id", "bits")
     near = (
-        pairs.join(bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("y")), "b")
-        .join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("x")), "a")
-        .where(estimated() >= HOPELESS)
-        .select("a", "b")
+        pairs.join(bits.toDF("b", "y"), "b").join(bits.toDF("a", "x"), "a").where(estimated() >= HOPELESS).select("a", "b")
     )
     near = materialise(near, "near")
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "doc_id long, shingled array<long>"), "sets")
+    sets = _texts_of(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")))
     common = F.size(F.array_intersect("p", "q"))
     return (
-        near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingled").alias("q")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingled").alias("p")), "a")
+        near.join(sets.toDF("b", "q"), "b")
+        .join(sets.toDF("a", "p"), "a")
         .where(100 * common >= LINK * (F.size("p") + F.size("q") - common))
         .select("a", "b")
     )
 
 
-def near_duplicates(docs: DataFrame, exact_below: int = 200_000, most_rounds: int = 12) -> DataFrame:
+def _lists(column) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """The links between different components in one cell of a large bucket."""
+    ids, comp, blk = (table.column(c).to_numpy() for c in ("doc_id", "component", "blk"))
+    band, lo, hi = (table.column(c)[0].as_py() for c in ("band", "lo", "hi"))
+    bits, keys = _lists(table.column("bits")).view(np.uint64), _lists(table.column("bands"))
+    sets = table.column("shingled")
+    of: dict[int, np.ndarray] = {}
+
+    def get(i):
+        if i not in of:
+            of[i] = sets[i].values.to_numpy(zero_copy_only=False)
+        return of[i]
+
+    a, b = [], []
+    for i in np.flatnonzero(blk == lo):
+        other = (comp != comp[i]) & (ids > ids[i] if lo == hi else blk == hi)
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        z = bits[at] ^ bits[i]
+        z |= z >> np.uint64(1)
+        z |= z >> np.uint64(2)
+        differing = np.bitwise_count(z & np.uint64(_LANES)).sum(axis=1)
+        at = at[(1 - _CHANCE - differing / MINIMA) / (1 - _CHANCE) >= HOPELESS]
+        at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]  # an earlier band has compared those
+        for j in at:
+            p, q = get(i), get(j)
+            if 100 * min(len(p), len(q)) < LINK * max(len(p), len(q)):
+                continue
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * common >= LINK * (len(p) + len(q) - common):
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _inside_large(entries: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components inside large mixed buckets: entries has key, band, doc_id, component, members, weight."""
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    dealt = (
+        entries.withColumn("blocks", blocks)
+        .withColumn("blk", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", "doc_id", "component", "blk", F.least("blk", "x").alias("lo"), F.greatest("blk", "x").alias("hi"))
+    )
+    sets = _texts_of(docs, entries)
+    full = dealt.join(own.select("doc_id", "bits", "bands"), "doc_id").join(sets.groupBy("doc_id").agg(F.first("shingled").alias("shingled")), "doc_id")
+    return full.groupBy("key", "lo", "hi").applyInArrow(_cell, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and split at ASCII blanks; documents are linked
@@ -137,66 +197,43 @@ def near_duplicates(docs: DataFrame, exact_below: int = 200_000, most_rounds: in
     component.  Rows with the same doc_id get the component of that id's rows
     together; a row with a null doc_id takes part in nothing: its component_id
     is null and it is kept.  kept: doc_id = component_id.  Other columns are ignored.
-
-    exact_below: left-over cross pairs of mixed buckets are compared in full
-    once a round of representatives links nothing or this few are left.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialise(docs.mapInArrow(_sign, f"doc_id long, {SIGNED}"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
 
     # classes of equal sets: the smallest id stands for all
-    classes = some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = materialise(
-        some.select("doc_id", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep").distinct(),
-        "classes",
-    )
-    reps = member.select(F.col("rep").alias("doc_id")).distinct()
-    own = some.join(reps, "doc_id", "left_semi")
-    bits = own.groupBy("doc_id").agg(F.min("bits").alias("bits"))
-    entries = own.select("doc_id", F.explode("bands").alias("key"))
+    same = ["fp1", "fp2", "n_shingles"]
+    classes = some.groupBy(same).agg(F.min("doc_id").alias("rep"))
+    member = materialise(some.select("doc_id", *same).join(classes, same).select("doc_id", "rep", "n_shingles").distinct(), "classes")
+    own = some.join(member.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi")
+    entries = own.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last")
-    held = materialise(entries.join(shared.select("key", "lead"), "key").select("key", "lead", "doc_id").distinct(), "buckets")
+    held = materialise(entries.join(shared.select("key", "lead"), "key"), "buckets")
 
     tried = held.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_confirmed(tried, bits, docs), "links")
-    for k in range(most_rounds):
-        label = components(links)
-        placed = held.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        groups = placed.groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        mixed = groups.groupBy("key").agg(
-            F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "component", "first")).alias("top")
-        ).where("parts > 1")
-        mixed = materialise(mixed, "mixed")
-        left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2)).first()[0] or 0
-        if not left:
-            break
-        full = left <= exact_below or k + 1 == most_rounds or (k and not gained)
-        if full:
-            inside = materialise(placed.join(mixed.select("key"), "key"), "inside")
-            y = inside.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            tried = inside.join(y, "key").where("component <> cb and doc_id < b").select(F.col("doc_id").alias("a"), "b").distinct()
-        else:
-            # the largest component of a bucket offers its first member to all members of the others, another one each round
-            tried = (
-                placed.join(mixed.select("key", "top"), "key")
-                .where("component <> top.component")
-                .select(F.least("doc_id", "top.first").alias("a"), F.greatest("doc_id", "top.first").alias("b"))
-                .distinct()
-            )
-        more = materialise(_confirmed(tried, bits, docs), "links")
-        gained = more.count()
-        links = links.unionByName(more)
-        if full:
-            label = components(links) if gained else label
-            break
-    of_class = label.withColumnRenamed("node", "rep")
-    placed = member.join(of_class, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+    links = materialise(_confirmed(tried, own, docs), "links")
+    label = components(links)
+
+    # buckets that still hold several components
+    placed = held.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")
+    ).where("c0 <> c1").drop("c0", "c1")
+    placed = materialise(placed.join(mixed, "key"), "mixed")
+    few = placed.where(F.col("members") <= SMALL).select("key", "doc_id", "component")
+    cross = (
+        few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    )
+    more = materialise(_confirmed(cross, own, docs), "links")
+    large = placed.where(F.col("members") > SMALL)
+    most = materialise(_inside_large(large, own, docs), "links")
+    if not (more.isEmpty() and most.isEmpty()):
+        label = components(links.unionByName(more).unionByName(most))
+
+    of_class = member.select("doc_id", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    of_id = of_class.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    found = F.coalesce("component_id", "doc_id")
+    return signed.select("doc_id", "n_shingles").join(of_id, "doc_id", "left").select(
+        "doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept")
     )
