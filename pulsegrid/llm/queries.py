@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import line_dedup
 from pulsegrid.llm.common import read
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.quality import quality_rules
+from pulsegrid.llm.tokens import token_counts
+
+
+def op1_line_dedup(spark, sf_dir):
+    done = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op10_minhash_near_dedup(spark, sf_dir):
@@ -15,4 +35,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_line_dedup": line_dedup.ORACLE}
