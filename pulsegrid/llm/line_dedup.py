@@ -88,13 +88,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-s AS (SELECT doc_id, list_filter(list_transform(range(1, len(lines) + 1), i -> {'at': i - 1, 's': trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))}), x -> x.s <> '') AS solid FROM d),
-w AS (SELECT doc_id, p, solid[p + 1].s || chr(10) || solid[p + 2].s || chr(10) || solid[p + 3].s AS k, solid[p + 1].at AS a, solid[p + 2].at AS b, solid[p + 3].at AS c
+s AS (SELECT doc_id, list_filter(list_transform(range(1, len(lines) + 1), lambda i: {'ln': i - 1, 's': trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))}), lambda x: x.s <> '') AS solid FROM d),
+w AS (SELECT doc_id, p, solid[p + 1].s || chr(10) || solid[p + 2].s || chr(10) || solid[p + 3].s AS k, solid[p + 1].ln AS a, solid[p + 2].ln AS b, solid[p + 3].ln AS c
       FROM (SELECT doc_id, solid, unnest(range(0, len(solid) - 2)) AS p FROM s WHERE len(solid) >= 3)),
 f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w),
-g AS (SELECT DISTINCT doc_id, at FROM (SELECT doc_id, unnest([a, b, c]) AS at FROM f WHERE n > 1)),
-r AS (SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id)
+g AS (SELECT DISTINCT doc_id, ln FROM (SELECT doc_id, unnest([a, b, c]) AS ln FROM f WHERE n > 1)),
+r AS (SELECT doc_id, list(ln) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), i -> NOT list_contains(gone, i - 1)), i -> lines[i]), chr(10)), '') END) AS text_md5
+  md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: lines[i]), chr(10)), '') END) AS text_md5
 FROM d LEFT JOIN r USING (doc_id)
 """
