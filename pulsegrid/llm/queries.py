@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import line_dedup
+from pulsegrid.llm import licenses, line_dedup
 from pulsegrid.llm.common import read
 from pulsegrid.llm.minhash import near_duplicates
 from pulsegrid.llm.quality import quality_rules
@@ -20,6 +20,11 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark, sf_dir):
+    found = licenses.license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("licences", F.array_join("licences", " ")).withColumn("best_dice", F.round("best_dice", 6))
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -35,4 +40,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_license_scan": licenses.oracle()}
