@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import licenses, line_dedup
 from pulsegrid.llm.common import read
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.pii import surrogates
 from pulsegrid.llm.quality import quality_rules
 from pulsegrid.llm.tokens import token_counts
 
@@ -16,6 +17,11 @@ def op1_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    done = surrogates(read(spark, sf_dir, "documents"), key="pulsegrid")
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["k"]), " ").alias("kinds"), "text")
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
