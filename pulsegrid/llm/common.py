@@ -22,6 +22,10 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that make up a plain word (letters, digits, anything not ASCII) and those of ASCII punctuation.
+_PLAIN = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_PUNCTUATION = ~_PLAIN & ~_BLANK & (np.arange(256) > 32) & (np.arange(256) < 127)
+SOLID = {"word": ~_BLANK, "plain": _PLAIN, "punctuation": _PUNCTUATION}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -89,9 +93,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def hash_words(block: bytes | np.ndarray, first: np.ndarray, lower: bool = False):
+def hash_words(block: bytes | np.ndarray, first: np.ndarray, lower: bool = False, kind: str = "word", prefix: int = 0):
     """(64-bit hash, start byte, end byte) of each word of a buffer of texts.
 
+    kind: what makes up a word (SOLID).  prefix: only so many bytes of each are hashed.
+
     first: the byte offset at which each text begins, with the end as last
     entry.  Equal words have equal hashes in every batch and process.
     """
@@ -100,7 +106,7 @@ def hash_words(block: bytes | np.ndarray, first: np.ndarray, lower: bool = False
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z
-    solid = ~_BLANK[buf]
+    solid = SOLID[kind][buf]
     edge = np.zeros(n + 1, bool)
     edge[first] = True
     before = np.concatenate(([False], solid[:-1])) & ~edge[:n]
@@ -113,6 +119,8 @@ def hash_words(block: bytes | np.ndarray, first: np.ndarray, lower: bool = False
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        if prefix:
+            end = np.minimum(end, start + prefix)
         h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(h), start, end
 
@@ -132,10 +140,10 @@ def text_blocks(texts, limit: int = BLOCK_BYTES):
         yield at, b"".join(out), np.array(offsets, np.int64)
 
 
-def hashed_texts(texts, lower: bool = False, limit: int = BLOCK_BYTES):
+def hashed_texts(texts, lower: bool = False, limit: int = BLOCK_BYTES, kind: str = "word"):
     """For each text, in order: (word hashes, the text's bytes, word starts, word ends within it)."""
     for _, block, first in text_blocks(texts, limit):
-        h, start, end = hash_words(block, first, lower)
+        h, start, end = hash_words(block, first, lower, kind)
         cut = np.searchsorted(start, first)
         for i in range(len(first) - 1):
             a, b = cut[i], cut[i + 1]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import licenses, line_dedup
+from pulsegrid.llm import chat, licenses, line_dedup, mixing
 from pulsegrid.llm.common import read
+from pulsegrid.llm.decontaminate import contaminated
 from pulsegrid.llm.minhash import near_duplicates
 from pulsegrid.llm.pii import surrogates
 from pulsegrid.llm.quality import quality_rules
 from pulsegrid.llm.tokens import token_counts
+from pulsegrid.llm.toxicity import toxicity
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -17,6 +19,10 @@ def op1_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_pii_surrogates(spark, sf_dir):
     done = surrogates(read(spark, sf_dir, "documents"), key="pulsegrid")
     return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["k"]), " ").alias("kinds"), "text")
@@ -31,12 +37,26 @@ def op5_license_scan(spark, sf_dir):
     return found.withColumn("licences", F.array_join("licences", " ")).withColumn("best_dice", F.round("best_dice", 6))
 
 
+def op6_mixing(spark, sf_dir):
+    labels = mixing.label_domains(read(spark, sf_dir, "labels"))
+    return mixing.mix(read(spark, sf_dir, "documents"), labels, {"clean": 0.93, "toxic": 0.02, "junk": 0.05})
+
+
+def op7_tool_calls(spark, sf_dir):
+    calls, results = chat.dialogue_calls(read(spark, sf_dir, "conversations"))
+    return chat.link_calls(calls, results, {"respond": chat.RESPOND})
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
