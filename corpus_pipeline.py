@@ -1,24 +1,69 @@
-"""A corpus pipeline: documents go through quality rules, line and near dedup, decontamination and mixing."""
+"""A corpus pipeline over documents: quality rules, line dedup, near dedup, decontamination and mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
+what a stage returns and reads it again as the next one's docs.  All stages but
+the last return the columns of documents; the last adds each document's domain
+and rate.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pulsegrid.llm.common import materialise, read
+from pulsegrid.llm.decontaminate import decontaminate
+from pulsegrid.llm.line_dedup import line_dedup
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.mixing import label_domains, mix
+from pulsegrid.llm.quality import quality_rules
+
+#: Shares of tokens that the rates aim at.
+TARGETS = {"clean": 0.93, "toxic": 0.02, "junk": 0.05}
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the quality rules reject go (4)."""
+    judged = quality_rules(docs, read(spark, sf_dir, "labels"))
+    return docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def lines(spark, docs, sf_dir):
+    """Later occurrences of repeated three-line windows go, and n_chars follows (1)."""
+    done = line_dedup(docs).select(docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def near(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays, that with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """One document of each group of near duplicates stays, that with the smallest id (10)."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def benchmark(spark, docs, sf_dir):
+    """Documents that contain a test item go (2)."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def mixture(spark, docs, sf_dir):
+    """Every document gets its domain and the rate that meets the target weights (6)."""
+    rated = mix(docs, label_domains(read(spark, sf_dir, "labels")), TARGETS).select("doc_id", "domain", "rate").dropDuplicates(["doc_id"])
+    return docs.join(rated, "doc_id")
 
 
-STAGES = [("near dedup", near)]
-#: The semi-sequential stages (components, calibrated bounds, fitted weights) have no SQL form.
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near dedup", near),
+    ("decontamination", benchmark),
+    ("mixing", mixture),
+]
+#: Calibrated bounds, components and fitted weights have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages applied to the documents table, one after the other."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
