@@ -57,6 +57,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (16 MB of longs) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs with (left_semi) or without (left_anti) one of the ids (a column doc_id), which are written and counted first."""
+    ids = materialise(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

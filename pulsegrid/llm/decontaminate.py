@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hash_words, materialise, shingles, text_blocks
+from pulsegrid.llm.common import by_ids, hash_words, shingles, text_blocks
 
 #: BM25 parameters, postings of a block, and the share of its own score from which an item is retrieved.
 K1, B, POSTINGS, THRESHOLD = 1.2, 0.75, 32, 0.5
@@ -193,5 +193,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no test item."""
-    leaks = materialise(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+    return by_ids(docs, contaminated(docs, benchmark), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hashed_texts, materialise, mix, shingle_set
+from pulsegrid.llm.common import by_ids, hashed_texts, materialise, mix, shingle_set
 from pulsegrid.llm.graph import components
 
 SHINGLE = 5
@@ -37,8 +37,6 @@ LINK = 75
 HOPELESS = 0.62
 #: Buckets up to this size give their cross pairs; larger ones go by blocks of about so many members or shingles.
 SMALL, BLOCK, BLOCK_SHINGLES = 24, 1500, 1_500_000
-#: Up to so many ids (16 MB of longs) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _A = (mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, MINIMA + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -112,8 +110,7 @@ def estimated(x: str = "x", y: str = "y"):
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingled) of the documents named."""
-    ids = materialise(ids.select("doc_id").distinct(), "ids")
-    found = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    found = by_ids(docs, ids, "left_semi")
     return materialise(found.mapInArrow(_sets, "doc_id long, shingled array<long>"), "sets")
 
 
