@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialise, read
+from pulsegrid.llm.common import by_ids, materialise, read
 from pulsegrid.llm.decontaminate import decontaminate
 from pulsegrid.llm.line_dedup import line_dedup
 from pulsegrid.llm.minhash import near_duplicates
@@ -24,7 +24,7 @@ TARGETS = {"clean": 0.93, "toxic": 0.02, "junk": 0.05}
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules reject go (4)."""
     judged = quality_rules(docs, read(spark, sf_dir, "labels"))
-    return docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return by_ids(docs, judged.where("not kept"), "left_anti").select(docs.columns)
 
 
 def lines(spark, docs, sf_dir):
@@ -35,8 +35,7 @@ def lines(spark, docs, sf_dir):
 
 def near(spark, docs, sf_dir):
     """One document of each group of near duplicates stays, that with the smallest id (10)."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return by_ids(docs, near_duplicates(docs).where("not kept"), "left_anti").select(docs.columns)
 
 
 def benchmark(spark, docs, sf_dir):
@@ -47,7 +46,7 @@ def benchmark(spark, docs, sf_dir):
 def mixture(spark, docs, sf_dir):
     """Every document gets its domain and the rate that meets the target weights (6)."""
     rated = mix(docs, label_domains(read(spark, sf_dir, "labels")), TARGETS).select("doc_id", "domain", "rate").dropDuplicates(["doc_id"])
-    return docs.join(rated, "doc_id")
+    return docs.join(rated, "doc_id", "left")
 
 
 STAGES = [
