@@ -9,6 +9,7 @@ from pulsegrid.functions import kernels
 from pulsegrid.functions.scalars import axis_degrees, corrected_qt, flags, sokolow, t_end_shift_ms
 from pulsegrid.functions.series import despike, moving_average
 from pulsegrid.schema import INDEPENDENT, P_WAVE, QRS, QRS_SHARE, T_WAVE
+from pulsegrid.tables import materialise
 
 
 def _ms(v: float, fs: int) -> int:
@@ -207,17 +208,18 @@ def measurements(beats: DataFrame, stacks: DataFrame, rates: DataFrame, r: int,
     """
     plausible = (F.col("qrs_off") - F.col("qrs_on")).between(_ms(QRS["least_ms"], fs), _ms(QRS["most_ms"], fs))
     bounds = qrs_bounds(spatial_velocity(beats, fs), r, fs).where(plausible)
-    bad = misaligned(beats, bounds, fs)
+    bad = materialise(misaligned(beats, bounds, fs), "misaligned")
     good = beats.join(bad, ["record_id", "lead"], "left_anti")
-    sv = spatial_velocity(good, fs)
-    bounds = qrs_bounds(sv, r, fs).where(plausible)
-    base = baselines(beats, bounds, fs)
+    sv = materialise(spatial_velocity(good, fs), "velocity")
+    bounds = materialise(qrs_bounds(sv, r, fs).where(plausible), "bounds")
+    base = materialise(baselines(beats, bounds, fs), "baselines")
     p = p_waves(p_magnitude(good, base, fs), bounds, rates, fs)
+    p = materialise(p, "p-waves")
     p = p.join(p_seen(good, base, p), "record_id", "left_semi")
     loose = p_coupling(stacks.join(bad, ["record_id", "lead"], "left_anti"), bounds, p, fs).where(F.col("coupling") < P_WAVE["coupling"])
-    p = p.join(loose, "record_id", "left_anti")
+    p = materialise(p.join(loose, "record_id", "left_anti"), "p-waves")
     last = beats.agg(F.max("i")).first()[0] or 0
-    t = t_consensus(t_ends(good, base, t_windows(sv, bounds, rates, p, fs), fs), rates, last, fs)
+    t = materialise(t_consensus(t_ends(good, base, t_windows(sv, bounds, rates, p, fs), fs), rates, last, fs), "t-waves")
     span = lambda df, a, b: df.select("record_id", F.expr(a).alias("a"), F.expr(b).alias("b"))
     nets = net_deflection(beats, base, span(bounds, "qrs_on", "qrs_off"), "qrs").unionByName(net_deflection(beats, base, span(p, "p_on", "p_off"), "p"))
     nets = nets.unionByName(net_deflection(beats, base, span(bounds.join(t, "record_id"), f"qrs_off + {_ms(60, fs)}", "t_off"), "t"))

@@ -68,15 +68,15 @@ def s_sql(leads=INDEPENDENT, n=SAMPLES, without=()):
 
 
 def wide_sql(leads):
-    return ", ".join(f"max(CASE WHEN lead = '{x}' THEN mv END) AS \"{x}\"" for x in leads)
+    return ", ".join(f"max(CASE WHEN lead = '{x}' THEN mv END) AS v_{x}" for x in leads)
 
 
 # ------------------------------------------------------------------ series
 
 
-@query("n1_longest_run", f"WITH {E_SQL}, o AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM e WHERE x >= 100), r AS (SELECT user_id, min(i) AS start, count(*) AS n FROM o GROUP BY user_id, g) SELECT user_id, start, n AS length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, start) AS k FROM r) WHERE k = 1")
+@query("n1_longest_run", f"WITH {E_SQL}, o AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM e WHERE x >= 30), r AS (SELECT user_id, min(i) AS start, count(*) AS n FROM o GROUP BY user_id, g) SELECT user_id, start, n AS length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, start) AS k FROM r) WHERE k = 1")
 def n1(spark, d):
-    return N.longest_run(events(spark, d), ["user_id"], "i", F.col("x") >= 100)
+    return N.longest_run(events(spark, d), ["user_id"], "i", F.col("x") >= 30)
 
 
 @query("n2_first_difference", f"WITH {E_SQL} SELECT user_id, i, round(coalesce(x - lag(x) OVER (PARTITION BY user_id ORDER BY i), 0.0), 6) AS d FROM e")
@@ -89,10 +89,10 @@ def n3(spark, d):
     return events(spark, d).select("user_id", "i", F.round(N.moving_average("x", ["user_id"], "i", 5), 6).alias("y"))
 
 
-@query("n4_energy_window", f"WITH {E_SQL} SELECT user_id, i, round(sum(x * x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6.0, 4) AS y FROM e")
+@query("n4_energy_window", f"WITH {E_SQL} SELECT user_id, i, round(sum(x * x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6.0, 6) AS y FROM e")
 def n4(spark, d):
     e = events(spark, d).withColumn("xx", F.col("x") * F.col("x"))
-    return e.select("user_id", "i", F.round(N.energy_window("xx", ["user_id"], "i", 6), 4).alias("y"))
+    return e.select("user_id", "i", F.round(N.energy_window("xx", ["user_id"], "i", 6), 6).alias("y"))
 
 
 @query("n5_high_pass", f"WITH {E_SQL} SELECT user_id, i, round(x - avg(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS y FROM e")
@@ -114,29 +114,29 @@ def n8(spark, d):
     return N.quietest_range(events(spark, d), ["user_id"], "i", "x", 5).withColumn("quiet", F.round("quiet", 6))
 
 
-@query("n9_sustained_below", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) < 250 AND i >= 10 AS ok FROM e) SELECT user_id, coalesce(min(CASE WHEN ok THEN i END), max(i)) AS \"at\" FROM h GROUP BY user_id")
+@query("n9_sustained_below", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) < 60 AND i >= 10 AS ok FROM e) SELECT user_id, coalesce(min(CASE WHEN ok THEN i END), max(i)) AS \"at\" FROM h GROUP BY user_id")
 def n9(spark, d):
-    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(10), F.lit(250.0), 4)
+    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(10), F.lit(60.0), 4)
 
 
-@query("n9_sustained_below_backward", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) < 250 AND i <= 40 AS ok FROM e) SELECT user_id, coalesce(max(CASE WHEN ok THEN i END), min(i)) AS \"at\" FROM h GROUP BY user_id")
+@query("n9_sustained_below_backward", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) < 60 AND i <= 40 AS ok FROM e) SELECT user_id, coalesce(max(CASE WHEN ok THEN i END), min(i)) AS \"at\" FROM h GROUP BY user_id")
 def n9b(spark, d):
-    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(40), F.lit(250.0), 3, -1)
+    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(40), F.lit(60.0), 3, -1)
 
 
-@query("n11_longest_plateau", f"WITH {E_SQL}, c AS (SELECT user_id, i, CAST(floor(x / 100) AS BIGINT) AS b FROM e), g AS (SELECT user_id, i, b, sum(CASE WHEN b = lb THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, lag(b) {_W} AS lb FROM c)) SELECT user_id, max(n) AS plateau FROM (SELECT user_id, g, count(*) AS n FROM g GROUP BY user_id, g) GROUP BY user_id")
+@query("n11_longest_plateau", f"WITH {E_SQL}, c AS (SELECT user_id, i, CAST(floor(x / 30) AS BIGINT) AS b FROM e), g AS (SELECT user_id, i, b, sum(CASE WHEN b = lb THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, lag(b) {_W} AS lb FROM c)) SELECT user_id, max(n) AS plateau FROM (SELECT user_id, g, count(*) AS n FROM g GROUP BY user_id, g) GROUP BY user_id")
 def n11(spark, d):
-    e = events(spark, d).withColumn("b", F.floor(F.col("x") / 100))
+    e = events(spark, d).withColumn("b", F.floor(F.col("x") / 30))
     w = Window.partitionBy("user_id").orderBy("i")
     e = e.withColumn("new", F.when(F.col("b") == F.lag("b").over(w), 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
     return e.groupBy("user_id", "g").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("plateau"))
 
 
-_P_SQL = f"{E_SQL}, p AS (SELECT user_id, i FROM e WHERE x > 400), rr AS (SELECT user_id, i, i - lag(i) OVER (PARTITION BY user_id ORDER BY i) AS d FROM p)"
+_P_SQL = f"{E_SQL}, p AS (SELECT user_id, i FROM e WHERE x > 60), rr AS (SELECT user_id, i, i - lag(i) OVER (PARTITION BY user_id ORDER BY i) AS d FROM p)"
 
 
 def peaks(spark, d):
-    return events(spark, d).where("x > 400").select(F.col("user_id").alias("record_id"), F.col("i").alias("peak"))
+    return events(spark, d).where("x > 60").select(F.col("user_id").alias("record_id"), F.col("i").alias("peak"))
 
 
 @query("n12_intervals", f"WITH {_P_SQL} SELECT user_id AS record_id, i AS peak, round(d / 5.0, 6) AS rr FROM rr")
@@ -166,15 +166,15 @@ def p8(spark, d):
     return rows.withColumn("inner_n", F.sum(F.col("ok").cast("int")).over(Window.partitionBy("record_id"))).where("inner_n < 2 or ok").select("record_id", "peak")
 
 
-@query("n13_fill_gaps", f"WITH {E_SQL}, g AS (SELECT user_id, i, CASE WHEN x >= 150 THEN x END AS x FROM e), w AS (SELECT *, last_value(x IGNORE NULLS) OVER a AS x0, first_value(x IGNORE NULLS) OVER b AS x1, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS o0, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS o1 FROM g WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, i, round(coalesce(x, x0 + (x1 - x0) * (i - o0) / nullif(o1 - o0, 0), x0, x1), 6) AS y FROM w")
+@query("n13_fill_gaps", f"WITH {E_SQL}, g AS (SELECT user_id, i, CASE WHEN x >= 25 THEN x END AS x FROM e), w AS (SELECT *, last_value(x IGNORE NULLS) OVER a AS x0, first_value(x IGNORE NULLS) OVER b AS x1, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS o0, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS o1 FROM g WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, i, round(coalesce(x, x0 + (x1 - x0) * (i - o0) / nullif(o1 - o0, 0), x0, x1), 6) AS y FROM w")
 def n13(spark, d):
-    e = events(spark, d).withColumn("x", F.when(F.col("x") >= 150, F.col("x")))
+    e = events(spark, d).withColumn("x", F.when(F.col("x") >= 25, F.col("x")))
     return e.withColumn("y", F.round(N.filled("x", ["user_id"], "i"), 6)).select("user_id", "i", "y")
 
 
-@query("n14_resample_gaps", f"WITH {E_SQL}, z AS (SELECT user_id, i - 1 AS i, CASE WHEN x >= 150 THEN x END AS x FROM e), b AS (SELECT user_id, i, x AS x0, lead(x) OVER (PARTITION BY user_id ORDER BY i) AS x1 FROM z), g AS (SELECT user_id, unnest(range(CAST(floor(max(i) / 1.5) AS BIGINT) + 1)) AS j FROM z GROUP BY user_id), r AS (SELECT g.user_id, CAST(j AS INTEGER) AS j, j * 1.5 - floor(j * 1.5) AS f, x0, x1 FROM g JOIN b ON b.user_id = g.user_id AND b.i = floor(g.j * 1.5)) SELECT user_id, j, round(CASE WHEN CASE WHEN x0 IS NULL THEN 1 - f ELSE 0 END + CASE WHEN f > 0 AND x1 IS NULL THEN f ELSE 0 END <= 0.5 THEN coalesce(x0, x1) * (1 - f) + coalesce(x1, x0) * f END, 6) AS y FROM r")
+@query("n14_resample_gaps", f"WITH {E_SQL}, z AS (SELECT user_id, i - 1 AS i, CASE WHEN x >= 25 THEN x END AS x FROM e), b AS (SELECT user_id, i, x AS x0, lead(x) OVER (PARTITION BY user_id ORDER BY i) AS x1 FROM z), g AS (SELECT user_id, unnest(range(CAST(floor(max(i) / 1.5) AS BIGINT) + 1)) AS j FROM z GROUP BY user_id), r AS (SELECT g.user_id, CAST(j AS INTEGER) AS j, j * 1.5 - floor(j * 1.5) AS f, x0, x1 FROM g JOIN b ON b.user_id = g.user_id AND b.i = floor(g.j * 1.5)) SELECT user_id, j, round(CASE WHEN CASE WHEN x0 IS NULL THEN 1 - f ELSE 0 END + CASE WHEN f > 0 AND x1 IS NULL THEN f ELSE 0 END <= 0.5 THEN coalesce(x0, x1) * (1 - f) + coalesce(x1, x0) * f END, 6) AS y FROM r")
 def n14(spark, d):
-    e = events(spark, d).select("user_id", (F.col("i") - 1).alias("i"), F.when(F.col("x") >= 150, F.col("x")).alias("x"))
+    e = events(spark, d).select("user_id", (F.col("i") - 1).alias("i"), F.when(F.col("x") >= 25, F.col("x")).alias("x"))
     return N.resampled(e, ["user_id"], "i", "x", 1.5).withColumn("y", F.round("y", 6))
 
 
@@ -233,10 +233,10 @@ def a1(spark, d):
     return r.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("bias", "med_abs", "p90_abs")], F.round("within", 6).alias("within"))
 
 
-@query("a2_group_report", f"WITH {_TYPES} SELECT event_type, count(*) AS n, count(*) FILTER (value < 20) AS failed, count(*) FILTER (value > 100 AND err > 0) AS found, count(*) FILTER (NOT value > 100 AND err > -200) AS extra, round(quantile_cont(CASE WHEN NOT value < 20 THEN abs(err) END, 0.5), 4) AS med_abs FROM e0 GROUP BY event_type")
+@query("a2_group_report", f"WITH {_TYPES} SELECT event_type, count(*) AS n, count(*) FILTER (value < 10) AS failed, count(*) FILTER (value > 40 AND err > 0) AS found, count(*) FILTER (NOT value > 40 AND err > -20) AS extra, round(quantile_cont(CASE WHEN NOT value < 10 THEN abs(err) END, 0.5), 4) AS med_abs FROM e0 GROUP BY event_type")
 def a2(spark, d):
-    got = F.when(F.col("value") > 100, F.col("err") > 0).otherwise(F.col("err") > -200)
-    return C.group_report(errors(spark, d), "event_type", "err", F.col("value") < 20, F.col("value") > 100, got).withColumn("med_abs", F.round("med_abs", 4))
+    got = F.when(F.col("value") > 40, F.col("err") > 0).otherwise(F.col("err") > -20)
+    return C.group_report(errors(spark, d), "event_type", "err", F.col("value") < 10, F.col("value") > 40, got).withColumn("med_abs", F.round("med_abs", 4))
 
 
 @query("a4_ratio_report", "WITH p AS (SELECT event_type AS lead, value / 60.0 AS truth, value / 60.0 + CAST(event_id % 7 AS DOUBLE) / 10.0 AS ours FROM events), b AS (SELECT *, ours / truth AS ratio, CASE WHEN truth < 0.5 THEN '0.2-0.5' WHEN truth < 1.0 THEN '0.5-1.0' WHEN truth < 1.5 THEN '1.0-1.5' WHEN truth < 2.5 THEN '1.5-2.5' WHEN truth < 10.0 THEN '2.5-10.0' END AS bucket FROM p WHERE truth >= 0.2) SELECT bucket, lead, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS ratio FROM b GROUP BY GROUPING SETS ((), (bucket), (lead)) HAVING count(*) >= 5")
@@ -253,9 +253,9 @@ def a7(spark, d):
     return L.known_patterns(s.withColumn("mv", F.when(~gone, F.col("mv"))))
 
 
-@query("a14_row_coverage", f"WITH {E_SQL}, g AS (SELECT user_id, i % 3 AS part, i % 20 AS x, bool_or(x > 300) AS seen FROM e GROUP BY 1, 2, 3) SELECT user_id AS record_id, part, round(avg(CAST(seen AS INTEGER)), 6) AS cover FROM g GROUP BY 1, 2")
+@query("a14_row_coverage", f"WITH {E_SQL}, g AS (SELECT user_id, i % 3 AS part, i % 20 AS x, bool_or(x > 70) AS seen FROM e GROUP BY 1, 2, 3) SELECT user_id AS record_id, part, round(avg(CAST(seen AS INTEGER)), 6) AS cover FROM g GROUP BY 1, 2")
 def a14(spark, d):
-    e = events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") % 3).alias("part"), (F.col("i") % 20).alias("x"), (F.col("x") > 300).alias("seen"))
+    e = events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") % 3).alias("part"), (F.col("i") % 20).alias("x"), (F.col("x") > 70).alias("seen"))
     return Y.row_coverage(e).withColumn("cover", F.round("cover", 6))
 
 
@@ -267,9 +267,9 @@ def a15(spark, d):
     return L.best_lead(L.coverage(s))
 
 
-@query("a16_threshold_sweep", f"WITH {_TYPES} SELECT threshold, count(*) AS n, round(quantile_cont(abs(err), 0.5), 4) AS med_abs, round(quantile_cont(abs(err), 0.9), 4) AS p90_abs FROM e0, (VALUES (CAST(50.0 AS DOUBLE)), (150.0), (300.0)) t(threshold) WHERE value >= threshold GROUP BY threshold")
+@query("a16_threshold_sweep", f"WITH {_TYPES} SELECT threshold, count(*) AS n, round(quantile_cont(abs(err), 0.5), 4) AS med_abs, round(quantile_cont(abs(err), 0.9), 4) AS p90_abs FROM e0, (VALUES (CAST(10.0 AS DOUBLE)), (40.0), (90.0)) t(threshold) WHERE value >= threshold GROUP BY threshold")
 def a16(spark, d):
-    return C.sweep(errors(spark, d), "value", "err", [50.0, 150.0, 300.0]).withColumn("med_abs", F.round("med_abs", 4)).withColumn("p90_abs", F.round("p90_abs", 4))
+    return C.sweep(errors(spark, d), "value", "err", [10.0, 40.0, 90.0]).withColumn("med_abs", F.round("med_abs", 4)).withColumn("p90_abs", F.round("p90_abs", 4))
 
 
 @query("a17_zone_means", f"WITH {E_SQL} SELECT user_id AS record_id, CAST(floor(CAST(i % 40 AS DOUBLE) * 4 / 40) AS BIGINT) AS r, CAST(floor(CAST(i % 30 AS DOUBLE) * 3 / 30) AS BIGINT) AS c, round(avg(x), 6) AS mean, max(x) AS most FROM e GROUP BY 1, 2, 3")
@@ -304,13 +304,13 @@ def j9(spark, d):
     return C.nearest(events(spark, d), "x", [20.0, 40.0, 80.0, 160.0]).select("user_id", "i", "nominal")
 
 
-@query("j10_beat_windows_join", f"WITH {E_SQL}, p AS (SELECT user_id, i AS peak, row_number() OVER (PARTITION BY user_id ORDER BY i) AS beat FROM e WHERE x > 400) SELECT p.user_id AS record_id, 'II' AS lead, CAST(beat AS INTEGER) AS beat, CAST(e.i - peak + 3 AS INTEGER) AS i, x AS mv FROM p JOIN e ON e.user_id = p.user_id AND e.i BETWEEN peak - 3 AND peak + 3")
+@query("j10_beat_windows_join", f"WITH {E_SQL}, p AS (SELECT user_id, i AS peak, row_number() OVER (PARTITION BY user_id ORDER BY i) AS beat FROM e WHERE x > 60) SELECT p.user_id AS record_id, 'II' AS lead, CAST(beat AS INTEGER) AS beat, CAST(e.i - peak + 3 AS INTEGER) AS i, x AS mv FROM p JOIN e ON e.user_id = p.user_id AND e.i BETWEEN peak - 3 AND peak + 3")
 def j10(spark, d):
     s = events(spark, d).select(F.col("user_id").alias("record_id"), F.lit("II").alias("lead"), "i", F.col("x").alias("mv"))
     return B.cut(s, peaks(spark, d), 3, 4)
 
 
-@query("a8_mean_beat", f"WITH {E_SQL}, p AS (SELECT user_id, i AS peak FROM e WHERE x > 400) SELECT p.user_id AS record_id, 'II' AS lead, CAST(e.i - peak + 3 AS INTEGER) AS i, round(avg(x), 6) AS mv FROM p JOIN e ON e.user_id = p.user_id AND e.i BETWEEN peak - 3 AND peak + 3 GROUP BY 1, 2, 3")
+@query("a8_mean_beat", f"WITH {E_SQL}, p AS (SELECT user_id, i AS peak FROM e WHERE x > 60) SELECT p.user_id AS record_id, 'II' AS lead, CAST(e.i - peak + 3 AS INTEGER) AS i, round(avg(x), 6) AS mv FROM p JOIN e ON e.user_id = p.user_id AND e.i BETWEEN peak - 3 AND peak + 3 GROUP BY 1, 2, 3")
 def a8(spark, d):
     return B.mean_beat(j10(spark, d)).withColumn("mv", F.round("mv", 6))
 
@@ -360,9 +360,9 @@ def o6(spark, d):
     return e.where((F.col("i") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / 20)) == 0).select("user_id", "i", "x")
 
 
-@query("o7_best_of_candidates", f"WITH {E_SQL}, c AS (SELECT user_id, i % 4 AS k, count(*) FILTER (x > 200) AS n, round(stddev_pop(x), 6) AS sp FROM e GROUP BY 1, 2) SELECT user_id, k, n, sp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, sp, k) AS r FROM c) WHERE r = 1")
+@query("o7_best_of_candidates", f"WITH {E_SQL}, c AS (SELECT user_id, i % 4 AS k, count(*) FILTER (x > 40) AS n, round(stddev_pop(x), 6) AS sp FROM e GROUP BY 1, 2) SELECT user_id, k, n, sp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, sp, k) AS r FROM c) WHERE r = 1")
 def o7(spark, d):
-    c = events(spark, d).groupBy("user_id", (F.col("i") % 4).alias("k")).agg(F.count_if(F.col("x") > 200).alias("n"), F.round(F.stddev_pop("x"), 6).alias("sp"))
+    c = events(spark, d).groupBy("user_id", (F.col("i") % 4).alias("k")).agg(F.count_if(F.col("x") > 40).alias("n"), F.round(F.stddev_pop("x"), 6).alias("sp"))
     w = Window.partitionBy("user_id").orderBy(F.desc("n"), "sp", "k")
     return c.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
@@ -374,9 +374,9 @@ def u1(spark, d):
     return C.stages({"A": n(o), "B": n(o.where("o_totalprice > 150000"))})
 
 
-@query("u2_distinct_centres", f"WITH {E_SQL}, c AS (SELECT user_id, list_sort(list_distinct(list(CAST(floor(x / 50) AS BIGINT)))) AS c FROM e WHERE i <= 12 GROUP BY 1) SELECT user_id, array_to_string(c, ' ') AS centres, len(c) < 12 AS collapsed FROM c")
+@query("u2_distinct_centres", f"WITH {E_SQL}, c AS (SELECT user_id, list_sort(list_distinct(list(CAST(floor(x / 10) AS BIGINT)))) AS c FROM e WHERE i <= 12 GROUP BY 1) SELECT user_id, array_to_string(c, ' ') AS centres, len(c) < 12 AS collapsed FROM c")
 def u2(spark, d):
-    c = events(spark, d).where("i <= 12").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.floor(F.col("x") / 50)))).alias("c"))
+    c = events(spark, d).where("i <= 12").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.floor(F.col("x") / 10)))).alias("c"))
     return c.select("user_id", F.array_join("c", " ").alias("centres"), (F.size("c") < 12).alias("collapsed"))
 
 
@@ -425,12 +425,12 @@ def l4(spark, d):
     return c.select("record_id", "n", *[F.round(k, 6).alias(k) for k in ("residual", "einthoven", "goldberger")])
 
 
-SQL["l4_consistency"] = f"""WITH {s_sql(list(LIMB))}, w AS (SELECT record_id, i, {wide_sql(LIMB)} FROM s GROUP BY 1, 2),
-z AS (SELECT *, ({" + ".join(f'({a}) * "{k}"' for k, (a, _) in LIMB.items())}) AS ay, ({" + ".join(f'({b}) * "{k}"' for k, (_, b) in LIMB.items())}) AS yb FROM w),
+SQL["l4_consistency"] = f"""WITH {s_sql(list(LIMB))}, w AS (SELECT record_id, {wide_sql(LIMB)} FROM s GROUP BY record_id, i),
+z AS (SELECT *, ({" + ".join(f'({a}) * v_{k}' for k, (a, _) in LIMB.items())}) AS ay, ({" + ".join(f'({b}) * v_{k}' for k, (_, b) in LIMB.items())}) AS yb FROM w),
 o AS (SELECT *, (ay * 3.5 - yb * -1.75) / (3.5 * 3.5 - 1.75 * 1.75) AS x, (yb * 3.5 - ay * -1.75) / (3.5 * 3.5 - 1.75 * 1.75) AS y FROM z),
-r AS (SELECT record_id, unnest([{", ".join(f'"{k}" - (({a}) * x + ({b}) * y)' for k, (a, b) in LIMB.items())}]) AS off FROM o),
+r AS (SELECT record_id, unnest([{", ".join(f'v_{k} - (({a}) * x + ({b}) * y)' for k, (a, b) in LIMB.items())}]) AS off FROM o),
 p AS (SELECT record_id, avg(ptp) AS scale FROM (SELECT record_id, lead, quantile_cont(mv, 0.99) - quantile_cont(mv, 0.01) AS ptp FROM s GROUP BY 1, 2) GROUP BY 1),
-e AS (SELECT record_id, count(*) AS n, stddev_pop("II" - "I" - "III") AS e, stddev_pop("aVR" + "aVL" + "aVF") AS g FROM w GROUP BY 1)
+e AS (SELECT record_id, count(*) AS n, stddev_pop(v_II - v_I - v_III) AS e, stddev_pop(v_aVR + v_aVL + v_aVF) AS g FROM w GROUP BY 1)
 SELECT record_id, n, round((SELECT stddev_pop(off) FROM r WHERE r.record_id = e.record_id) / scale, 6) AS residual, round(e / scale, 6) AS einthoven, round(g / scale, 6) AS goldberger FROM e JOIN p USING (record_id)"""
 
 
@@ -574,9 +574,9 @@ def p10(spark, d):
     return events(spark, d).select("user_id", "i", F.array_join(F.transform(p, lambda y: F.concat(y["level"], F.lit(":"), y["what"])), " ").alias("problems"))
 
 
-@query("p11_tiles", f"WITH {E_SQL} SELECT user_id, i, CASE WHEN x < 120 THEN 'low' WHEN x > 380 THEN 'high' ELSE 'ok' END AS state, round(least(1.0, greatest(0.0, (x - 50.0) / 400.0)), 6) AS place FROM e")
+@query("p11_tiles", f"WITH {E_SQL} SELECT user_id, i, CASE WHEN x < 20 THEN 'low' WHEN x > 60 THEN 'high' ELSE 'ok' END AS state, round(least(1.0, greatest(0.0, (x - 10.0) / 100.0)), 6) AS place FROM e")
 def p11(spark, d):
-    t = S.tile(F.col("x"), F.lit(120.0), F.lit(380.0), F.lit(50.0), F.lit(450.0))
+    t = S.tile(F.col("x"), F.lit(20.0), F.lit(60.0), F.lit(10.0), F.lit(110.0))
     return events(spark, d).select("user_id", "i", t["state"].alias("state"), F.round(t["place"], 6).alias("place"))
 
 
@@ -675,7 +675,7 @@ def k10(spark, d):
     return R.clipboard_json(D.measurements(beats, stacks, rates, r, FS))
 
 
-@query("k2_canonical_rows", f"WITH {s_sql(n=60)} SELECT record_id, i, {', '.join(f'''round(max(CASE WHEN lead = '{x}' THEN mv END) * 1000.0, 3) AS \"{x}\"''' for x in INDEPENDENT)} FROM s GROUP BY 1, 2")
+@query("k2_canonical_rows", f"WITH {s_sql(n=60)} SELECT record_id, i AS sample, {', '.join(f'''round(max(CASE WHEN lead = '{x}' THEN mv END) * 1000.0, 3) + 0.0 AS \"{x}\"''' for x in INDEPENDENT)} FROM s GROUP BY 1, 2")
 def k2(spark, d):
     return R.canonical_rows(signals(spark, d, n=60), INDEPENDENT)
 
