@@ -13,8 +13,8 @@ from pulsegrid.llm.common import hash_words, materialise, text_blocks
 
 #: Labelled documents of each class that a fit uses at most, and features it selects.
 PER_CLASS, FEATURES = 3000, 4096
-#: A feature must occur in so many documents of the sample.
-LEAST_DOCS = 5
+#: A feature must occur in so many documents of the sample, and tell classes apart with so much chi square (chance: 1 in 10,000).
+LEAST_DOCS, LEAST_CHI = 5, 15.0
 
 _SALT = {"plain": np.uint64(0x51), "prefix": np.uint64(0xA7), "punctuation": np.uint64(0xF3)}
 
@@ -74,7 +74,7 @@ def select_features(sample: DataFrame, classes: list[str], most: int = FEATURES)
     n = F.col("n")
     # (observed - expected)^2 / expected, over the classes
     chi = sum((F.col(f"n{i}") - n * (sizes.get(c, 0) / total)) ** 2 / (n * max(sizes.get(c, 0), 0.5) / total) for i, c in enumerate(classes))
-    best = each.groupBy("f").agg(F.count("*").alias("n"), *has).where(n >= LEAST_DOCS).withColumn("chi", chi).orderBy(F.desc("chi"), "f").limit(most).collect()
+    best = each.groupBy("f").agg(F.count("*").alias("n"), *has).where(n >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "f").limit(most).collect()
     best.sort(key=lambda r: r["f"])
     return np.array([r["f"] for r in best], np.int64), np.array([[r[f"n{i}"] for i in range(len(classes))] for r in best]).reshape(len(best), len(classes))
 
