@@ -13,8 +13,8 @@ from pulsegrid.llm.common import hash_words, materialise, text_blocks
 
 #: Labelled documents of each class that a fit uses at most, and features it selects.
 PER_CLASS, FEATURES = 3000, 4096
-#: A feature must occur in so many documents of the sample, and tell classes apart with so much chi square (chance: 1 in 10,000).
-LEAST_DOCS, LEAST_CHI = 5, 15.0
+#: A feature must occur in so many documents of the sample, and tell classes apart with so much chi square: chance gives it to none of a million features.
+LEAST_DOCS, LEAST_CHI = 5, 40.0
 
 _SALT = {"plain": np.uint64(0x51), "prefix": np.uint64(0xA7), "punctuation": np.uint64(0xF3)}
 
