@@ -275,3 +275,34 @@ def apexes(trace: DataFrame, edges: DataFrame, keys) -> DataFrame:
 
 def layout_names() -> list[str]:
     return list(LAYOUTS)
+
+
+def content_box(points: DataFrame, mm_px: float, left: float = 16, right: float = 8, above: float = 10, below: float = 8) -> DataFrame:
+    """record_id, x0, x1, y0, y1 of what is drawn, with margins in millimetres; may leave the page."""
+    b = points.groupBy("record_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    cast = lambda c: c.cast("int")
+    return b.select("record_id", cast(F.col("x0") - left * mm_px).alias("x0"), cast(F.col("x1") + right * mm_px).alias("x1"), cast(F.col("y0") - above * mm_px).alias("y0"), cast(F.col("y1") + below * mm_px).alias("y1"))
+
+
+def rescaled(signals: DataFrame, keys, limit: float = 10.0) -> DataFrame:
+    """signals with mv brought to [-1, 1] in the series that exceed the limit: their scale is not known."""
+    w = Window.partitionBy(*keys)
+    lo, hi = F.min("mv").over(w), F.max("mv").over(w)
+    rows = signals.withColumn("lo", lo).withColumn("hi", hi)
+    over = (F.greatest(F.abs("lo"), F.abs("hi")) > limit) & (F.col("hi") > F.col("lo"))
+    return rows.withColumn("mv", F.when(over, (F.col("mv") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 2 - 1).otherwise(F.col("mv"))).drop("lo", "hi")
+
+
+def safe_angle(angle: Column) -> Column:
+    """An angle, 0 where it is missing or not a number."""
+    return F.coalesce(F.nanvl(angle, F.lit(0.0)), F.lit(0.0))
+
+
+def probe_peaks(signals: DataFrame, threshold: float) -> DataFrame:
+    """record_id, lead, a, width, top of each stretch over the threshold (width in samples at half its top)."""
+    key = ["record_id", "lead"]
+    w = Window.partitionBy(*key).orderBy("i")
+    rows = signals.withColumn("rn", F.row_number().over(w)).where(F.col("mv") > threshold)
+    rows = rows.withColumn("island", F.col("rn") - F.row_number().over(w))
+    rows = rows.withColumn("top", F.max("mv").over(Window.partitionBy(*key, "island")))
+    return rows.groupBy(*key, "island").agg(F.min("i").alias("a"), F.count_if(F.col("mv") >= F.col("top") / 2).alias("width"), F.first("top").alias("top")).drop("island")

@@ -702,3 +702,42 @@ def s11(spark, d):
 @query("hash_content_key", "SELECT c_custkey, substr(sha1(c_name || '|m1'), 1, 16) AS key FROM customer")
 def content_key(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", S.content_key(F.col("c_name").cast("binary"), "m1").alias("key"))
+
+
+# ------------------------------------------------------------------ page geometry
+
+
+@query("p20_content_box", f"WITH {E_SQL} SELECT user_id AS record_id, CAST(trunc(min(i) - 16 * 2.5) AS INTEGER) AS x0, CAST(trunc(max(i) + 8 * 2.5) AS INTEGER) AS x1, CAST(trunc(min(floor(x)) - 10 * 2.5) AS INTEGER) AS y0, CAST(trunc(max(floor(x)) + 8 * 2.5) AS INTEGER) AS y1 FROM e GROUP BY 1")
+def p20(spark, d):
+    e = events(spark, d).select(F.col("user_id").alias("record_id"), F.col("i").alias("col"), F.floor("x").alias("y")).withColumnRenamed("col", "x")
+    return Y.content_box(e, 2.5)
+
+
+@query("t33_rescale_unknown_scale", f"WITH {E_SQL}, r AS (SELECT user_id, i, x, min(x) OVER (PARTITION BY user_id) AS lo, max(x) OVER (PARTITION BY user_id) AS hi FROM e) SELECT user_id, i, round(CASE WHEN greatest(abs(lo), abs(hi)) > 200 AND hi > lo THEN (x - lo) / (hi - lo) * 2 - 1 ELSE x END, 6) AS mv FROM r")
+def t33(spark, d):
+    return Y.rescaled(events(spark, d).select("user_id", "i", F.col("x").alias("mv")), ["user_id"], 200.0).withColumn("mv", F.round("mv", 6))
+
+
+@query("t24_column_offset", f"WITH {E_SQL}, l AS (SELECT user_id, i AS x, i % 7 AS y FROM e), q AS (SELECT user_id, i + user_id % 4 AS x, i % 7 AS y, x AS p FROM e), s AS (SELECT l.user_id, dx, round(sum(p), 9) AS s FROM l, (SELECT CAST(unnest(range(-5, 6)) AS INTEGER) AS dx) d, q WHERE q.user_id = l.user_id AND q.x = l.x + dx AND q.y = l.y GROUP BY 1, 2) SELECT user_id AS record_id, dx FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, dx) AS k FROM s) WHERE k = 1")
+def t24(spark, d):
+    e = events(spark, d).withColumnRenamed("user_id", "record_id").withColumnRenamed("x", "p")
+    lines = e.select("record_id", F.col("i").alias("x"), (F.col("i") % 7).alias("y"))
+    return Y.column_offset(lines, e.select("record_id", (F.col("i") + F.col("record_id") % 4).alias("x"), (F.col("i") % 7).alias("y"), "p"), 5)
+
+
+@query("a18_union_of_maps", f"WITH {E_SQL} SELECT a.user_id AS record_id, a.i AS x, a.i % 5 AS y, greatest(a.x, b.x) AS p FROM e a JOIN e b ON a.user_id = b.user_id AND b.i = a.i + 1")
+def a18(spark, d):
+    e = events(spark, d).withColumnRenamed("user_id", "record_id").withColumnRenamed("x", "p")
+    a = e.select("record_id", F.col("i").alias("x"), (F.col("i") % 5).alias("y"), "p")
+    return Y.union_maps(a, e.select("record_id", (F.col("i") - 1).alias("x"), ((F.col("i") - 1) % 5).alias("y"), "p"))
+
+
+@query("t16_assemble_cells", f"WITH {E_SQL}, c AS (SELECT user_id, CAST(i % 3 AS VARCHAR) AS lead, CAST(i / 3 AS INTEGER) % 9 AS j, i % 2 = 0 AS r, x FROM e WHERE x < 90) SELECT user_id AS record_id, lead, j AS i, coalesce(max(CASE WHEN r THEN x END), max(CASE WHEN NOT r THEN x END)) AS mv FROM c GROUP BY 1, 2, 3")
+def t16(spark, d):
+    c = events(spark, d).where("x < 90").select(F.col("user_id").alias("record_id"), (F.col("i") % 3).cast("string").alias("lead"), (F.bround(F.col("i") / 3).cast("int") % 9).alias("i"), (F.col("i") % 2 == 0).alias("is_rhythm"), F.col("x").alias("mv"))
+    return Y.assemble(c)
+
+
+@query("v7_probe_peaks", f"WITH {s_sql(['I', 'II'], 300)}, o AS (SELECT *, i - row_number() OVER (PARTITION BY record_id, lead ORDER BY i) AS g FROM s WHERE mv > 0.2), t AS (SELECT *, max(mv) OVER (PARTITION BY record_id, lead, g) AS top FROM o) SELECT record_id, lead, min(i) AS a, count(*) FILTER (mv >= top / 2) AS width, round(max(top), 6) AS top FROM t GROUP BY record_id, lead, g")
+def v7(spark, d):
+    return Y.probe_peaks(signals(spark, d, ["I", "II"], 300), 0.2).withColumn("top", F.round("top", 6))
