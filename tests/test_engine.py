@@ -162,3 +162,38 @@ def test_groups_and_samples(spark):
     assert got == {1: "AFIB", 2: "NORM", 3: "X"}
     assert C.sample_per_group(m, "g", "id", 1, 3).count() == 3
     assert {r["id"] for r in C.pending(m.select("id").distinct(), m.where("id = 1"), "id").collect()} == {2, 3}
+
+
+def test_drift_removal(spark):
+    import numpy as np
+
+    from pulsegrid.functions import kernels
+
+    x = np.random.default_rng(1).normal(size=40)
+    wide = [*x[4::-1], *x, *x[:-6:-1]]
+    assert np.allclose(kernels.running_median(x, 11), [np.median(wide[i : i + 11]) for i in range(40)])
+    rows = [("r", "I", i, 0.01 * i + (1.0 if i % 50 == 25 else 0.0)) for i in range(200)]
+    out = {r["i"]: r["mv"] for r in Y.drift_removed(spark.createDataFrame(rows, "record_id string, lead string, i int, mv double"), 100).collect()}
+    assert len(out) == 200 and abs(out[100]) < 0.02 and abs(out[75] - 1.0) < 0.02
+
+
+def test_trace_quality_and_apexes(spark):
+    good = [("g", x, 50.0 + 10 * ((x % 8) - 4), 100) for x in range(64)]
+    flat = [("f", x, 0.0 if x % 4 else None, 100) for x in range(64)]
+    q = {r["k"]: r["q"] for r in Y.trace_quality(spark.createDataFrame(good + flat, "k string, x int, y double, h int"), ["k"], "y", "h").collect()}
+    assert q["g"] > 0.85 > q["f"]
+    trace = spark.createDataFrame([("a", x, float(y)) for x, y in enumerate([20, 20, 15, 11, 15, 20, 20])], "k string, x int, y double")
+    edges = spark.createDataFrame([("a", x, y - 1, y + 1) for x, y in enumerate([20, 20, 15, 9, 15, 20, 20])], "k string, x int, top int, bottom int")
+    moved = {r["x"]: r["y"] for r in Y.apexes(trace, edges, ["k"]).collect()}
+    assert moved[3] == 9.0 and moved[2] == 15.0 and moved[0] == 20.0
+
+
+def test_page_to_signal(spark):
+    """Lines drawn at known heights come back as millivolts of a known scale."""
+    mm = 4.0
+    truth = {x: (0.5 if 40 <= x < 60 else 0.0) for x in range(120)}
+    ink = spark.createDataFrame([("p", x, int(100 - truth[x] * 10 * mm) + t) for x in truth for t in (-1, 0, 1)], "record_id string, x int, y int")
+    line = Y.traces(Y.column_clusters(ink, ["record_id"]), ["record_id"], spark.createDataFrame([("p", 120)], "record_id string, width int"))
+    base = Y.histogram_mode(line, ["record_id"], "y").first()["base"]
+    got = {r["x"]: r["mv"] for r in line.withColumn("mv", Y.millivolts(F.col("y"), F.lit(base), F.lit(mm))).collect()}
+    assert all(abs(got[x] - truth[x]) < 0.05 for x in truth)
