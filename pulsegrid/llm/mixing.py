@@ -32,12 +32,14 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], per_class: int = PER_CLASS, features: int = FEATURES, rounds: int = 150) -> DomainModel:
     """Multinomial logistic regression of labels (doc_id, domain) on sparse text features.
 
-    At most per_class documents of each domain are used; the bias is then set
-    to the shares that all labels have.  Of several labels of a document the
-    smallest name holds.  A domain without labels gets a share near 0.
+    Labels of documents that docs lacks don't count.  At most per_class
+    documents of each domain are used; the bias is then set to the shares that
+    all labelled documents have.  Of several labels of a document the smallest
+    name holds.  A domain without labelled documents has no share to be set
+    to: its bias stays where the fit, which never sees it, puts it.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("class"))
-    own = materialise(own, "domains")
+    own = materialise(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "domains")
     shares = {r["class"]: r["n"] for r in own.groupBy("class").agg(F.count("*").alias("n")).collect()}
     sample = labelled_sample(docs, own, domains, per_class)
     hashes, _ = select_features(sample, domains, features)
