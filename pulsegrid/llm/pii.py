@@ -34,12 +34,20 @@ SYLLABLES = {
     "cyrillic": ["ба", "до", "фе", "га", "ко", "ли", "ма", "но", "пе", "ра", "со", "та", "ве", "ви", "зу", "хе"],
 }
 
+_KEY = r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-fA-F]{32,}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}"
+
+
+def _quoted(q: str) -> str:
+    """A value of four characters at least between quotes q, escaped characters counted as one; a key in quotes is left to its own format."""
+    return rf"{q}(?!(?:{_KEY}){q})(?!(?:[^{q}\\\n]|\\.){{0,3}}{q})[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}(?![\p{{L}}\p{{N}}])"
+
+
 #: Fixed formats of the entities, tried in this order.
 FORMATS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b\"?\s{0,2}[=:]\s{0,2})[^\s\"',;]{4,}",
-    "key": r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-f]{32,64}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?\s{0,2}[=:]\s{0,2})(?:" + _quoted('"') + "|" + _quoted("'") + rf"|(?:[\"'](?!{_KEY}))?[^\s\"',;]{{4,}})",
+    "key": _KEY,
     "phone": r"(?<![\d+])\+?(?:\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "card": r"(?<![\d+])(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<![\d+])\d{13,19}(?!\d)",
 }
@@ -49,8 +57,10 @@ FORMATS["person"] = rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_NAME})?"
 ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
 #: What every entity contains, besides "=" or ":" for a secret; other texts are passed over without the full pattern.
 #: The look-ahead settles most places of a text by one character.
-HINT = r"[0-9@]|(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | {t[0].upper() for ts in TITLES.values() for t in ts})) + r"])" + _TITLE + "|AKIA|gh[pousr]_|sk-|[a-f]{32}"
+HINT = r"[0-9@]|(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | {t[0].upper() for ts in TITLES.values() for t in ts})) + r"])" + _TITLE + "|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}"
 ATTEMPTS = 10
+#: Parts of an assignment: name, sign and opening quote; the value; the closing quote.
+_ASSIGNED = r"(?s)^([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)$"
 
 
 def _bound(value: Column, use) -> Column:
@@ -71,7 +81,7 @@ def canonical(e: Column, k: Column) -> Column:
     return (
         F.when(k == "email", F.lower(e))
         .when(k.isin("card", "phone"), F.regexp_replace(e, r"[^0-9]", ""))
-        .when(k == "secret", F.regexp_extract(e, r"[=:]\s*(\S+)$", 1))
+        .when(k == "secret", F.regexp_extract(e, _ASSIGNED, 2))
         .when(k == "person", F.initcap(F.regexp_replace(e, r"^\S+ (?:.* )?", "")))
         .otherwise(e)
     )
@@ -85,7 +95,7 @@ def _number(digest: Column, at, most: int) -> Column:
 
 def _alike(s: Column, digest: Column) -> Column:
     """A string of the same length, letter cases, digits and separators as s (hex stays hex)."""
-    hexed = s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")
+    hexed = (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")) | s.rlike("^[0-9a-fA-F]{32,}$")
 
     def one(i):
         c = F.substring(s, i, F.lit(1))
@@ -93,7 +103,7 @@ def _alike(s: Column, digest: Column) -> Column:
         return (
             F.when(c.rlike("[0-9]"), F.char(n(10) + 48))
             .when(c.rlike("[a-z]"), F.char(F.when(hexed, n(6)).otherwise(n(26)) + 97))
-            .when(c.rlike("[A-Z]"), F.char(n(26) + 65))
+            .when(c.rlike("[A-Z]"), F.char(F.when(hexed, n(6)).otherwise(n(26)) + 65))
             .otherwise(c)
         )
 
@@ -181,14 +191,16 @@ def surrogate(e: Column, k: Column, canon: Column, key: str, attempt: Column) ->
     def chosen(d):
         # after many collisions a short format has no room left: a keyed suffix makes it distinct
         tail = F.when((attempt >= 5) & k.isin("secret", "person"), F.substring(d, 1, 8)).otherwise("")
+        part = lambda i: F.regexp_extract(e, _ASSIGNED, i)
         return F.concat(
             F.when(k == "email", email(d))
             .when(k == "ip", ip(d))
             .when(k.isin("card", "phone"), number(d))
-            .when(k == "secret", F.concat(F.regexp_extract(e, r"^(.*?[=:]\s*)\S+$", 1), _alike(canon, d)))
+            .when(k == "secret", F.concat(part(1), _alike(canon, d)))
             .when(k == "key", key_like(d))
             .when(k == "person", _person(e, canon, d)),
             tail,
+            F.when(k == "secret", part(3)).otherwise(""),
         )
 
     return _bound(digest(canon), chosen)

@@ -3,7 +3,32 @@
 import numpy as np
 from test_operators import frame, mixture_rows
 
-from pulsegrid.llm import mixing
+from pulsegrid.llm import mixing, pii
+
+# ------------------------------------------------------------------ 3
+
+
+def test_secrets_in_quotes(spark):
+    texts = {
+        'password = "hunter2abc" and more': "hunter2abc",
+        "api_key='Zx81kLmnop', next": "Zx81kLmnop",
+        '{"user": 1, "password": "S3cr3tPw"}': "S3cr3tPw",
+        '{"token": "ab\\"c, d;e"} "x"': 'ab\\"c, d;e',
+        "pwd: 'two words' isn't": "two words",
+        'secret="unclosed9 and more': "unclosed9",
+        "password=plain=9": "plain=9",
+        'token = "' + "0f" * 20 + '"': "0f" * 20,
+        "sum " + "AB12" * 8 + " end": "AB12" * 8,
+        "long " + "0a1b" * 32 + " end": "0a1b" * 32,
+    }
+    rows = pii.surrogates(frame(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()
+    for r, (text, value) in zip(rows, texts.items()):
+        before, after = text.split(value)
+        assert len(r["entities"]) == 1 and value not in r["text"], text
+        assert r["text"].startswith(before) and r["text"].endswith(after) and len(r["text"]) == len(text), r["text"]
+    assert rows[7]["entities"][0]["k"] == "key"  # a key in quotes and one without are the same entity
+    same = pii.surrogates(frame(spark, [(1, 'password="abcd12345" password=abcd12345'), (2, 'password = ""\ntoken: \'abc\'')]), "k").orderBy("doc_id").collect()
+    assert len({e["s"].replace('"', "") for e in same[0]["entities"]}) == 1 and same[1]["entities"] == []
 
 # ------------------------------------------------------------------ 6
 
