@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import materialise
 
-#: Rounds of ordering after which what is left counts as a cycle.
-ROUNDS = 200
-
 
 def canonical(value) -> str:
     """Canonical JSON: keys sorted, no blanks, whole floats as integers, no NaN."""
@@ -107,28 +104,41 @@ def _checked(schemas: dict):
     return run
 
 
-def order_calls(calls: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def order_calls(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """calls (conv_id, turn, call_id) with level, the length of the longest chain of references before a call; null in or after a cycle.
 
     edges: (conv_id, call_id, needs) between calls of one conversation.  Calls
-    without references are at level 0.  Each round settles the calls all of
-    whose needs are settled, by joins on identifiers of the calls that have
-    references only; rounds go on until nothing more settles.
+    without references are at level 0.  A call is at the highest of level(needs)
+    + w over its references.  In each round a reference to a call that has one
+    reference itself, or none left, is put through to what that one needs; so
+    a chain takes as many rounds as its length has binary digits, and any
+    other order one a level at most.  In a round that settles nothing, all
+    that is left is in or after a cycle.
     """
     key = ["conv_id", "call_id"]
-    waiting = materialise(edges.select(*key, "needs").distinct(), "references")
-    heads = waiting.select(*key).distinct()
-    settled = waiting.select("conv_id", F.col("needs").alias("call_id")).distinct().join(heads, key, "left_anti").withColumn("level", F.lit(0))
-    settled = materialise(settled, "settled")
-    for _ in range(rounds):
-        open_ = waiting.join(settled.select(*key), key, "left_anti")
-        of = settled.select("conv_id", F.col("call_id").alias("needs"), "level")
-        ready = open_.join(of, ["conv_id", "needs"], "left").groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("m"), F.max("level").alias("top")).where("n = m")
-        ready = materialise(ready.select(*key, (F.col("top") + 1).cast("int").alias("level")), "ready")
-        if ready.isEmpty():
+    edges = materialise(edges.select(*key, "needs").distinct(), "references")
+    heads = edges.select(*key).distinct()
+    referring = heads.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("refers"))
+    # rows (needs, w): level is at least level(needs) + w, or w where needs is null
+    left = edges.join(referring, ["conv_id", "needs"], "left").select(*key, F.when(F.col("refers"), F.col("needs")).alias("needs"), F.lit(1).cast("long").alias("w"))
+    left = materialise(left.groupBy(*key, "needs").agg(F.max("w").alias("w")), "open")
+    settled = 0
+    while True:
+        known = F.max(F.when(F.col("needs").isNull(), F.col("w"))).alias("known")
+        one = left.groupBy(*key).agg(F.count("needs").alias("n"), F.max("needs").alias("to"), F.max(F.when(F.col("needs").isNotNull(), F.col("w"))).alias("by"), known).where("n <= 1")
+        one = materialise(one, "put-through")
+        found = one.where("n = 0").select(*key, F.col("known").cast("int").alias("level"))
+        before, settled = settled, found.count()
+        if settled == before:
             break
-        settled = materialise(settled.unionByName(ready), "settled")
-    found = settled.select("conv_id", "call_id", "level")
+        of = one.select("conv_id", F.col("call_id").alias("needs"), "n", "to", "by", "known")
+        # lengths in cycles grow for ever; no chain is longer than the cap
+        add = lambda c: F.least(F.col("w") + F.col(c), F.lit(1 << 40))
+        on = F.when(F.col("by").isNotNull(), F.struct(F.col("to").alias("needs"), add("by").alias("w")))
+        end = F.when(F.col("known").isNotNull(), F.struct(F.lit(None).cast("string").alias("needs"), add("known").alias("w")))
+        put = F.when(F.col("n").isNull(), F.array(F.struct("needs", "w"))).otherwise(F.filter(F.array(on, end), lambda x: x.isNotNull()))
+        following = left.join(of, ["conv_id", "needs"], "left").select(*key, F.explode(put).alias("x"))
+        left = materialise(following.groupBy(*key, F.col("x.needs").alias("needs")).agg(F.max("x.w").alias("w")), "open")
     stuck = heads.withColumn("stuck", F.lit(True))
     out = calls.join(found, key, "left").join(stuck, key, "left")
     return out.withColumn("level", F.when(F.col("level").isNotNull(), F.col("level")).when(F.col("stuck").isNull(), F.lit(0))).drop("stuck")
@@ -190,20 +200,17 @@ def dialogue_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a table of plain turns (conv_id, turn, role, text).
 
     Every turn of a user is a call of the tool "respond", identified by its
-    turn, with the text as argument and, after the first pair of turns, a
-    reference to the call two turns before if that is a user's too and the
-    turn is even in pairs; the next turn is its result if an assistant's.
-    Repeated rows are one.
+    turn, with the text as argument and a reference to the call two turns
+    before if that is a user's too, so a chain is as long as its conversation;
+    the next turn is its result if an assistant's.  Repeated rows are one.
     """
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id is not null and turn is not null").distinct()
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     asks = turns.where("role = 'user'")
-    # every second pair of turns builds on the one before it, so chains stay two long whatever a conversation's length
     prior = asks.select("conv_id", (F.col("turn") + 2).alias("turn")).distinct().withColumn("follows", F.lit(True))
     asks = asks.join(prior, ["conv_id", "turn"], "left")
-    linked = F.coalesce("follows", F.lit(False)) & (F.pmod(F.floor(F.col("turn") / 2), F.lit(2)) == 1)
     arguments = F.to_json(
-        F.struct(F.coalesce("text", F.lit("")).alias("text"), F.when(linked, F.struct(name(F.col("turn") - 2).alias("$ref"))).alias("after"))
+        F.struct(F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("follows"), F.struct(name(F.col("turn") - 2).alias("$ref"))).alias("after"))
     )
     calls = asks.select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("respond").alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))

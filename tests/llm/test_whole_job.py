@@ -3,7 +3,7 @@
 import numpy as np
 from test_operators import frame, mixture_rows
 
-from pulsegrid.llm import mixing, pii
+from pulsegrid.llm import chat, mixing, pii
 
 # ------------------------------------------------------------------ 3
 
@@ -53,3 +53,18 @@ def test_mixing_stage_without_the_labelled_rows_of_a_domain(spark, data):
     out = corpus_pipeline.mixture(spark, docs, data)
     assert out.count() == docs.count() and out.where("rate is null or rate < 0").count() == 0
     assert out.where("domain = 'junk'").count() == 0  # nothing tells of junk, so nothing is lifted to it
+
+
+# ------------------------------------------------------------------ 7
+
+
+def test_levels_of_long_chains_and_of_references_that_meet(spark):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(800)]
+    calls, results = chat.dialogue_calls(frame(spark, turns, "conv_id long, turn long, role string, text string"))
+    got = {r["turn"]: (r["level"], r["status"]) for r in chat.link_calls(calls, results, {"respond": chat.RESPOND}).collect()}
+    assert got == {t: (t // 2, "ok") for t in range(0, 800, 2)}
+    # two references each, to the last and the one three before; behind a ring of three nothing has a level
+    needs = {i: {i - 1, i - 3} & set(range(12)) for i in range(12)} | {20: {22}, 21: {20}, 22: {21}, 23: {22, 5}, 24: {23}}
+    edges = frame(spark, [(1, str(a), str(b)) for a, bs in needs.items() for b in bs], "conv_id long, call_id string, needs string")
+    nodes = frame(spark, [(1, a, str(a)) for a in needs], "conv_id long, turn long, call_id string")
+    assert {r["turn"]: r["level"] for r in chat.order_calls(nodes, edges).collect()} == {i: i if i < 12 else None for i in needs}
