@@ -644,11 +644,12 @@ def t6(spark, d):
 
 @query("t11_traces")
 def t11(spark, d):
-    """The lowest line of each page followed column by column."""
+    """All lines of each page, 60 rows apart, followed column by column."""
     ink_rows, _ = page(spark, d)
-    clusters = Y.column_clusters(ink_rows.where("y < 60"), ["record_id"])
-    t = Y.traces(clusters, ["record_id"], users(spark, d).withColumn("width", F.lit(320)))
-    return t.groupBy("record_id").agg(F.count("y").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.max("coverage").alias("coverage"))
+    keys = ["record_id", "line"]
+    clusters = Y.column_clusters(ink_rows.withColumn("line", F.floor(F.col("y") / 60).cast("int")), keys)
+    t = Y.traces(clusters, keys, clusters.select(*keys).distinct().withColumn("width", F.lit(320)))
+    return t.groupBy(*keys).agg(F.count("y").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.max("coverage").alias("coverage"))
 
 
 @query("t18_pulse_window", f"WITH {E_SQL}, w AS (SELECT user_id, i - 1 AS x, x AS c, max(i) OVER (PARTITION BY user_id) AS width FROM e), m AS (SELECT *, quantile_cont(CASE WHEN x >= 0.3 * width THEN c END, 0.5) OVER (PARTITION BY user_id) AS med FROM w), h AS (SELECT user_id, x, x - row_number() OVER (PARTITION BY user_id ORDER BY x) AS g FROM m WHERE x < 0.3 * width AND c > 1.5 * med), r AS (SELECT user_id, min(x) AS a, count(*) AS n FROM h GROUP BY user_id, g) SELECT user_id AS record_id, a, n AS length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, a) AS k FROM r) WHERE k = 1")
