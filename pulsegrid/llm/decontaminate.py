@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_ids, hash_words, shingles, text_blocks
+from pulsegrid.llm.common import by_ids, hash_words, materialise, shingles, text_blocks
 
 #: BM25 parameters, postings of a block, and the share of its own score from which an item is retrieved.
 K1, B, POSTINGS, THRESHOLD = 1.2, 0.75, 32, 0.5
@@ -36,23 +36,35 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def _words(text: str) -> np.ndarray:
+    raw = text.encode()
+    return hash_words(raw, np.array([0, len(raw)]), True, "plain")[0]
+
+
 def _bigrams(text: str) -> np.ndarray:
     """Bigrams of a text in order; of a single word, the word."""
-    raw = text.encode()
-    h, _, _ = hash_words(raw, np.array([0, len(raw)]), True, "plain")
+    h = _words(text)
     return shingles(h, 2) if len(h) > 1 else h
 
 
 class Index:
-    """Inverted index of a block of items with block maxima of normalised BM25 contributions."""
+    """Inverted index of a block of items with block maxima of normalised BM25 contributions.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    whole: (number of items, their mean length, the longest, items that have a
+    term) of the whole benchmark; without it the block is the benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, int, dict[int, int]] | None = None):
         kept = [(i, _bigrams(t), t) for i, t in items if t]
         kept = [(i, g, t) for i, g, t in kept if len(g)]
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(np.unique(_bigrams(x)) for x in split_item(t)) for _, _, t in kept]
         self.longest = max([len(g) + 1 for _, g, _ in kept], default=1)
+        self.alone = [tuple(len(_words(x)) == 1 for x in split_item(t)) for _, _, t in kept]
         n, mean = len(kept), np.mean([len(g) for _, g, _ in kept]) if kept else 1.0
+        n_all, n_with = n, None
+        if whole:
+            n_all, mean, self.longest, n_with = whole
         found: dict[int, list] = {}
         for k, (_, g, _) in enumerate(kept):
             terms, counts = np.unique(g, return_counts=True)
@@ -60,8 +72,9 @@ class Index:
             for t, c in zip(terms.tolist(), part.tolist()):
                 found.setdefault(t, []).append((k, c))
         own = np.zeros(n)
-        for posts in found.values():
-            idf = np.log(1 + (n - len(posts) + 0.5) / (len(posts) + 0.5))
+        for t, posts in found.items():
+            df = n_with[t] if n_with is not None else len(posts)
+            idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
             for j, (k, c) in enumerate(posts):
                 posts[j] = (k, c * idf)
                 own[k] += c * idf
@@ -124,8 +137,8 @@ class Index:
             if score >= least:
                 out.append((item, score))
 
-    def search(self, grams: np.ndarray, threshold: float, overlap: float):
-        """(item id, score, question overlap, answer overlap, first word) of what the passages of a document's bigrams contain."""
+    def search(self, words: np.ndarray, grams: np.ndarray, threshold: float, overlap: float):
+        """(item id, score, question overlap, answer overlap, first word) of what the passages of a document's words and their bigrams contain."""
         at, term = self.places(grams)
         if not len(at):
             return
@@ -138,19 +151,41 @@ class Index:
             terms = np.unique(term[a:b])
             for k, score in self.retrieve(terms, threshold):
                 passage = self.terms[terms]
-                q, r = (float(np.isin(part, passage).mean()) if len(part) else 1.0 for part in self.parts[k])
+                # a part of one word has no bigram: it is looked for among the passage's words
+                within = words[begin : begin + size + 1]
+                q, r = (float(np.isin(part, within if alone else passage).mean()) if len(part) else 1.0 for part, alone in zip(self.parts[k], self.alone[k]))
                 if q >= overlap and r >= overlap:
                     yield self.ids[k], score, q, r, begin
 
 
 def index_blocks(benchmark: DataFrame, chars: int = INDEX_CHARS):
-    """Indexes of blocks of the benchmark; each block's text is of bounded size, whatever the benchmark's."""
+    """Indexes of blocks of the benchmark; each block's text is of bounded size, whatever the benchmark's.
+
+    Lengths and document frequencies are those of the whole benchmark, so
+    scores and passages don't depend on the blocks.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     whole = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = int(whole // chars + 1)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    if blocks > 1:
+
+        def run(batches):
+            for b in batches:
+                grams = [_bigrams(t).view(np.int64) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([len(g) for g in grams], pa.int64()), pa.array([np.unique(g) for g in grams], pa.list_(pa.int64()))], names=["block", "n", "terms"])
+
+        counted = materialise(dealt.select(F.col("block").cast("long").alias("block"), "text").mapInArrow(run, "block long, n long, terms array<long>").where("n > 0"), "benchmark-terms")
+        t = counted.agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.max("n").alias("most")).first()
+        each = counted.select("block", F.explode("terms").alias("t"))
+        # a term is once a block, with the number of its items in all blocks
+        spread = materialise(each.groupBy("t").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks")), "benchmark-frequencies")
     for k in range(blocks):
-        yield Index([(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).orderBy("item_id", "text").collect()])
+        whole = None
+        if blocks > 1 and t["n"]:
+            df = {r["t"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in spread.where(F.array_contains("blocks", F.lit(k).cast("long"))).select("t", "df").collect()}
+            whole = (t["n"], t["total"] / t["n"], t["most"] + 1, df)
+        yield Index([(r["item_id"], r["text"]) for r in dealt.where(F.col("block") == k).orderBy("item_id", "text").collect()], whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -161,7 +196,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     item is whole in one of them.  A pair is reported once, with its best
     passage (highest score, then first), if it scores `threshold` of the item's
     own score and has `overlap` of the distinct bigrams of question and answer
-    each.  Null and empty texts and null ids of items match nothing; repeated
+    each; a question or answer of one word must be among the passage's words.
+    An item of a single word matches only a document of that word alone.  Null and empty texts and null ids of items match nothing; repeated
     rows of a document are one; a row with a null doc_id is reported under null.
     """
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -179,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     for i in range(len(first) - 1):
                         words = h[cut[i] : cut[i + 1]]
                         grams = shingles(words, 2) if len(words) > 1 else words
-                        rows += [(ids[base + i].as_py(), *x) for x in index.search(grams, threshold, overlap)]
+                        rows += [(ids[base + i].as_py(), *x) for x in index.search(words, grams, threshold, overlap)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],

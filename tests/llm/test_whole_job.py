@@ -1,9 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
-from test_operators import frame, mixture_rows
+from test_operators import benchmark, frame, mixture_rows
 
-from pulsegrid.llm import chat, mixing, pii
+from pulsegrid.llm import chat, decontaminate, mixing, pii
 
 # ------------------------------------------------------------------ 3
 
@@ -68,3 +68,24 @@ def test_levels_of_long_chains_and_of_references_that_meet(spark):
     edges = frame(spark, [(1, str(a), str(b)) for a, bs in needs.items() for b in bs], "conv_id long, call_id string, needs string")
     nodes = frame(spark, [(1, a, str(a)) for a in needs], "conv_id long, turn long, call_id string")
     assert {r["turn"]: r["level"] for r in chat.order_calls(nodes, edges).collect()} == {i: i if i < 12 else None for i in needs}
+
+
+# ------------------------------------------------------------------ 2
+
+
+def test_answers_of_one_word(spark):
+    items = frame(spark, [(1, "Which city is the capital of France? Answer: Paris"), (2, "red green blue")], "item_id long, text string")
+    docs = [(1, "so which city is the capital of France? answer: Paris, of course"), (2, "so which city is the capital of France? answer: London"), (3, "the red green blue flag")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, docs), items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_blocks_score_as_one_index_does(spark):
+    _, table = benchmark(spark)
+    (one,) = decontaminate.index_blocks(table)
+    weights = lambda x: {(x.ids[k], t): c for t, (ks, part, _) in zip(x.terms.tolist(), x.postings) for k, c in zip(ks.tolist(), part.tolist())}
+    parts, longest = {}, set()
+    for x in decontaminate.index_blocks(table, chars=6000):
+        parts |= weights(x)
+        longest.add(x.longest)
+    want = weights(one)
+    assert longest == {one.longest} and parts.keys() == want.keys() and all(abs(parts[k] - want[k]) < 1e-12 for k in want)
