@@ -45,8 +45,7 @@ def benchmark(spark, docs, sf_dir):
 
 def mixture(spark, docs, sf_dir):
     """Every document gets its domain and the rate that meets the target weights (6)."""
-    rated = mix(docs, label_domains(read(spark, sf_dir, "labels")), TARGETS).select("doc_id", "domain", "rate").dropDuplicates(["doc_id"])
-    return docs.join(rated, "doc_id", "left")
+    return mix(docs, label_domains(read(spark, sf_dir, "labels")), TARGETS, keep=docs.columns).drop("n_tokens", "posteriors")
 
 
 STAGES = [

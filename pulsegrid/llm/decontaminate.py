@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_ids, hash_words, materialise, shingles, text_blocks
+from pulsegrid.llm.common import bounded, by_ids, hash_words, materialise, shingles, text_blocks
 
 #: BM25 parameters, postings of a block, and the share of its own score from which an item is retrieved.
 K1, B, POSTINGS, THRESHOLD = 1.2, 0.75, 32, 0.5
@@ -206,11 +206,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for index in index_blocks(benchmark):
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in bounded(batches):
                 rows = []
                 ids = batch.column("doc_id")
                 for base, block, first in text_blocks(batch.column("text")):
-                    h, start, _ = hash_words(block, first, True, "plain")
+                    h, start = hash_words(block, first, True, "plain")
                     cut = np.searchsorted(start, first)
                     for i in range(len(first) - 1):
                         words = h[cut[i] : cut[i + 1]]

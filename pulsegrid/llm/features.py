@@ -9,25 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hash_words, materialise, text_blocks
+from pulsegrid.llm.common import bounded, hash_kinds, materialise, text_blocks
 
 #: Labelled documents of each class that a fit uses at most, and features it selects.
 PER_CLASS, FEATURES = 3000, 4096
 #: A feature must occur in so many documents of the sample, and tell classes apart with so much chi square: chance gives it to none of a million features.
 LEAST_DOCS, LEAST_CHI = 5, 40.0
 
-_SALT = {"plain": np.uint64(0x51), "prefix": np.uint64(0xA7), "punctuation": np.uint64(0xF3)}
+#: Plain words, the first five bytes of longer ones and runs of punctuation, each with a salt; and words, for counts.
+_KINDS = [("plain", 0), ("plain", 5), ("punctuation", 0), ("word", 0)]
+_SALTS = [np.uint64(0x51), np.uint64(0xA7), np.uint64(0xF3)]
 
 
 def feature_lists(texts):
-    """For each text the features it has: plain words, the first five bytes of longer ones, runs of punctuation (all lower-cased, with repeats)."""
+    """For each text (the features it has, its number of words): plain words, their first five bytes, runs of punctuation, all lower-cased, with repeats."""
     for _, block, first in text_blocks(texts):
-        parts = []
-        for name, kind, prefix in (("plain", "plain", 0), ("prefix", "plain", 5), ("punctuation", "punctuation", 0)):
-            h, start, _ = hash_words(block, first, True, kind, prefix)
-            parts.append((h ^ _SALT[name], np.searchsorted(start, first)))
+        found = hash_kinds(block, first, True, _KINDS)
+        cuts = [np.searchsorted(start, first) for _, start in found]
         for i in range(len(first) - 1):
-            yield np.concatenate([h[cut[i] : cut[i + 1]] for h, cut in parts]).view(np.int64)
+            parts = [h[cut[i] : cut[i + 1]] ^ salt for (h, _), cut, salt in zip(found, cuts, _SALTS)]
+            yield np.concatenate(parts).view(np.int64), int(cuts[-1][i + 1] - cuts[-1][i])
 
 
 class Selected:
@@ -51,12 +52,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, classes: list[str], per_
     """(doc_id, class, text) of at most per_class documents of each class, those first in the order of a hash of the id.
 
     labels: (doc_id, class), one row an id; ids are picked before texts are read, and number at most
-    per_class times the classes, so the pick is broadcast.
+    per_class times the classes, so the pick is broadcast.  Of several texts of an id the smallest counts.
     """
     picked = [labels.where(F.col("class") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in classes]
     picked = materialise(reduce(DataFrame.unionByName, picked).select("doc_id", "class"), "sample-ids")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return materialise(texts.dropDuplicates(["doc_id"]).select("doc_id", "class", "text"), "sample")
+    return materialise(texts.groupBy("doc_id", "class").agg(F.min("text").alias("text")), "sample")
 
 
 def select_features(sample: DataFrame, classes: list[str], most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +65,8 @@ def select_features(sample: DataFrame, classes: list[str], most: int = FEATURES)
 
     def distinct(batches):
         schema = pa.schema([("class", pa.string()), ("f", pa.list_(pa.int64()))])
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([np.unique(f) for f in feature_lists(b.column("text"))], schema.types[1])], schema=schema)
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([np.unique(f) for f, _ in feature_lists(b.column("text"))], schema.types[1])], schema=schema)
 
     each = sample.select("class", "text").mapInArrow(distinct, "class string, f array<long>").select("class", F.explode("f").alias("f"))
     sizes = {r["class"]: r["n"] for r in sample.groupBy("class").agg(F.count("*").alias("n")).collect()}
@@ -85,8 +86,8 @@ def sparse_rows(sample: DataFrame, selected: np.ndarray):
     def run(batches):
         known = Selected(selected)
         schema = pa.schema([("doc_id", pa.int64()), ("class", pa.string()), ("p", pa.list_(pa.int32())), ("n", pa.int64())])
-        for b in batches:
-            rows = [known.places(f) for f in feature_lists(b.column("text"))]
+        for b in bounded(batches):
+            rows = [known.places(f) for f, _ in feature_lists(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("class"), pa.array([np.unique(r).astype(np.int32) for r in rows], schema.types[2]), pa.array([len(r) for r in rows], pa.int64())], schema=schema)
 
     rows = sample.select(F.col("doc_id").cast("long"), "class", "text").mapInArrow(run, "doc_id long, class string, p array<int>, n long").collect()

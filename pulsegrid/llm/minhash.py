@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import by_ids, hashed_texts, materialise, mix, shingle_set
+from pulsegrid.llm.common import bounded, by_ids, hashed_texts, materialise, mix, shingle_set
 from pulsegrid.llm.graph import components
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def signature(shingled: np.ndarray):
 
 def _sign(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in bounded(batches):
         out = ([], [], [], [], [])
         for words, *_ in hashed_texts(batch.column("text"), lower=True):
             shingled = shingle_set(words, SHINGLE)
@@ -92,7 +92,7 @@ def _sign(batches):
 
 def _sets(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("shingled", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in bounded(batches):
         found = [np.sort(shingle_set(words, SHINGLE).view(np.int64)) for words, *_ in hashed_texts(batch.column("text"), lower=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, schema.types[1])], schema=schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hashed_texts, materialise
+from pulsegrid.llm.common import materialise
 from pulsegrid.llm.features import FEATURES, PER_CLASS, Adam, Selected, feature_lists, labelled_sample, row_sums, select_features, sparse_rows
 
 #: Pull of all rates towards 1, most iterations, and the largest miss of a target share at which they stop.
@@ -62,18 +63,26 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], per_clas
     return DomainModel(domains, hashes, w, bias)
 
 
-def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """doc_id, n_tokens (words) and posteriors (array, in the order of the model's domains) of each row of docs."""
+def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` of each row of docs, with n_tokens (words) and posteriors (array, in the order of the model's domains).
 
-    def run(batches):
+    One pass over the text gives both; the other columns don't leave the JVM.
+    """
+    kind = pa.struct([("n_tokens", pa.int64()), ("posteriors", pa.list_(pa.float64()))])
+
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Selected(model.hashes)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("posteriors", pa.list_(pa.float64()))])
-        for b in batches:
-            scores = np.array([model.weights[np.unique(known.places(f))].sum(axis=0) for f in feature_lists(b.column("text"))]).reshape(-1, len(model.domains))
-            sizes = [len(h) for h, *_ in hashed_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(list(model.posteriors(scores)), schema.types[2])], schema=schema)
+        for column in texts:
+            scores, sizes = np.zeros((len(column), len(model.domains))), np.zeros(len(column), np.int64)
+            for i, (f, n) in enumerate(feature_lists(column)):
+                scores[i], sizes[i] = model.weights[np.unique(known.places(f))].sum(axis=0), n
+            flat = pa.array(model.posteriors(scores).ravel())
+            starts = pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(model.domains))
+            yield pa.StructArray.from_arrays([pa.array(sizes), pa.ListArray.from_arrays(starts, flat)], fields=list(kind))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, posteriors array<double>")
+    judge = F.arrow_udf(judged, "n_tokens long, posteriors array<double>")
+    kept = [F.col(f"`{c}`") for c in keep if c not in ("n_tokens", "posteriors")]
+    return docs.select(*kept, judge(F.col("text").cast("string")).alias("_m")).select(*kept, "_m.n_tokens", "_m.posteriors")
 
 
 def _rates(p: np.ndarray, misses: list[np.ndarray], pull: float) -> tuple[np.ndarray, np.ndarray]:
@@ -129,28 +138,32 @@ def fit_rates(members: DataFrame, targets: list[float], pull: float = PULL, roun
     return misses
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], pull: float = PULL) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, posteriors, domain (the most likely), rate (double, >= 0).
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], pull: float = PULL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each row of docs: columns `keep` of it, n_tokens, posteriors, domain (the most likely), rate (double, >= 0).
 
     labels: (doc_id, domain); targets: share of expected tokens of each domain
     (at most a few dozen; scaled to sum 1).  Rates times expected tokens meet
     the targets as nearly as nonnegative rates can.  Null and empty texts have
     no tokens and the prior as posteriors; documents with the same posteriors
-    have the same rate.  Other columns are ignored.
+    have the same rate, rows with a null doc_id too.  Kept columns with a name
+    of a new one are replaced; columns not kept are ignored.  Texts are read
+    once for the scores: what is kept is written beside them, and no join
+    brings it back.
     """
     domains = sorted(targets)
     model = fit_domains(docs, labels, domains)
-    members = materialise(memberships(docs, model), "memberships")
+    members = materialise(memberships(docs, model, keep), "memberships")
     misses = fit_rates(members, [targets[d] for d in domains], pull)
-    schema = "doc_id long, n_tokens long, posteriors array<double>, domain string, rate double"
 
-    def run(batches):
-        for b in batches:
-            p = b.column("posteriors").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(domains))
-            best = [domains[j] for j in p.argmax(axis=1)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_tokens", "posteriors")), pa.array(best, pa.string()), pa.array(_rates(p, misses, pull)[0])], names=["doc_id", "n_tokens", "posteriors", "domain", "rate"])
+    def rated(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = pa.array(domains)
+        for column in columns:
+            p = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(domains))
+            yield pa.StructArray.from_arrays([names.take(pa.array(p.argmax(axis=1))), pa.array(_rates(p, misses, pull)[0])], names=["domain", "rate"])
 
-    return members.select("doc_id", "n_tokens", "posteriors").mapInArrow(run, schema)
+    rate = F.arrow_udf(rated, "domain string, rate double")
+    kept = [F.col(f"`{c}`") for c in members.columns if c not in ("domain", "rate")]
+    return members.select(*kept, rate("posteriors").alias("_r")).select(*kept, "_r.domain", "_r.rate")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

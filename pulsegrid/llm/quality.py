@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import hashed_texts, materialise, shingles
+from pulsegrid.llm.common import bounded, hashed_texts, materialise, shingles
 
 #: Base rule: fewest words, and most words (in hundredths) inside repeated windows of so many words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -68,8 +68,8 @@ def _measure(raw: bytes, words: np.ndarray) -> tuple:
 
 
 def _measured(batches):
-    for batch in batches:
-        columns = list(zip(*(_measure(raw, words) for words, raw, *_ in hashed_texts(batch.column("text"))))) or [[] for _ in _MEASURES]
+    for batch in bounded(batches):
+        columns = list(zip(*(_measure(raw.tobytes(), words) for words, raw in hashed_texts(batch.column("text"))))) or [[] for _ in _MEASURES]
         rest = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in rest), *(pa.array(c, pa.int64()) for c in columns)],

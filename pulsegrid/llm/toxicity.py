@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import bounded
 from pulsegrid.llm.features import FEATURES, PER_CLASS, Adam, Selected, feature_lists, labelled_sample, row_sums, select_features, sparse_rows
 
 ROUNDS, PENALTY = 250, 2e-4
@@ -96,13 +97,15 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """One row for each row of docs: doc_id, score, p_toxic, expected_severity, severity (most likely grade), toxic.
 
     Whole texts; a feature counts once however often it occurs.  A null or
-    empty text has no feature.  No shuffle.  toxic: p_toxic >= 0.5.
+    empty text has no feature.  No shuffle.  toxic: p_toxic >= 0.5.  Where the
+    labels had no severity, grades are doses (see fit): a high expected severity
+    says that many words typical of toxic texts are there, not how grave they are.
     """
 
     def run(batches):
         known = Selected(model.hashes)
-        for b in batches:
-            scores = np.array([model.weights[np.unique(known.places(f))].sum() for f in feature_lists(b.column("text"))], float)
+        for b in bounded(batches):
+            scores = np.array([model.weights[np.unique(known.places(f))].sum() for f, _ in feature_lists(b.column("text"))], float)
             above = model.above(scores)
             full = np.concatenate((np.ones((len(scores), 1)), above, np.zeros((len(scores), 1))), axis=1)
             grade = (full[:, :-1] - full[:, 1:]).argmax(axis=1)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat, decontaminate, licenses, line_dedup, minhash, mixing, pii, quality, tokens, toxicity
+from pulsegrid.llm import common
 from pulsegrid.llm.common import hashed_texts, shingle_set
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
@@ -41,14 +42,41 @@ def labels(spark, rows=()):
 def test_word_hashes_are_those_of_words():
     texts = ["Aa b\tc\x0bd\x0c é\r\n" * 3, "", None, "b", "x" * 5000, " b "]
     seen = {}
-    for t, (h, raw, a, b) in zip(texts, hashed_texts(texts, lower=True, limit=64)):
+    for t, (h, raw) in zip(texts, hashed_texts(texts, lower=True, limit=64)):
         found = (t or "").encode().lower().split()
-        assert [raw[i:j].lower() for i, j in zip(a, b)] == found
+        assert raw.tobytes() == (t or "").encode() and len(found) == len(h)
         for w, x in zip(found, h.tolist()):
             assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
 
 
+def test_hashes_do_not_depend_on_segments(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("aB,. \n", [5, 2, 1, 1, 2, 1], k=rng.randint(0, 40))) for _ in range(300)] + ["x" * 100 + " " + "y," * 90, "", " ", "z"]
+    raw, first = b"".join(t.encode() for t in texts), np.cumsum([0, *(len(t) for t in texts)])
+    kinds = [("plain", 0), ("plain", 5), ("punctuation", 0), ("word", 0)]
+    want = common.hash_kinds(np.frombuffer(raw, np.uint8), first, True, kinds)
+    starts = [m.start() + at for t, at in zip(texts, first.tolist()) for m in re.finditer(r"[^ \n]+", t)]
+    assert want[3][1].tolist() == starts
+    for size in (7, 8, 64, 1000):
+        monkeypatch.setattr(common, "SEGMENT", size)
+        monkeypatch.setattr(common, "_UP", common._UP[: size + 1])
+        got = common.hash_kinds(np.frombuffer(raw, np.uint8), first, True, kinds)
+        monkeypatch.undo()
+        for (h, at), (h1, at1) in zip(want, got):
+            assert at.tolist() == at1.tolist() and h.tolist() == h1.tolist()
+
+
+def test_bounded_slices_are_the_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(9)), "text": pa.array(["a" * 5, None, "b" * 50, "", "c", "d" * 9, "e" * 9, None, "f"])})
+    for limit in (1, 10, 20, 1000):
+        parts = list(common.bounded([batch, batch.slice(2, 3)], limit=limit))
+        assert [n for p in parts for n in p.column("n").to_pylist()] == [*range(9), 2, 3, 4]
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= limit for p in parts)
+
+
 # ------------------------------------------------------------------ 10
 
 
