@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import kernels
 from pulsegrid.functions.scalars import axis_degrees, corrected_qt, flags, sokolow, t_end_shift_ms
-from pulsegrid.functions.series import despike, moving_average
+from pulsegrid.functions.series import despike, moving_average, quietest_range
 from pulsegrid.schema import INDEPENDENT, P_WAVE, QRS, QRS_SHARE, T_WAVE
 from pulsegrid.tables import materialise
 
@@ -18,8 +17,8 @@ def _ms(v: float, fs: int) -> int:
 
 def spatial_velocity(beats: DataFrame, fs: int, smooth_ms: float = 12, spikes: bool = True) -> DataFrame:
     """record_id, i, sv: length of the slope vector over the independent leads, smoothed; all leads if fewer than two of those."""
-    n = F.size(F.collect_set(F.when(F.col("lead").isin(INDEPENDENT), F.col("lead"))).over(Window.partitionBy("record_id")))
-    rows = beats.withColumn("_n", n).where((F.col("_n") < 2) | F.col("lead").isin(INDEPENDENT))
+    counts = beats.groupBy("record_id").agg(F.size(F.collect_set(F.when(F.col("lead").isin(INDEPENDENT), F.col("lead")))).alias("_n"))
+    rows = beats.join(counts, "record_id").where((F.col("_n") < 2) | F.col("lead").isin(INDEPENDENT))
     key = ["record_id", "lead"]
     if spikes:
         rows = rows.withColumn("mv", despike("mv", key, "i", _ms(10, fs)))
@@ -89,20 +88,72 @@ def p_magnitude(beats: DataFrame, base: DataFrame, fs: int) -> DataFrame:
     return total.select("record_id", "i", moving_average("m", ["record_id"], "i", _ms(20, fs)).alias("mag"))
 
 
+def _last_hump(part: DataFrame) -> DataFrame:
+    """record_id, top: the last hump of rows (record_id, i, mag, lo, hi, stand) that stands out, or the last row where the window cuts off a rise.
+
+    A hump is a flat top (its middle counts) between lower rows.  It stands out
+    if, on each side, the magnitude falls by `stand` before it exceeds the top.
+    """
+    w = Window.partitionBy("record_id").orderBy("i")
+    flat = part.withColumn("new", F.when(F.col("mag") == F.lag("mag").over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    runs = flat.groupBy("record_id", "run", "stand").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("mag").alias("top_mag"))
+    order = Window.partitionBy("record_id").orderBy("run")
+    humps = runs.withColumn("l", F.lag("top_mag").over(order)).withColumn("r", F.lead("top_mag").over(order)).where("top_mag > l and top_mag > r")
+    humps = humps.select("record_id", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("top"), "top_mag", "stand")
+    # a hump meets the rows of its own window, which is at most 340 ms long
+    met = humps.join(part.select("record_id", "i", "mag"), "record_id")
+    deep, high = F.col("top_mag") - F.col("mag") >= F.col("stand"), F.col("mag") > F.col("top_mag")
+    left, right = F.col("i") < F.col("top"), F.col("i") > F.col("top")
+    sides = met.groupBy("record_id", "top").agg(
+        F.max(F.when(left & deep, F.col("i"))).alias("dl"), F.coalesce(F.max(F.when(left & high, F.col("i"))), F.lit(-1)).alias("hl"),
+        F.min(F.when(right & deep, F.col("i"))).alias("dr"), F.coalesce(F.min(F.when(right & high, F.col("i"))), F.lit(2**31 - 1)).alias("hr"),
+    )
+    return sides.where("dl > hl and dr < hr").groupBy("record_id").agg(F.max("top").alias("top"))
+
+
 def p_waves(magnitude: DataFrame, bounds: DataFrame, rates: DataFrame, fs: int) -> DataFrame:
-    """record_id, p_on, p_off of the records that show a P wave; the walk along one short magnitude is a kernel."""
-    arrays = magnitude.groupBy("record_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "mag"))), lambda x: x["mag"]).alias("mag"))
-    rows = arrays.join(bounds.select("record_id", "qrs_on"), "record_id").join(rates.select("record_id", "rr_ms"), "record_id")
-
-    def run(frames):
-        for f in frames:
-            found = [kernels.wave_bounds(m, int(on), float(rr), fs, P_WAVE) for m, on, rr in zip(f["mag"], f["qrs_on"], f["rr_ms"])]
-            out = f[["record_id"]].copy()
-            out["p_on"], out["p_off"] = ([None if x is None else x[k] for x in found] for k in (0, 1))
-            yield out[[x is not None for x in found]].astype({"p_on": int, "p_off": int})
-
-    schema = f"record_id {magnitude.schema['record_id'].dataType.simpleString()}, p_on int, p_off int"
-    return rows.mapInPandas(run, schema)
+    """record_id, p_on, p_off of the records that show a P wave: the last hump of the magnitude before the complex that stands out.
+
+    Its bounds lie where, going outwards, the magnitude first falls below a
+    share of the way from the hump's foot on that side to its top.  Going
+    outwards, a low is a row not above any row passed.  The foot is the first
+    low that is held (no other low within 20 ms) and after which the magnitude
+    doesn't rise to half the hump's height within join_ms, which would be a
+    second hump of the same wave; without such a low, the last low in reach.
+    Windows by record and side only; their rows are those of one beat.
+    """
+    reach, joined, hold = _ms(P_WAVE["foot_ms"], fs), _ms(P_WAVE["join_ms"], fs), _ms(20, fs)
+    ahead_ms = F.bround(F.least(F.lit(340.0), 0.5 * F.col("rr_ms")) * fs / 1000.0).cast("int")
+    spans = bounds.join(rates.select("record_id", "rr_ms"), "record_id")
+    spans = spans.select("record_id", F.greatest(F.lit(0), F.col("qrs_on") - ahead_ms).alias("lo"), (F.col("qrs_on") - _ms(25, fs)).alias("hi")).where(F.col("hi") - F.col("lo") >= _ms(80, fs))
+    part = magnitude.join(spans, "record_id").where("i >= lo and i < hi")
+    quiet = quietest_range(part, ["record_id"], "i", "mag", _ms(40, fs))
+    part = part.join(quiet, "record_id").withColumn("stand", F.greatest(F.lit(P_WAVE["least_mv"]), P_WAVE["snr"] * F.col("quiet")))
+    edge = part.groupBy("record_id", "lo", "hi", "stand").agg(
+        F.min("mag").alias("least"), F.max(F.when(F.col("i") == F.col("hi") - 1, F.col("mag"))).alias("last"), F.max(F.when(F.col("i") == F.col("hi") - 1 - hold, F.col("mag"))).alias("before")
+    )
+    cut_off = F.when((F.col("last") - F.col("least") >= F.col("stand")) & (F.col("last") > F.col("before")), F.col("hi") - 1)
+    tops = edge.join(_last_hump(part), "record_id", "left").select("record_id", "lo", "hi", F.coalesce(cut_off, "top").alias("top")).where("top is not null")
+
+    rows = magnitude.join(tops, "record_id").where(F.abs(F.col("i") - F.col("top")) <= reach + joined)
+    rows = rows.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("d", (F.col("i") - F.col("top")) * F.col("side")).where("d >= 0")
+    key = Window.partitionBy("record_id", "side")
+    out = key.orderBy("d")
+    end = F.when(F.col("side") < 0, F.least(F.col("top") - F.col("lo"), F.lit(reach))).otherwise(F.least(F.col("hi") - 1 - F.col("top"), F.lit(reach)))
+    rows = rows.withColumn("end", end).withColumn("peak", F.max(F.when(F.col("d") == 0, F.col("mag"))).over(key))
+    rises = F.when(F.col("side") < 0, F.max("mag").over(out.rowsBetween(1, joined))).otherwise(F.max("mag").over(out.rowsBetween(0, joined - 1)))
+    rows = rows.withColumn("rises", F.coalesce(rises >= F.col("mag") + 0.5 * (F.col("peak") - F.col("mag")), F.lit(False)))
+    rows = rows.withColumn("low", (F.col("mag") == F.min("mag").over(out)) & (F.col("d") <= F.col("end")))
+    # the next low beyond this row
+    rows = rows.withColumn("next", F.min(F.when(F.col("low"), F.col("d"))).over(out.rowsBetween(1, Window.unboundedFollowing)))
+    held = F.col("low") & (F.coalesce("next", F.lit(2**31 - 1)) > F.col("d") + hold) & (F.col("d") + hold <= F.col("end"))
+    rows = rows.withColumn("foot", F.coalesce(F.min(F.when(held & ~F.col("rises"), F.col("d"))).over(key), F.max(F.when(F.col("low"), F.col("d"))).over(key)))
+    rows = rows.withColumn("floor", F.max(F.when(F.col("d") == F.col("foot"), F.col("mag"))).over(key))
+    under = (F.col("d") < F.col("foot")) & (F.col("mag") < F.col("floor") + P_WAVE["k"] * (F.col("peak") - F.col("floor")))
+    sides = rows.groupBy("record_id", "top", "lo", "side").agg(F.coalesce(F.min(F.when(under, F.col("d"))), F.first("foot")).alias("d"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("top") + s * F.col("d"))).cast("int")
+    found = sides.groupBy("record_id", "lo").agg(side(-1).alias("p_on"), side(1).alias("p_off"))
+    return found.where((F.col("p_on") > F.col("lo")) & (F.col("p_off") - F.col("p_on")).between(_ms(P_WAVE["least_ms"], fs), _ms(P_WAVE["most_ms"], fs))).select("record_id", "p_on", "p_off")
 
 
 def p_seen(beats: DataFrame, base: DataFrame, p: DataFrame) -> DataFrame:

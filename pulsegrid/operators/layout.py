@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels
+from pulsegrid.functions.series import filled
 from pulsegrid.schema import AUTO_LAYOUTS, LAYOUTS, MM_PER_MV, MM_PER_S
 
 
@@ -146,30 +147,38 @@ def column_clusters(ink_rows: DataFrame, keys, gap: int = 3) -> DataFrame:
     return rows.groupBy(*keys, "x", "part").agg(F.avg("y").alias("centre"), (F.max("y") - F.min("y") + 1).alias("thickness")).drop("part")
 
 
-def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70.0) -> DataFrame:
-    """keys, x, y, coverage of the line followed through the clusters of a cell; the walk over one cell's columns is a kernel.
+def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70.0, least: int = 5) -> DataFrame:
+    """keys, x, y, coverage of the line followed through the clusters of a cell.
 
-    widths: keys, width (columns of the cell).
+    widths: keys, width (columns of the cell) and, if given, base, the height at
+    which to begin; without it that is the fullest bin of the cluster heights.
+    Column by column the cluster nearest to the height reached is taken, the
+    thinner of two as near; a column of which all clusters are more than `slew`
+    away (None: any distance will do) is left out.  Columns between and at the ends are
+    filled; coverage is the share of columns not filled.  Cells with fewer than
+    `least` columns taken give no rows.  One cell's columns are folded in one
+    row: their number is the width of an image.
     """
-    per = clusters.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "centre", "thickness"))).alias("c")).join(widths, [*keys])
-
-    def run(frames):
-        for f in frames:
-            ys, share = [], []
-            for found, width in zip(f["c"], f["width"]):
-                columns: list = [[] for _ in range(int(width))]
-                for c in found:
-                    if 0 <= c["x"] < width:
-                        columns[c["x"]].append((c["centre"], c["thickness"]))
-                y, s = kernels.follow(columns, slew)
-                ys.append([] if y is None else [None if np.isnan(v) else float(v) for v in y])
-                share.append(float(s))
-            out = f[[*keys]].copy()
-            out["ys"], out["coverage"] = ys, share
-            yield out
-
-    schema = ", ".join(f"{k} {clusters.schema[k].dataType.simpleString()}" for k in keys) + ", ys array<double>, coverage double"
-    return per.mapInPandas(run, schema).select(*keys, F.posexplode("ys").alias("x", "y"), "coverage")
+    if "base" not in widths.columns:
+        widths = widths.join(histogram_mode(clusters, keys, "centre"), [*keys], "left")
+    columns = clusters.groupBy(*keys, "x").agg(F.collect_list(F.struct("thickness", F.col("centre").cast("double").alias("centre"))).alias("found"))
+    cell = columns.join(widths, [*keys]).where("x >= 0 and x < width").groupBy(*keys, "width", "base").agg(F.sort_array(F.collect_list(F.struct("x", "found"))).alias("columns"))
+    start = F.struct(F.col("base").cast("double").alias("at"), F.array().cast("array<struct<x:int,y:double>>").alias("taken"))
+
+    def step(state, column):
+        near = F.array_min(F.transform(column["found"], lambda f: F.struct(F.abs(f["centre"] - state["at"]).alias("off"), f["thickness"], f["centre"])))
+
+        def take(n):
+            point = F.struct(column["x"].cast("int").alias("x"), n["centre"].alias("y"))
+            moved = F.struct(n["centre"].alias("at"), F.concat(state["taken"], F.array(point)).alias("taken"))
+            return moved if slew is None else F.when(n["off"] <= slew, moved).otherwise(state)
+
+        return F.transform(F.array(near), take)[0]
+
+    cell = cell.select(*keys, "width", F.aggregate("columns", start, step)["taken"].alias("taken")).where(F.size("taken") >= least)
+    cell = cell.withColumn("coverage", F.size("taken") / F.col("width")).withColumn("known", F.map_from_entries("taken"))
+    rows = cell.select(*keys, "coverage", "known", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    return rows.select(*keys, "x", F.element_at("known", F.col("x").cast("int")).alias("y"), "coverage").withColumn("y", filled("y", keys, "x"))
 
 
 def millivolts(y: Column, middle: Column, mm_px: Column, limit: float = 5.0) -> Column:
