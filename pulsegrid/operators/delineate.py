@@ -126,9 +126,10 @@ def p_waves(magnitude: DataFrame, bounds: DataFrame, rates: DataFrame, fs: int)
     ahead_ms = F.bround(F.least(F.lit(340.0), 0.5 * F.col("rr_ms")) * fs / 1000.0).cast("int")
     spans = bounds.join(rates.select("record_id", "rr_ms"), "record_id")
     spans = spans.select("record_id", F.greatest(F.lit(0), F.col("qrs_on") - ahead_ms).alias("lo"), (F.col("qrs_on") - _ms(25, fs)).alias("hi")).where(F.col("hi") - F.col("lo") >= _ms(80, fs))
+    magnitude = materialise(magnitude, "magnitude")
     part = magnitude.join(spans, "record_id").where("i >= lo and i < hi")
     quiet = quietest_range(part, ["record_id"], "i", "mag", _ms(40, fs))
-    part = part.join(quiet, "record_id").withColumn("stand", F.greatest(F.lit(P_WAVE["least_mv"]), P_WAVE["snr"] * F.col("quiet")))
+    part = materialise(part.join(quiet, "record_id").withColumn("stand", F.greatest(F.lit(P_WAVE["least_mv"]), P_WAVE["snr"] * F.col("quiet"))), "before-complex")
     edge = part.groupBy("record_id", "lo", "hi", "stand").agg(
         F.min("mag").alias("least"), F.max(F.when(F.col("i") == F.col("hi") - 1, F.col("mag"))).alias("last"), F.max(F.when(F.col("i") == F.col("hi") - 1 - hold, F.col("mag"))).alias("before")
     )
@@ -182,7 +183,9 @@ def t_windows(sv: DataFrame, bounds: DataFrame, rates: DataFrame, p: DataFrame,
     rows = rows.withColumn("n", F.max("i").over(w) + 1).withColumn("sp", moving_average("sv", ["record_id"], "i", _ms(30, fs)))
     lo = F.col("qrs_off") + _ms(50, fs)
     hi = F.least(F.col("n"), F.col("qrs_off") + F.bround(F.least(F.lit(600.0), 0.68 * F.col("rr_ms")) * fs / 1000.0).cast("int"))
-    hi = F.least(hi, F.greatest(lo + _ms(100, fs), F.col("p_on") + F.bround(F.col("rr_ms") * fs / 1000.0).cast("int")))
+    # a record without P has no next P that could cap the window (greatest() would pass over the null)
+    next_p = F.when(F.col("p_on").isNotNull(), F.greatest(lo + _ms(100, fs), F.col("p_on") + F.bround(F.col("rr_ms") * fs / 1000.0).cast("int")))
+    hi = F.least(hi, next_p)
     rows = rows.withColumn("lo", lo).withColumn("hi", hi).where(F.col("hi") - F.col("lo") >= _ms(100, fs)).where("i >= lo and i < hi")
     rows = rows.withColumn("floor", F.percentile("sp", F.lit(0.2)).over(w)).withColumn("top", F.min(F.struct((-F.col("sp")).alias("v"), "i")).over(w))
     rows = rows.withColumn("thr", F.col("floor") + 0.25 * (-F.col("top.v") - F.col("floor")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import kernels
 from pulsegrid.functions.series import filled
 from pulsegrid.schema import AUTO_LAYOUTS, LAYOUTS, MM_PER_MV, MM_PER_S
+from pulsegrid.tables import materialise
 
 
 def gray_pixels(images: DataFrame) -> DataFrame:
@@ -175,10 +176,10 @@ def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70
 
         return F.transform(F.array(near), take)[0]
 
-    cell = cell.select(*keys, "width", F.aggregate("columns", start, step)["taken"].alias("taken")).where(F.size("taken") >= least)
-    cell = cell.withColumn("coverage", F.size("taken") / F.col("width")).withColumn("known", F.map_from_entries("taken"))
-    rows = cell.select(*keys, "coverage", "known", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    return rows.select(*keys, "x", F.element_at("known", F.col("x").cast("int")).alias("y"), "coverage").withColumn("y", filled("y", keys, "x"))
+    cell = materialise(cell.select(*keys, "width", F.aggregate("columns", start, step)["taken"].alias("taken")).where(F.size("taken") >= least), "traces")
+    grid = cell.select(*keys, (F.size("taken") / F.col("width")).alias("coverage"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    points = cell.select(*keys, F.explode("taken").alias("t")).select(*keys, "t.x", "t.y")
+    return grid.join(points, [*keys, "x"], "left").select(*keys, "x", "y", "coverage").withColumn("y", filled("y", keys, "x"))
 
 
 def millivolts(y: Column, middle: Column, mm_px: Column, limit: float = 5.0) -> Column:

@@ -293,9 +293,9 @@ def j2(spark, d):
     return C.analyser_spread(a, b, "k", "v").withColumn("med_abs", F.round("med_abs", 4)).withColumn("p90_abs", F.round("p90_abs", 4))
 
 
-@query("j4_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("j4_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def j4(spark, d):
-    done = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("c_custkey"))
+    done = spark.read.parquet(f"{d}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return C.pending(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), done, "c_custkey")
 
 
@@ -374,16 +374,16 @@ def u1(spark, d):
     return C.stages({"A": n(o), "B": n(o.where("o_totalprice > 150000"))})
 
 
-@query("u2_distinct_centres", f"WITH {E_SQL}, c AS (SELECT user_id, list_sort(list_distinct(list(CAST(floor(x / 10) AS BIGINT)))) AS c FROM e WHERE i <= 12 GROUP BY 1) SELECT user_id, array_to_string(c, ' ') AS centres, len(c) < 12 AS collapsed FROM c")
+@query("u2_distinct_centres", f"WITH {E_SQL}, c AS (SELECT user_id, list_sort(list_distinct(list(CAST(floor(x / 10) AS BIGINT)))) AS c, count(*) AS n FROM e GROUP BY 1) SELECT user_id, array_to_string(c, ' ') AS centres, len(c) < n AS collapsed FROM c")
 def u2(spark, d):
-    c = events(spark, d).where("i <= 12").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.floor(F.col("x") / 10)))).alias("c"))
-    return c.select("user_id", F.array_join("c", " ").alias("centres"), (F.size("c") < 12).alias("collapsed"))
+    c = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_set(F.floor(F.col("x") / 10))).alias("c"), F.count("*").alias("n"))
+    return c.select("user_id", F.array_join("c", " ").alias("centres"), (F.size("c") < F.col("n")).alias("collapsed"))
 
 
-@query("u6_leads_less_bad", f"WITH {E_SQL} SELECT user_id, i FROM e WHERE i <= 20 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.user_id = e.user_id AND b.i = e.i AND b.x < 60)")
+@query("u6_leads_less_bad", f"WITH {E_SQL} SELECT user_id, i FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.user_id = e.user_id AND b.i = e.i AND b.x < 60)")
 def u6(spark, d):
     e = events(spark, d)
-    return e.where("i <= 20").select("user_id", "i").join(e.where("x < 60").select("user_id", "i"), ["user_id", "i"], "left_anti")
+    return e.select("user_id", "i").join(e.where("x < 60").select("user_id", "i"), ["user_id", "i"], "left_anti")
 
 
 # ------------------------------------------------------------------ leads
@@ -642,7 +642,15 @@ def t6(spark, d):
     return Y.choose_layout(Y.layout_scores(profile, Y.row_centres(profile, [4, 7, 12])))
 
 
-@query("t11_traces")
+@query(
+    "t11_traces",
+    """WITH RECURSIVE ink AS (SELECT record_id, CAST(x AS INTEGER) AS x, k, CAST(30 + 60 * k + (x * (k + 3) + record_id) % 17 AS INTEGER) AS y FROM (SELECT DISTINCT user_id AS record_id FROM events), (SELECT unnest(range(320)) AS x), (SELECT unnest(range(4)) AS k)),
+l AS (SELECT record_id, CAST(y // 60 AS INTEGER) AS line, x, CAST(y AS DOUBLE) AS centre FROM ink),
+b AS (SELECT record_id, line, (min(struct_pack(c := -c, bin := bin)).bin + 0.5) * 2 AS base FROM (SELECT record_id, line, floor(centre / 2) AS bin, count(*) AS c FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT record_id, line, -1 AS x, base AS at, CAST(NULL AS DOUBLE) AS y FROM b
+  UNION ALL SELECT w.record_id, w.line, w.x + 1, CASE WHEN abs(l.centre - w.at) <= 70 THEN l.centre ELSE w.at END, CASE WHEN abs(l.centre - w.at) <= 70 THEN l.centre END FROM w LEFT JOIN l ON l.record_id = w.record_id AND l.line = w.line AND l.x = w.x + 1 WHERE w.x < 319)
+SELECT record_id, line, count(y) AS n, round(avg(y), 6) AS mean, count(y) / 320.0 AS coverage FROM w WHERE x >= 0 GROUP BY 1, 2""",
+)
 def t11(spark, d):
     """All lines of each page, 60 rows apart, followed column by column."""
     ink_rows, _ = page(spark, d)
@@ -742,3 +750,6 @@ def t16(spark, d):
 @query("v7_probe_peaks", f"WITH {s_sql(['I', 'II'], 300)}, o AS (SELECT *, i - row_number() OVER (PARTITION BY record_id, lead ORDER BY i) AS g FROM s WHERE mv > 0.2), t AS (SELECT *, max(mv) OVER (PARTITION BY record_id, lead, g) AS top FROM o) SELECT record_id, lead, min(i) AS a, count(*) FILTER (mv >= top / 2) AS width, round(max(top), 6) AS top FROM t GROUP BY record_id, lead, g")
 def v7(spark, d):
     return Y.probe_peaks(signals(spark, d, ["I", "II"], 300), 0.2).withColumn("top", F.round("top", 6))
+
+
+from pulsegrid.plans import beat_queries  # noqa: E402, F401 - adds its queries
