@@ -148,7 +148,7 @@ def column_clusters(ink_rows: DataFrame, keys, gap: int = 3) -> DataFrame:
     return rows.groupBy(*keys, "x", "part").agg(F.avg("y").alias("centre"), (F.max("y") - F.min("y") + 1).alias("thickness")).drop("part")
 
 
-def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70.0, least: int = 5) -> DataFrame:
+def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70.0, least: int = 5, part: int = 16) -> DataFrame:
     """keys, x, y, coverage of the line followed through the clusters of a cell.
 
     widths: keys, width (columns of the cell) and, if given, base, the height at
@@ -176,7 +176,15 @@ def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70
 
         return F.transform(F.array(near), take)[0]
 
-    cell = materialise(cell.select(*keys, "width", F.aggregate("columns", start, step)["taken"].alias("taken")).where(F.size("taken") >= least), "traces")
+    # parts of some columns each are folded on their own, so that what has been taken is copied once a part and not once a column
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("columns") - 1) / part).cast("int")), lambda k: F.slice("columns", k * part + 1, part))
+    none = F.array().cast("array<struct<x:int,y:double>>")
+
+    def fold(state, columns):
+        within = F.aggregate(columns, F.struct(state["at"].alias("at"), none.alias("taken")), step)
+        return F.transform(F.array(within), lambda w: F.struct(w["at"].alias("at"), F.concat(state["taken"], w["taken"]).alias("taken")))[0]
+
+    cell = materialise(cell.select(*keys, "width", F.aggregate(parts, start, fold)["taken"].alias("taken")), "traces").where(F.size("taken") >= least)
     grid = cell.select(*keys, (F.size("taken") / F.col("width")).alias("coverage"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     points = cell.select(*keys, F.explode("taken").alias("t")).select(*keys, "t.x", "t.y")
     return grid.join(points, [*keys, "x"], "left").select(*keys, "x", "y", "coverage").withColumn("y", filled("y", keys, "x"))
