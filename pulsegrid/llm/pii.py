@@ -2,15 +2,17 @@
 
 DataFrame expressions only.  A surrogate is a function of the key, the type
 and the canonical form of an entity, so all mentions in all documents get the
-same one without a join.  Distinctness can't be had that way: the distinct
-entities are aggregated, those whose surrogate another entity has too, or which
-is itself an entity, are given their next surrogate until none is left, and
-this small table of exceptions is joined to the documents that mention them.
+same one without a join.  It is a keyed permutation of the values of the
+entity's own format, so distinct entities stay distinct by construction,
+however densely a format is used.  Only given names, which come from short
+lists to show a gender, can meet: the distinct persons are aggregated, those
+whose full names would meet are numbered, and this small table is joined to the
+documents that mention them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import materialise
@@ -29,10 +31,11 @@ GIVEN = {
     ("f", "cyrillic"): ["Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "София"],
     ("n", "cyrillic"): ["Валя", "Женя", "Саша", "Слава", "Шура", "Паша", "Вася", "Гера", "Лера", "Миша", "Никки", "Рома", "Сима", "Тоша", "Юра", "Ян"],
 }
-SYLLABLES = {
-    "latin": ["ba", "do", "fe", "ga", "ko", "li", "ma", "no", "pe", "ra", "so", "ta", "ve", "wi", "zu", "he"],
-    "cyrillic": ["ба", "до", "фе", "га", "ко", "ли", "ма", "но", "пе", "ра", "со", "та", "ве", "ви", "зу", "хе"],
-}
+#: Letters that take each other's place: digits, hex digits, letters by case, and vowels and consonants of names by script.
+DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "abcdef"
+VOWELS, CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
+ACCENTED = "áàâäéèêëíìîïóòôöúùûü"
+CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"
 
 _KEY = r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-fA-F]{32,}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}"
 
@@ -58,7 +61,6 @@ ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
 #: What every entity contains, besides "=" or ":" for a secret; other texts are passed over without the full pattern.
 #: The look-ahead settles most places of a text by one character.
 HINT = r"[0-9@]|(?=[" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | {t[0].upper() for ts in TITLES.values() for t in ts})) + r"])" + _TITLE + "|AKIA|gh[pousr]_|sk-|[a-fA-F]{32}"
-ATTEMPTS = 10
 #: Parts of an assignment: name, sign and opening quote; the value; the closing quote.
 _ASSIGNED = r"(?s)^([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)$"
 
@@ -76,38 +78,98 @@ def kind(e: Column) -> Column:
     return out
 
 
+def _gender(title: Column) -> Column:
+    of = lambda g: F.lower(title).isin([t.lower() for t in TITLES[g]])
+    return F.when(of("m"), "m").when(of("f"), "f").otherwise("n")
+
+
 def canonical(e: Column, k: Column) -> Column:
-    """What mentions of one entity have in common: letter case of e-mail addresses and separators of numbers don't count."""
+    """What mentions of one entity have in common.
+
+    Letter case of e-mail addresses and names, separators of numbers and
+    leading zeros of addresses don't count.  A person is the gender of the
+    title with all names given: "Mr John Smith" and "Mr Peter Smith" are two,
+    and "Mr Smith" names either, as in the original.
+    """
+    person = F.concat(_gender(F.regexp_extract(e, r"^([^\s.]+)", 1)), F.lit(" "), F.initcap(F.regexp_replace(e, r"^\S+ ", "")))
     return (
         F.when(k == "email", F.lower(e))
+        .when(k == "ip", F.array_join(F.transform(F.split(e, r"\."), lambda o: o.cast("int").cast("string")), "."))
         .when(k.isin("card", "phone"), F.regexp_replace(e, r"[^0-9]", ""))
         .when(k == "secret", F.regexp_extract(e, _ASSIGNED, 2))
-        .when(k == "person", F.initcap(F.regexp_replace(e, r"^\S+ (?:.* )?", "")))
+        .when(k == "person", person)
         .otherwise(e)
     )
 
 
-def _number(digest: Column, at, most: int) -> Column:
-    """A number below `most` from two hex digits of a digest."""
-    pair = F.substring(digest, F.pmod(at * 2, F.lit(126)).cast("int") + 1, F.lit(2))
-    return F.pmod(F.conv(pair, 16, 10).cast("int"), F.lit(most))
+# --------------------------------------------------------------- permutations
 
 
-def _alike(s: Column, digest: Column) -> Column:
-    """A string of the same length, letter cases, digits and separators as s (hex stays hex)."""
-    hexed = (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")) | s.rlike("^[0-9a-fA-F]{32,}$")
+def _places(s: Column, alphabets: Column, first: Column, last: Column) -> Column:
+    """The characters of a string as an array of (v: place in its alphabet a, m: size of a); a character of none of the alphabets, or not from first to last (from 1), is its own."""
 
     def one(i):
         c = F.substring(s, i, F.lit(1))
-        n = lambda most: _number(digest, i, most)
-        return (
-            F.when(c.rlike("[0-9]"), F.char(n(10) + 48))
-            .when(c.rlike("[a-z]"), F.char(F.when(hexed, n(6)).otherwise(n(26)) + 97))
-            .when(c.rlike("[A-Z]"), F.char(F.when(hexed, n(6)).otherwise(n(26)) + 65))
-            .otherwise(c)
-        )
+        own = F.when(i.between(first, last), F.coalesce(F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0)), c)).otherwise(c)
+        return _bound(own, lambda a: F.struct((F.call_function("instr", a, c) - 1).alias("v"), F.length(a).alias("m"), a.alias("a")))
+
+    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), one)).otherwise(F.array().cast("array<struct<v:int,m:int,a:string>>"))
+
+
+def _text(places: Column) -> Column:
+    return F.array_join(F.transform(places, lambda x: F.substring(x["a"], x["v"] + 1, F.lit(1))), "")
+
+
+def permuted(rows: DataFrame, name: str, key: str, rounds: int = 2) -> DataFrame:
+    """rows whose column `name`, an array of (places, tweak), becomes an array of the permuted places.
+
+    A keyed permutation, without fixed points, of all arrays of places over the
+    same alphabets: an alternating Feistel network whose halves are moved place
+    by place, so every place stays in its alphabet and no value leaves its
+    format; between it and its inverse every place is moved on by one, so no
+    array with a place that can move is its own image.
+    """
+
+    def moved(part, by, sign=1):
+        return F.transform(part, lambda x, i: F.struct(F.pmod(x["v"] + sign * by(i), x["m"]).cast("int").alias("v"), x["m"].alias("m"), x["a"].alias("a")))
+
+    def halves(x):
+        half = F.floor(F.size(x["places"]) / 2).cast("int")
+        return F.struct(x["tweak"].alias("tweak"), F.slice(x["places"], F.lit(1), half).alias("l"), F.slice(x["places"], half + 1, F.size(x["places"]) - half).alias("r"))
+
+    def turn(r, sign):
+        """The right half is moved by the left one in even rounds, the left by the right in odd ones."""
+        source, target = ("l", "r") if r % 2 == 0 else ("r", "l")
 
-    return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), ""))
+        def one(x):
+            seed = F.concat_ws("\x1f", F.lit(key), x["tweak"], F.lit(str(r)), F.array_join(F.transform(x[source], lambda p: p["v"].cast("string")), ","))
+            # four hex digits for each of 32 places, and for those beyond the same again, on by seven
+            by = lambda d: lambda i: F.conv(F.substring(d, F.pmod(i, F.lit(32)).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
+            new = _bound(F.sha2(seed, 512), lambda d: moved(x[target], by(d), sign))
+            both = {source: x[source], target: new}
+            return F.struct(x["tweak"].alias("tweak"), both["l"].alias("l"), both["r"].alias("r"))
+
+        return one
+
+    def on(x):
+        return F.struct(x["tweak"].alias("tweak"), moved(x["l"], lambda i: F.lit(1)).alias("l"), moved(x["r"], lambda i: F.lit(1)).alias("r"))
+
+    forth = [turn(r, 1) for r in range(rounds)]
+    back = [turn(r, -1) for r in reversed(range(rounds))]
+    # one projection a step: lambdas nested in each other would be resolved anew for every level
+    for step in [halves, *forth, on, *back, lambda x: F.concat(x["l"], x["r"])]:
+        rows = rows.withColumn(name, F.transform(name, step))
+    return rows
+
+
+def _sets(*alphabets: str) -> Column:
+    return F.array(*map(F.lit, alphabets))
+
+
+def _alphabets(s: Column) -> Column:
+    """Digits for digits and letters for letters by case; hex stays hex."""
+    hexed = (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")) | s.rlike("^[0-9a-fA-F]{32,}$")
+    return F.when(hexed, _sets(DIGITS, HEX, HEX.upper())).otherwise(_sets(DIGITS, LETTERS, LETTERS.upper()))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -122,88 +184,168 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + v)
 
 
+def _check_digit(stem: Column) -> Column:
+    """The digit that makes stem and it Luhn-valid."""
+    return F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(stem, F.lit("0"))), F.lit(10)), F.lit(10))
+
+
+def _off_check(card: Column) -> Column:
+    """How far the last digit is off the check digit of the others: 0 if the number is valid."""
+    n = F.length(card)
+    return F.pmod(F.substring(card, n, F.lit(1)).cast("int") - _check_digit(F.substring(card, F.lit(1), n - 1)), F.lit(10))
+
+
+#: Numbers of an address that mean something keep their place; the others of a place take each other's: (numbers left out, in order) for each place.
+_FIRST, _AFTER_172, _AFTER_192 = [10, 127, 172, 192], list(range(16, 32)), [168]
+
+
+def _ip_places(canon: Column) -> Column:
+    """The numbers of an address; 10, 127, 172.16-31 and 192.168 stay what they are, and a number over 255 stays over it."""
+
+    def place(o, i, first):
+        of = lambda v, m, a: F.struct(v.cast("int").alias("v"), F.lit(m).alias("m"), F.lit(a).alias("a"))
+        less = lambda out: o - sum(F.when(o > x, 1).otherwise(0) for x in out)
+        stays = F.struct(F.lit(0).alias("v"), F.lit(1).alias("m"), o.cast("string").alias("a"))
+        return (
+            F.when(o > 255, of(o - 256, 744, "high"))
+            .when((i == 0) & o.isin(_FIRST), stays)
+            .when(i == 0, of(less(_FIRST), 256 - len(_FIRST), "first"))
+            .when((i == 1) & (first == 172) & o.isin(_AFTER_172), of(o - 16, 16, "inner"))
+            .when((i == 1) & (first == 172), of(less(_AFTER_172), 240, "outer"))
+            .when((i == 1) & (first == 192) & o.isin(_AFTER_192), stays)
+            .when((i == 1) & (first == 192), of(less(_AFTER_192), 255, "other"))
+            .otherwise(of(o, 256, "any"))
+        )
+
+    octets = F.transform(F.split(canon, r"\."), lambda o: o.cast("int"))
+    return _bound(octets, lambda o: F.transform(o, lambda x, i: place(x, i, o[0])))
+
+
+def _address(places: Column) -> Column:
+    """The address that places stand for."""
+
+    def number(x):
+        v, a = x["v"], x["a"]
+        first = v
+        for out in _FIRST:
+            first = F.when(first >= out, first + 1).otherwise(first)
+        n = F.when(a == "high", v + 256).when(a == "first", first).when(a == "inner", v + 16).when((a == "outer") & (v >= 16), v + 16).when((a == "other") & (v >= 168), v + 1).otherwise(v)
+        return F.when(x["m"] == 1, a).otherwise(n.cast("string"))
+
+    return F.array_join(F.transform(places, number), ".")
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+
+def _given_at(canon: Column, key: str) -> Column:
+    """Which of the sixteen given names of its gender and script a full name gets."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), canon), 256), 1, 4), 16, 10).cast("int") % 16
+
+
+def _person(e: Column, canon: Column, key: str, number: Column, surname: Column) -> Column:
+    """Title kept; a given name of its gender and script, with further ones by its number where persons would meet; capitals as in the original."""
+    gender, script = F.substring(canon, 1, 1), _script(canon)
+    lists = F.lit(None).cast("array<string>")
+    for (g, s), known in GIVEN.items():
+        lists = F.when((gender == g) & (script == s), F.array(*map(F.lit, known))).otherwise(lists)
+
+    def named(names):
+        # numbers from 1 on add names: their digits to base 16
+        digits = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(number, F.lit(1))) / 4).cast("int")), lambda j: F.floor(number / F.pow(F.lit(16.0), j)).cast("int") % 16)
+        more = F.when(number > 0, F.transform(digits, lambda d: F.element_at(names, d + 1))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array_join(F.concat(F.array(F.element_at(names, _given_at(canon, key) + 1)), more), "-"), F.lit(" "))
+
+    given = F.when(F.size(F.split(canon, " ")) > 2, _bound(lists, named)).otherwise("")
+    both = F.concat(given, F.initcap(surname))
+    return F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.when(e.rlike(r" \p{Lu}[\p{Lu}'-]+$"), F.upper(both)).otherwise(both))
+
+
 def _fill(shape: Column, digits: Column) -> Column:
     """The digits of a string put, in order, for the digits of a shape."""
-    parts = F.transform(
-        F.sequence(F.lit(1), F.length(shape)),
-        lambda i: F.when(
-            F.substring(shape, i, F.lit(1)).rlike("[0-9]"),
-            F.substring(digits, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), "[^0-9]", "")), F.lit(1)),
-        ).otherwise(F.substring(shape, i, F.lit(1))),
-    )
-    return F.array_join(parts, "")
-
-
-def _person(e: Column, name: Column, digest: Column) -> Column:
-    """Title kept; given name of its gender and of the script, surname of syllables; capitals as in the original."""
-    title = F.regexp_extract(e, r"^([^\s.]+)", 1)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(F.lower(title).isin([t.lower() for t in TITLES["m"]]), "m").when(F.lower(title).isin([t.lower() for t in TITLES["f"]]), "f").otherwise("n")
-    given = F.lit(None).cast("string")
-    for (g, s), names in GIVEN.items():
-        given = F.when((gender == g) & (script == s), F.element_at(F.array(*map(F.lit, names)), _number(digest, F.lit(40), 16) + 1)).otherwise(given)
-
-    def surname(s):
-        parts = F.array(*map(F.lit, SYLLABLES[s]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.element_at(parts, _number(digest, i, 16) + 1)), ""))
-
-    last = F.when(script == "cyrillic", surname("cyrillic")).otherwise(surname("latin"))
-    loud = e.rlike(r" \p{Lu}[\p{Lu}'-]+$")
-    cased = lambda x: F.when(loud, F.upper(x)).otherwise(x)
-    full = e.rlike(rf"^\S+ {_NAME} {_NAME}$")
-    return F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.when(full, F.concat(given, F.lit(" "))).otherwise(""), cased(last))
-
-
-def surrogate(e: Column, k: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """Replacement of a mention e of the entity (k, canon)."""
-    digest = lambda what: F.sha2(F.concat_ws("\x1f", F.lit(key), k, what, attempt.cast("string")), 512)
-
-    def ip(d):
-        octets = F.split(e, r"\.")
-        private = e.rlike(r"^(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.")
-        fixed = F.when(e.startswith("192.168") | e.startswith("172"), 2).otherwise(1)
-        return F.array_join(
-            F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(private & (i < fixed), octets[i]).otherwise((_number(d, i, 254) + 1).cast("string"))), "."
-        )
 
-    def email(d):
-        local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-        name = F.regexp_replace(domain, r"\.[^.]+$", "")
-        top = F.regexp_extract(domain, r"(\.[^.]+)$", 1)
-        return F.concat(_alike(local, d), F.lit("@"), _bound(digest(domain), lambda x: _alike(name, x)), top)
-
-    def number(d):
-        n = F.length(canon)
-        lead = F.when(k == "card", F.substring(canon, 1, 1)).otherwise(F.when(e.startswith("+"), F.substring(canon, 1, 1)).otherwise(F.char(_number(d, F.lit(50), 8) + 50)))
-        body = F.concat(lead, _alike(F.substring(canon, F.lit(2), n - 1), d))
-
-        def checked(b):
-            stem = F.concat(F.substring(b, F.lit(1), n - 1), F.lit("0"))
-            right = (F.pmod(F.lit(10) - F.pmod(_luhn_sum(stem), F.lit(10)), F.lit(10))).cast("string")
-            luhn = (k == "card") & (F.pmod(_luhn_sum(canon), F.lit(10)) == 0)
-            return F.when(luhn, F.concat(F.substring(b, F.lit(1), n - 1), right)).otherwise(b)
-
-        return _bound(_bound(body, checked), lambda x: _fill(e, x))
-
-    def key_like(d):
-        return F.when(canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _alike(F.substring(canon, 5, 64), d))).otherwise(_alike(canon, d))
-
-    def chosen(d):
-        # after many collisions a short format has no room left: a keyed suffix makes it distinct
-        tail = F.when((attempt >= 5) & k.isin("secret", "person"), F.substring(d, 1, 8)).otherwise("")
-        part = lambda i: F.regexp_extract(e, _ASSIGNED, i)
-        return F.concat(
-            F.when(k == "email", email(d))
-            .when(k == "ip", ip(d))
-            .when(k.isin("card", "phone"), number(d))
-            .when(k == "secret", F.concat(part(1), _alike(canon, d)))
-            .when(k == "key", key_like(d))
-            .when(k == "person", _person(e, canon, d)),
-            tail,
-            F.when(k == "secret", part(3)).otherwise(""),
+    def filled(x):
+        shape, digits = x["s"], x["d"]
+        parts = F.transform(
+            F.sequence(F.lit(1), F.length(shape)),
+            lambda i: F.when(
+                F.substring(shape, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), "[^0-9]", "")), F.lit(1))
+            ).otherwise(F.substring(shape, i, F.lit(1))),
         )
+        return F.array_join(parts, "")
 
-    return _bound(digest(canon), chosen)
+    return _bound(F.struct(shape.alias("s"), digits.alias("d")), filled)
+
+
+_MARK = "^(AKIA|gh[pousr]_|sk-)"
+
+
+def _domain(canon: Column) -> tuple[Column, Column]:
+    """(name, top domain with its dot) of an e-mail address."""
+    domain = F.substring_index(canon, "@", -1)
+    return F.regexp_replace(domain, r"\.[^.]+$", ""), F.regexp_extract(domain, r"(\.[^.]+)$", 1)
+
+
+def _part(k: Column, canon: Column) -> Column:
+    """What of an entity is permuted: (part, alphabets, first and last place that may change, tweak, which stays the same).
+
+    An e-mail's local part (its domain is permuted by itself), a card but for
+    its last digit, which stays as far off the check digit as it was, a key but
+    for its issuer's mark, a surname, or all.  A card's first digit, a phone's if
+    0 or 1, and the last two letters of a Cyrillic surname of five or more,
+    which tell the gender, stay.
+    """
+    part = (
+        F.when(k == "email", F.substring_index(canon, "@", 1)).when(k == "card", F.substring(canon, F.lit(1), F.length(canon) - 1)).when(k == "key", F.regexp_replace(canon, _MARK, ""))
+        .when(k == "person", F.lower(F.substring_index(canon, " ", -1))).otherwise(canon)
+    )
+
+    def described(p):
+        names = _sets(VOWELS, CONSONANTS, ACCENTED, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS)
+        sets = F.when(k == "person", names).when(k.isin("card", "phone"), _sets(DIGITS)).otherwise(_alphabets(p))
+        first = F.when((k == "card") | ((k == "phone") & canon.rlike("^[01]")), 2).otherwise(1)
+        last = F.length(p) - F.when((k == "person") & (F.length(p) >= 5) & p.rlike(r"\p{IsCyrillic}"), 2).otherwise(0)
+        same = F.when(k == "email", F.substring_index(canon, "@", -1)).when(k == "card", _off_check(canon).cast("string")).when(k == "key", F.regexp_extract(canon, _MARK, 1)).otherwise("")
+        return F.struct(p.alias("p"), sets.alias("sets"), first.alias("first"), last.alias("last"), F.concat_ws(" ", k, same).alias("tweak"))
+
+    return _bound(part, described)
+
+
+def _shown(f: Column, number: Column, places: Column, domain: Column, key: str) -> Column:
+    """Replacement of a mention f (k, c, e) from the permuted places of its part and of its domain."""
+    k, canon, e = f["k"], f["c"], f["e"]
+    of = lambda i: F.regexp_extract(e, _ASSIGNED, i)
+    card = lambda x: F.concat(x, F.pmod(_check_digit(x) + _off_check(canon), F.lit(10)).cast("string"))
+    text = _text(places)
+    return (
+        F.when(k == "ip", _address(places))
+        .when(k == "email", F.concat(text, F.lit("@"), _text(domain), _domain(canon)[1]))
+        .when(k == "card", _fill(e, _bound(text, card)))
+        .when(k == "phone", _fill(e, text))
+        .when(k == "secret", F.concat(of(1), text, of(3)))
+        .when(k == "key", F.concat(F.regexp_extract(canon, _MARK, 1), text))
+        .when(k == "person", _person(e, canon, key, number, text))
+    )
+
+
+def replaced(rows: DataFrame, key: str) -> DataFrame:
+    """rows (found: array of (k, c, e); numbers: map of persons' numbers) with s, the array of replacements."""
+    rows = rows.withColumn("main", F.transform("found", lambda f: _part(f["k"], f["c"])))
+    spelt = lambda x: F.struct(_places(x["p"], x["sets"], x["first"], x["last"]).alias("places"), x["tweak"].alias("tweak"))
+    rows = rows.withColumn("main", F.transform("main", spelt))
+    ip = lambda x, f: F.when(f["k"] == "ip", F.struct(_ip_places(f["c"]).alias("places"), x["tweak"].alias("tweak"))).otherwise(x)
+    rows = permuted(rows.withColumn("main", F.zip_with("main", "found", ip)), "main", key)
+
+    def domain(f):
+        name, top = _domain(f["c"])
+        name = F.when(f["k"] == "email", name).otherwise("")
+        return F.struct(name.alias("p"), _alphabets(name).alias("sets"), F.lit(1).alias("first"), F.length(name).alias("last"), F.concat(F.lit("domain "), top).alias("tweak"))
+
+    rows = permuted(rows.withColumn("domain", F.transform("found", domain)).withColumn("domain", F.transform("domain", spelt)), "domain", key)
+    number = lambda f: F.coalesce(F.col("numbers")[f["c"]], F.lit(0))
+    shown = F.transform("found", lambda f, i: _shown(f, number(f), F.get("main", i), F.get("domain", i), key))
+    return rows.withColumn("s", shown).drop("main", "domain")
 
 
 def _entity(e: Column) -> Column:
@@ -217,31 +359,19 @@ def _detected(docs: DataFrame) -> DataFrame:
     return docs.withColumn("found", F.when(hinted, F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), _entity)).otherwise(none))
 
 
-def exceptions(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """(k, c, attempt) of the entities whose first surrogate won't do.
+def numbered_persons(names: DataFrame, key: str) -> DataFrame:
+    """(c, number) of the full names (c) that would get the names of another person; of those that meet the first by c has none.
 
-    found: (k, c, e) of all mentions.  Entities are compared by the canonical
-    form of their surrogates.  In each round all but one of those with the same
-    surrogate, and all whose surrogate is an entity of the corpus, go on to
-    their next attempt.
+    Persons with one surname get one surname, so only they can meet, in one of
+    sixteen given names; numbered, they are told apart by further ones.
     """
-    own = found.groupBy("k", "c").agg(F.min("e").alias("e")).withColumn("attempt", F.lit(0))
-    own = materialise(own, "entities")
-    moved = None
-    for _ in range(attempts):
-        now = own if moved is None else own.drop("attempt").join(moved, ["k", "c"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-        shown = now.withColumn("s", canonical(surrogate(F.col("e"), F.col("k"), F.col("c"), key, F.col("attempt")), F.col("k")))
-        held = shown.groupBy("k", "s").agg(F.min("c").alias("first"), F.count("*").alias("n")).where("n > 1")
-        twice = shown.join(held.select("k", "s", "first"), ["k", "s"]).where("c <> first").select("k", "c", "attempt")
-        real = shown.join(own.select("k", F.col("c").alias("s")), ["k", "s"], "left_semi").select("k", "c", "attempt")
-        again = materialise(twice.unionByName(real).distinct().withColumn("attempt", F.col("attempt") + 1), "again")
-        if again.isEmpty():
-            break
-        kept = None if moved is None else moved.join(again.select("k", "c"), ["k", "c"], "left_anti")
-        moved = materialise(again if kept is None else kept.unionByName(again), "exceptions")
-    else:
-        raise ValueError(f"surrogates still collide after {attempts} attempts; use another key")
-    return own.limit(0).select("k", "c", "attempt") if moved is None else moved
+    own = names.distinct()
+    w = Window.partitionBy(F.substring("c", 1, 1), F.substring_index("c", " ", -1), _script(F.col("c")), _given_at(F.col("c"), key)).orderBy("c")
+    return own.where(F.size(F.split("c", " ")) > 2).select("c", (F.row_number().over(w) - 1).alias("number")).where("number > 0")
+
+
+#: Up to so many rows that mention numbered persons are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
@@ -249,27 +379,37 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
 
     k: email, ip, secret (the value of an assignment), key, phone, card or
     person (a title with names).  Replacements keep length classes, digits,
-    letter cases, separators, a card's network digit and Luhn validity, a
-    private address range, an e-mail's top domain (equal domains stay equal), a
-    person's title, gender and script.  The rest of a text is untouched; null
-    and empty texts stay.  Rows with the same text come out alike.  Columns
-    named entities are replaced.
+    letter cases, separators, the mark of a key's issuer, a card's first digit
+    and Luhn validity, ranges of addresses, an e-mail's top domain (equal
+    domains stay equal), a person's title, gender and script; persons with
+    one surname still have one.  Distinct entities of a type stay distinct in
+    every corpus, and none is its own surrogate; in a format that is densely
+    used a surrogate can be the value of another entity, which itself has
+    another one.  Characters that are neither digits nor Latin letters stay in
+    secrets, keys and addresses.  The rest of a text is untouched; null and
+    empty texts stay.  Rows with the same text come out alike.  Columns named
+    entities are replaced.
     """
     docs = docs.drop("entities")
-    rows = _detected(docs.withColumn("row_key", F.xxhash64("doc_id", "text")))
-    mentions = rows.where(F.size("found") > 0).select("row_key", F.explode("found").alias("f")).select("row_key", "f.k", "f.c", "f.e")
-    mentions = materialise(mentions, "mentions")
-    other = exceptions(mentions.select("k", "c", "e"), key)
-    affected = mentions.join(other, ["k", "c"]).groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "k", "c"), "attempt"))).alias("attempts"))
+    names = docs.columns
+    # other columns wait in one struct, so that none is taken for a column of this plan
+    docs = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_given"))
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    # names in any place are looked for, so this finds the persons of _detected() at least
+    titled = keyed.where(F.col("text").rlike(FORMATS["person"])).select("row_key", F.explode(F.regexp_extract_all("text", F.lit(f"({FORMATS['person']})"), F.lit(1))).alias("e"))
+    persons = materialise(titled.select("row_key", canonical(F.col("e"), F.lit("person")).alias("c")).distinct(), "persons")
+    numbers = materialise(numbered_persons(persons.select("c"), key), "numbers")
+    affected = persons.join(numbers, "c").groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct("c", "number"))).alias("numbers"))
     affected = materialise(affected, "affected")
-    if affected.isEmpty():
-        rows = rows.withColumn("attempts", F.lit(None).cast("map<string,int>"))
+    rows, n = _detected(keyed), affected.count()
+    if n == 0:
+        rows = rows.withColumn("numbers", F.lit(None).cast("map<string,int>"))
     else:
-        rows = rows.join(affected, "row_key", "left")
-    attempt = lambda f: F.coalesce(F.col("attempts")[F.concat_ws("\x1f", f["k"], f["c"])], F.lit(0))
-    done = F.transform("found", lambda f: F.struct(f["k"].alias("k"), f["e"].alias("e"), surrogate(f["e"], f["k"], f["c"], key, attempt(f)).alias("s")))
+        rows = rows.join(F.broadcast(affected) if n <= BROADCAST_ROWS else affected, "row_key", "left")
+    rows = replaced(rows, key)
+    done = F.zip_with("found", "s", lambda f, s: F.struct(f["k"].alias("k"), f["e"].alias("e"), s.alias("s")))
     rows = rows.withColumn("entities", F.when(F.size("found") > 0, done).otherwise(F.array().cast("array<struct<k:string,e:string,s:string>>")))
     between = F.split("text", ANY, -1)
     joined = F.array_join(F.zip_with(between, F.transform("entities", lambda x: x["s"]), lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("entities") > 0, joined).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "entities")
+    return rows.select(*[text.alias("text") if c == "text" else F.col("_given").getField(c).alias(c) for c in names], "entities")

@@ -265,7 +265,7 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    # four-letter secrets of one letter class: collisions are certain, and must be resolved alike in all documents
+    # four-letter secrets of one letter class: a hash would make some meet
     rng = random.Random(2)
     values = sorted({"".join(rng.choice("abcdef0123") for _ in range(4)) for _ in range(900)})
     rows = [(i, f"password={v} and token: {values[i - 1]}") for i, v in enumerate(values)]
@@ -275,7 +275,7 @@ def test_surrogates_stay_distinct(spark):
             found[re.split(r"[=:]\s*", e["e"])[1]].add(re.split(r"[=:]\s*", e["s"])[1])
     assert all(len(s) == 1 for s in found.values())
     used = [next(iter(s)) for s in found.values()]
-    assert len(set(used)) == len(used) == len(values) and not set(used) & set(values)
+    assert len(set(used)) == len(used) == len(values) and not any(s == v for v, (s,) in found.items())
 
 
 def test_surrogates_of_odd_rows(spark):

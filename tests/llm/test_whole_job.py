@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
+import re
+
 import numpy as np
 from test_operators import benchmark, frame, mixture_rows
 
@@ -30,6 +32,48 @@ def test_secrets_in_quotes(spark):
     same = pii.surrogates(frame(spark, [(1, 'password="abcd12345" password=abcd12345'), (2, 'password = ""\ntoken: \'abc\'')]), "k").orderBy("doc_id").collect()
     assert len({e["s"].replace('"', "") for e in same[0]["entities"]}) == 1 and same[1]["entities"] == []
 
+
+
+def test_distinct_stays_distinct(spark):
+    given = ["John", "Peter", "Paul", "Mark", "Luke", "Simon", "Otto", "Max", "Tim", "Tom", "Jan", "Rolf", "Kurt", "Fritz", "Hans", "Georg", "Anton", "Bernd", "Claus", "Dirk"]
+    people = [f"{t} {g} {s}" for t in ("Mr", "Frau", "Dr") for g in given for s in ("Smith", "Meier", "Li")]
+    addresses = [f"192.168.{a}.{b}" for a in range(0, 256, 5) for b in range(256)] + [f"{a}.9.8.7" for a in range(256)] + [f"172.{a}.1.1" for a in range(256)] + [f"192.{a}.1.1" for a in range(256)]
+    addresses = list(dict.fromkeys(addresses))
+    mails = [f"u{i}@{d}.example.{t}" for i in range(40) for d in ("aa", "ab", "b-c") for t in ("org", "com")]
+    cards = [f"4{i:015d}" for i in range(0, 9000, 7)]
+    phones = [f"+{c} 555-{i:04d}" for c in (1, 2, 49) for i in range(0, 10000, 97)] + ["(212) 555-0101", "(312) 555-0101"]
+    texts = [(i, "; ".join(x)) for i, x in enumerate((people, people[::-1], ["Mr. Smith", "MR. SMITH", "Mr SMITH", "Mr JOHN SMITH"], *(addresses[a : a + 3000] for a in range(0, len(addresses), 3000)), mails, cards, phones))]
+    found = {}
+    for r in pii.surrogates(frame(spark, texts), "k").collect():
+        for e in r["entities"]:
+            assert found.setdefault((e["k"], e["e"]), e["s"]) == e["s"] != e["e"]
+    of = lambda k: {e: s for (x, e), s in found.items() if x == k}
+    names = of("person")
+    full = [names[p] for p in people]
+    assert len(set(full)) == len(people)
+    assert names["MR. SMITH"] == names["Mr. Smith"].upper() and names["Mr JOHN SMITH"] == "Mr" + names["Mr John Smith"].upper()[2:]
+    assert len({names[p].split()[-1] for p in people if p.endswith("Smith")} | {names["Mr. Smith"].split()[-1]}) == 1
+    assert all(names[p].split()[0] == p.split()[0] and names[p].split()[1].split("-")[0] in pii.GIVEN[g, "latin"] for p in people for g in [{"Mr": "m", "Frau": "f", "Dr": "n"}[p.split()[0]]])
+    ips = of("ip")
+    assert set(ips) == set(addresses) and len(set(ips.values())) == len(addresses)
+    special = lambda a: re.match(r"(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.", a) is not None
+    assert all(special(a) == special(s) and all(int(o) < 256 for o in s.split(".")) for a, s in ips.items())
+    assert len(set(of("email").values())) == len(mails) and len({s.split("@")[1] for s in of("email").values()}) == 6
+    assert len(set(of("card").values())) == len(cards)
+    valid = lambda c: (sum(map(int, c[::-2])) + sum(int(x) * 2 - 9 * (int(x) > 4) for x in c[-2::-2])) % 10 == 0
+    assert all(valid(c) == valid(s) and s[0] == "4" for c, s in of("card").items())
+    assert len({re.sub(r"\D", "", s) for s in of("phone").values()}) == len({re.sub(r"\D", "", p) for p in of("phone")}) == len(phones)
+
+
+def test_a_permutation_is_one(spark):
+    from pyspark.sql import functions as F
+
+    values = [f"{i:03d}" for i in range(1000)]
+    places = F.array(F.struct(pii._places(F.col("text"), pii._sets(pii.DIGITS), F.lit(1), F.lit(3)).alias("places"), F.lit("t").alias("tweak")))
+    rows = pii.permuted(frame(spark, list(enumerate(values))).withColumn("x", places), "x", "k").select("text", pii._text(F.col("x")[0]).alias("s")).collect()
+    assert sorted(r["s"] for r in rows) == values and all(r["s"] != r["text"] for r in rows)
+
+
 # ------------------------------------------------------------------ 6
 
 
