@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,34 +29,67 @@ def canonical(value) -> str:
             return {str(k): plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    text = json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # half a surrogate pair has no UTF-8: written as its escape
+        text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"))
+    return text
 
 
 _KINDS = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+def _fits(value, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        whole = isinstance(value, int) or (isinstance(value, float) and value.is_integer())
+        return not isinstance(value, bool) and (whole or (kind == "number" and isinstance(value, float)))
+    return isinstance(value, _KINDS[kind])
+
+
+def checked_schema(schema: dict) -> dict:
+    """The schema; ValueError if it names a type that JSON schemas don't have."""
+    kinds = schema.get("type", [])
+    for k in [kinds] if isinstance(kinds, str) else kinds:
+        if k not in ("integer", "number", *_KINDS):
+            raise ValueError(f"unknown type {k!r} in a schema")
+    for inner in [*schema.get("properties", {}).values(), *schema.get("anyOf", []), *schema.get("allOf", []), *([schema["items"]] if isinstance(schema.get("items"), dict) else [])]:
+        checked_schema(inner)
+    return schema
+
+
 def problem(value, schema: dict, at: str = "$") -> str | None:
-    """First way in which a value breaks a JSON schema (type, enum, required, properties, additionalProperties, items, bounds), or None."""
+    """First way in which a value breaks a JSON schema, or None.
+
+    Checked: type, enum, const, required, properties, additionalProperties
+    (false), items (one schema), minItems, maxItems, minLength, maxLength, pattern,
+    minimum, maximum and their exclusive forms, anyOf, allOf; all else passes.
+    """
     kinds = schema.get("type")
     if kinds is not None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
-
-        def fits(k):
-            if k in ("integer", "number"):
-                return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or float(value).is_integer())
-            return isinstance(value, _KINDS[k])
-
-        if not any(map(fits, kinds)):
+        if not any(_fits(value, k) for k in kinds):
             return f"{at}: not {' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if ("enum" in schema and value not in schema["enum"]) or ("const" in schema and value != schema["const"]):
         return f"{at}: not one of the enum"
+    for inner in schema.get("allOf", []):
+        if found := problem(value, inner, at):
+            return found
+    if "anyOf" in schema and all(problem(value, inner, at) for inner in schema["anyOf"]):
+        return f"{at}: none of anyOf"
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
+        low, high = schema.get("exclusiveMinimum", -math.inf), schema.get("exclusiveMaximum", math.inf)
+        if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf) or not (low < value < high or low == -math.inf and high == math.inf):
             return f"{at}: out of bounds"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
-        return f"{at}: length"
-    if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
+            return f"{at}: length"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{at}: pattern"
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf):
+            return f"{at}: number of items"
+        for i, x in enumerate(value) if isinstance(schema.get("items"), dict) else ():
             if found := problem(x, schema["items"], f"{at}[{i}]"):
                 return found
     if isinstance(value, dict):
@@ -87,13 +121,18 @@ _CALL = "call_id string, name string, arguments string, error string, refs array
 def _checked(schemas: dict):
     columns = ["call_id", "name", "arguments", "error", "refs"]
 
+    schemas = {k: checked_schema(v) for k, v in schemas.items()}
+    plain = lambda x: x.encode("utf-8", "backslashreplace").decode()
+
     def one(name, text):
         try:
             value = json.loads(text or "{}", parse_constant=lambda c: None)
+            error = problem(value, schemas[name]) if name in schemas else f"unknown tool {name}"
+            return canonical(value), error and plain(error), sorted({plain(r) for r in references(value)})
         except ValueError:
             return text, "arguments are not JSON", []
-        error = problem(value, schemas[name]) if name in schemas else f"unknown tool {name}"
-        return canonical(value), error, sorted(set(references(value)))
+        except RecursionError:
+            return text, "arguments are nested too deeply", []
 
     def run(batches):
         for b in batches:
@@ -157,6 +196,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     of invalid, unresolved, cyclic, unanswered.  Order within a conversation:
     level, turn, call_id.  message: canonical JSON of call and result.  Rows
     with a null conv_id or call_id link with nothing and refer to nothing.
+    Arguments that are not JSON, or nested more deeply than Python's recursion
+    goes, are invalid and appear as text.  A schema with an unknown type is a
+    ValueError before anything runs.
     """
     given = calls.select("conv_id", F.col("turn").cast("long"), F.col("call_id").cast("string"), F.col("name").cast("string"), F.col("arguments").cast("string"))
     kind = calls.schema["conv_id"].dataType.simpleString()
@@ -182,14 +224,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
             rows = b.to_pylist()
             text = []
             for r in rows:
-                try:
-                    arguments = json.loads(r["arguments"] or "{}")
-                except ValueError:
-                    arguments = r["arguments"]
-                body = {c: r[c] for c in columns} | {"arguments": arguments}
+                body = {c: r[c] for c in columns}
                 if r["content"] is not None:
                     body["result"] = r["content"]
-                text.append(canonical(body))
+                try:
+                    text.append(canonical(body | {"arguments": json.loads(r["arguments"] or "{}")}))
+                except (ValueError, RecursionError):
+                    text.append(canonical(body))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "call_id", "turn", "level", "status", "error", "n_results")), pa.array(text, pa.string())], names=["conv_id", "call_id", "turn", "level", "status", "error", "n_results", "message"])
 
     flat = out.select("conv_id", "call_id", "name", "arguments", "turn", "level", "status", "error", F.coalesce("n", F.lit(0)).alias("n_results"), F.col("r.content").alias("content"))

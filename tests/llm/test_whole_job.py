@@ -114,6 +114,57 @@ def test_levels_of_long_chains_and_of_references_that_meet(spark):
     assert {r["turn"]: r["level"] for r in chat.order_calls(nodes, edges).collect()} == {i: i if i < 12 else None for i in needs}
 
 
+def test_calls_against_brute_force(spark):
+    import json
+    import random
+
+    rng = random.Random(11)
+    calls, results = [], []
+    for conv in range(40):
+        n = rng.randint(1, 12)
+        for i in range(n):
+            needs = [f"c{rng.randrange(i)}" for _ in range(rng.randint(0, 2)) if i] + ([f"c{rng.randrange(n)}"] if rng.random() < 0.1 else []) + (["gone"] if rng.random() < 0.05 else [])
+            value = {"text": "x" if rng.random() < 0.9 else 5, "after": [{"$ref": r} for r in needs]}
+            calls.append((conv, i, f"c{i}", "respond" if rng.random() < 0.95 else "other", json.dumps(value) if rng.random() < 0.97 else "{broken"))
+            results += [(conv, 100 + i + j, f"c{i}", f"r{j}") for j in range(rng.choice([0, 1, 1, 2]))]
+    schema = {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}}
+    got = {(r["conv_id"], r["call_id"]): (r["level"], r["status"], r["n_results"], json.loads(r["message"]).get("result")) for r in chat.link_calls(
+        frame(spark, calls, "conv_id long, turn long, call_id string, name string, arguments string"), frame(spark, results, "conv_id long, turn long, call_id string, content string"), {"respond": schema}).collect()}
+    want = {}
+    for conv in range(40):
+        own = {c[2]: c for c in calls if c[0] == conv}
+        refs, bad = {}, {}
+        for k, (_, _, _, name, text) in own.items():
+            value = None if text == "{broken" else json.loads(text)
+            refs[k] = {r["$ref"] for r in value["after"]} if value else set()
+            bad[k] = value is None or name == "other" or not isinstance(value["text"], str)
+        level = {}
+        while True:
+            new = {k: max([level[r] + 1 for r in refs[k] if r in own], default=0) for k in own if k not in level and all(r in level for r in refs[k] if r in own)}
+            if not new:
+                break
+            level |= new
+        for k in own:
+            found = sorted((t, c) for v, t, i, c in results if v == conv and i == k)
+            status = "invalid" if bad[k] else "unresolved" if refs[k] - set(own) else "cyclic" if k not in level else "ok" if found else "unanswered"
+            want[conv, k] = (level.get(k), status, len(found), found[0][1] if found else None)
+    assert got == want and {v[1] for v in want.values()} == {"ok", "unanswered", "invalid", "unresolved", "cyclic"}
+
+
+def test_no_arguments_end_the_job(spark):
+    odd = ["9" * 400, "9" * 5000, "[" * 100_000, '{"a":' * 600 + "1" + "}" * 600, '{"text": "\\ud800"}', '{"\\ud800": {"$ref": "\\udfff"}}', "1e400", "NaN", "", "null", '{"text": 1.0}']
+    rows = [(1, i, str(i), "t", a) for i, a in enumerate(odd)]
+    none = frame(spark, [], "conv_id long, turn long, call_id string, content string")
+    schema = {"properties": {"text": {"type": ["integer", "string"], "minimum": 1, "exclusiveMaximum": 2, "pattern": ""}}, "anyOf": [{"type": "integer"}, {"type": "object"}]}
+    got = {int(r["call_id"]): (r["status"], r["error"]) for r in chat.link_calls(frame(spark, rows, "conv_id long, turn long, call_id string, name string, arguments string"), none, {"t": schema}).collect()}
+    assert len(got) == len(odd) and got[0] == got[8] == got[10] == ("unanswered", None) and got[1][1] == "arguments are not JSON" and got[9][1] == "$: none of anyOf"
+    try:
+        chat.link_calls(frame(spark, rows, "conv_id long, turn long, call_id string, name string, arguments string"), none, {"t": {"type": "float"}})
+        raise AssertionError("an unknown type passed")
+    except ValueError:
+        pass
+
+
 # ------------------------------------------------------------------ 2
 
 
