@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import materialise
 
+#: Up to so many affected rows with so many positions (some 20 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_POSITIONS = 100_000, 2_000_000
+
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 
@@ -70,6 +73,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     gone = repeated_positions(_lines(keyed.select("doc_id", "text", "row_key")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("positions").alias("_positions"))
+    gone = materialise(gone, "repeated-lines")
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_positions")), F.lit(0)).alias("positions")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["positions"] <= BROADCAST_POSITIONS:
+        gone = F.broadcast(gone)  # no text is shuffled to learn of positions that few rows have
     here = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     solid_at = F.filter(
