@@ -5,7 +5,7 @@ import re
 import numpy as np
 from test_operators import benchmark, frame, mixture_rows
 
-from pulsegrid.llm import chat, decontaminate, mixing, pii
+from pulsegrid.llm import chat, decontaminate, mixing, pii, toxicity
 
 # ------------------------------------------------------------------ 3
 
@@ -184,3 +184,49 @@ def test_blocks_score_as_one_index_does(spark):
         longest.add(x.longest)
     want = weights(one)
     assert longest == {one.longest} and parts.keys() == want.keys() and all(abs(parts[k] - want[k]) < 1e-12 for k in want)
+
+
+# ------------------------------------------------------------------ 6 and 9 against other ways to the same optimum
+
+
+def test_rates_are_the_least_squares_solution(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 40)
+    w, pull = rng.integers(1, 200, 40).astype(float), 1e-2
+    goal = np.array([0.7, 0.2, 0.1])
+    share, scale = w / w.sum(), (w @ p) / w.sum()
+    cost = lambda r: 0.5 * ((((r * share) @ p - goal) ** 2) / scale).sum() + 0.5 * pull * (share * (r - 1) ** 2).sum()
+    best = np.ones(40)
+    for _ in range(3000):  # exact steps along one rate at a time
+        for i in range(40):
+            off = ((best * share) @ p - goal) / scale
+            slope = share[i] * (p[i] @ off + pull * (best[i] - 1))
+            best[i] = max(0.0, best[i] - slope / (share[i] ** 2 * (p[i] ** 2 / scale).sum() + share[i] * pull))
+    members = spark.createDataFrame([(int(n), list(map(float, x))) for n, x in zip(w, p)], "n_tokens long, posteriors array<double>")
+    misses = mixing.fit_rates(members, goal.tolist(), pull, rounds=400, miss=0)
+    rates = mixing._rates(p, misses, pull)[0]
+    assert (rates >= 0).all() and abs(cost(rates) - cost(best)) < 1e-8 and np.abs(rates - best).max() < 1e-3
+
+
+def test_ordinal_fit_is_near_a_dense_optimum():
+    rng = np.random.default_rng(6)
+    has = rng.random((160, 4)) < 0.4
+    grades = np.clip(np.searchsorted([0.2, 1.4, 2.6], has @ np.array([2.0, 1.0, -1.0, 0.0]) + rng.logistic(0, 0.5, 160)), 0, 3)
+    starts, places = np.concatenate(([0], np.cumsum(has.sum(axis=1)))), np.nonzero(has)[1]
+    weight = 1 / np.bincount(grades, minlength=4)[grades]
+    weight /= weight.sum()
+
+    def cost(x):
+        cuts = x[4] + np.concatenate(([0.0], np.cumsum(np.exp(x[5:7]))))
+        above = 1 / (1 + np.exp(cuts[None, :] - (has @ x[:4])[:, None]))
+        full = np.concatenate((np.ones((160, 1)), above, np.zeros((160, 1))), axis=1)
+        own = full[np.arange(160), grades] - full[np.arange(160), grades + 1]
+        return -(weight * np.log(np.maximum(own, 1e-12))).sum() + 0.5 * toxicity.PENALTY * (x[:4] ** 2).sum()
+
+    x, eye = np.array([0.0, 0, 0, 0, 0.5, 0, 0]), np.eye(7) * 1e-5
+    for _ in range(3000):
+        x = x - 0.5 * np.array([(cost(x + e) - cost(x - e)) / 2e-5 for e in eye])
+    w, cuts = toxicity.fit_ordinal(grades, starts, places, 4, 4)
+    assert (np.diff(cuts) > 0).all()
+    fitted = cost(np.concatenate((w, cuts[:1], np.log(np.diff(cuts)))))
+    assert cost(x) - 1e-6 <= fitted < cost(x) + 5e-3 and np.corrcoef(w, x[:4])[0, 1] > 0.99
