@@ -11,97 +11,116 @@ from pulsegrid.llm.common import materialise
 BROADCAST_ROWS, BROADCAST_POSITIONS = 100_000, 2_000_000
 
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
+#: Between a sentence's end and the blank after it.
+_SENTENCE_END = r"(?<=[.!?])(?=[ \t])"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Adds lines (all of them) and solid: the (line number, stripped text) of those with a word."""
-    numbered = F.transform("lines", lambda line, i: F.struct(i.alias("at"), F.btrim(line, F.lit(_BLANK_CHARS)).alias("s")))
-    return docs.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn(
-        "solid", F.filter(numbered, lambda x: x["s"] != "")
-    )
+def _lines(text):
+    """All lines of a text, in order, as (at, row, s): a line's number, the number of newlines before it, and its text."""
+    rows = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    cut = F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(row, _SENTENCE_END, -1), lambda s: F.struct(i.alias("row"), s.alias("s")))))
+    return F.transform(cut, lambda x, k: F.struct(k.alias("at"), x["row"].alias("row"), x["s"].alias("s")))
+
 
+def _solid(lines):
+    """The (at, stripped text) of the lines that have a word."""
+    return F.filter(F.transform(lines, lambda x: F.struct(x["at"].alias("at"), F.btrim(x["s"], F.lit(_BLANK_CHARS)).alias("s"))), lambda x: x["s"] != "")
 
-def repeated_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, positions): positions, in a row's solid lines, that later occurrences of repeated windows cover.
 
-    The first occurrence of a window is the one with the smallest (doc_id,
-    position).  Windows are known by 128 bits of hash.  Counts and first
-    occurrences are partial aggregates, so a window that a third of all
-    documents share costs a row from each task; the join that then finds its
-    later occurrences is one that adaptive execution can split.
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, positions): the numbers of a row's lines that later occurrences of repeated windows cover.
+
+    docs has doc_id, row_key and solid (see _solid).  The first occurrence of a
+    window is the one with the smallest (doc_id, line number).  Windows are
+    known by 128 bits of hash.  Counts and first occurrences are partial
+    aggregates, so a window that a third of all documents share costs a row
+    from each task; the join that then finds its later occurrences is one that
+    adaptive execution can split.
     """
     s = F.col("solid")
 
-    def hashed(i):
+    def window(i):
         three = [s[i]["s"], s[i + 1]["s"], s[i + 2]["s"]]
-        return F.struct(F.xxhash64(*three).alias("h1"), F.xxhash64(F.lit("second"), *three).alias("h2"))
+        return F.struct(
+            F.xxhash64(*three).alias("h1"),
+            F.xxhash64(F.lit("second"), *three).alias("h2"),
+            *[s[i + k]["at"].alias(n) for k, n in enumerate("abc")],
+        )
 
     windows = (
         docs.where(F.size("solid") >= 3)
-        .select("doc_id", "row_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("solid") - 3), hashed)).alias("pos", "w"))
-        .select("doc_id", "row_key", "pos", "w.h1", "w.h2")
+        .select("doc_id", "row_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("solid") - 3), window)).alias("w"))
+        .select("doc_id", "row_key", "w.*")
     )
     windows = materialise(windows, "line-windows")
+    place = F.struct("doc_id", "a", "row_key")
     first = (
         windows.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "pos", "row_key")).alias("first"), F.max(F.struct("doc_id", "pos", "row_key")).alias("last"))
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last")))
         .drop("last")
     )
-    later = windows.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "pos", "row_key").eqNullSafe(F.col("first")))
-    starts = later.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("starts"))
-    return starts.select(
-        "doc_id",
-        "row_key",
-        F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(p, p + 1, p + 2)))).alias("positions"),
+    later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return (
+        later.groupBy("doc_id", "row_key")
+        .agg(F.collect_set(F.struct("a", "b", "c")).alias("w"))
+        .select("doc_id", "row_key", F.array_distinct(F.flatten(F.transform("w", lambda w: F.array(w["a"], w["b"], w["c"])))).alias("positions"))
     )
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with the later occurrences of repeated three-line windows taken out of text.
 
-    Lines are what newlines separate.  Lines without a word are neither
-    counted in windows nor removed; the others are compared without blanks at
-    their ends.  A row with fewer than three such lines has no window and
-    stays as it is, as do null and empty texts.  All lines that later
-    occurrences cover go, so overlapping windows merge.  Rows equal in doc_id
-    and text count as one occurrence and come out alike; rows with a null
-    doc_id take part as the smallest id.  A text of which all lines go becomes
-    empty.  Added columns: n_lines and n_removed (long) and removed, the line
-    numbers that went, ascending; columns of docs by these names are replaced.
+    A line ends at a newline, or where a blank follows a sentence's end (. ! ?),
+    so a paragraph without newlines is several lines.  Lines without a word are
+    neither counted in windows nor removed; the others are compared without
+    blanks at their ends.  A row with fewer than three such lines has no window
+    and stays as it is, as do null and empty texts.  All lines that later
+    occurrences cover go, so overlapping windows merge; what stays of a
+    paragraph stays together, and a paragraph of which nothing stays goes with
+    its newline.  Rows equal in doc_id and text count as one occurrence and come
+    out alike; rows with a null doc_id take part as the smallest id.  A text of
+    which all lines go becomes empty.  Added columns: n_lines and n_removed
+    (long) and removed, the line numbers that went, ascending; columns of docs
+    by these names are replaced.
     """
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    gone = repeated_positions(_lines(keyed.select("doc_id", "text", "row_key")))
+    gone = repeated_lines(keyed.select("doc_id", "row_key", _lines(F.col("text")).alias("lines")).select("doc_id", "row_key", _solid(F.col("lines")).alias("solid")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("positions").alias("_positions"))
     gone = materialise(gone, "repeated-lines")
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_positions")), F.lit(0)).alias("positions")).first()
     if size["rows"] <= BROADCAST_ROWS and size["positions"] <= BROADCAST_POSITIONS:
         gone = F.broadcast(gone)  # no text is shuffled to learn of positions that few rows have
     here = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    solid_at = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.btrim(line, F.lit(_BLANK_CHARS)) != "", i)), lambda i: i.isNotNull()
-    )
-    out = here.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("_solid", F.when(F.col("_positions").isNotNull(), solid_at))
-    out = out.withColumn("removed", F.coalesce(F.array_sort(F.transform("_positions", lambda p: F.col("_solid")[p])), F.array().cast("array<int>")))
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.element_at(lines, i + 1)), "\n"))
+    out = here.withColumn("_lines", _lines(F.col("text")))
+    out = out.withColumn("removed", F.coalesce(F.array_sort("_positions"), F.array().cast("array<int>")))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
+    out = out.withColumn("_stays", F.when(F.size("removed") > 0, F.transform(rest, lambda k: F.col("_lines")[k])))
+    ahead = F.slice(F.concat(F.slice("_stays", 1, 1), F.col("_stays")), 1, F.size("_stays"))
+    pieces = F.zip_with("_stays", ahead, lambda x, before: F.concat(F.when(x["row"] != before["row"], "\n").otherwise(""), x["s"]))
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed"
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        "removed",
     )
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-s AS (SELECT doc_id, list_filter(list_transform(range(1, len(lines) + 1), lambda i: {'ln': i - 1, 's': trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))}), lambda x: x.s <> '') AS solid FROM d),
-w AS (SELECT doc_id, p, solid[p + 1].s || chr(10) || solid[p + 2].s || chr(10) || solid[p + 3].s AS k, solid[p + 1].ln AS a, solid[p + 2].ln AS b, solid[p + 3].ln AS c
-      FROM (SELECT doc_id, solid, unnest(range(0, len(solid) - 2)) AS p FROM s WHERE len(solid) >= 3)),
-f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w),
-g AS (SELECT DISTINCT doc_id, ln FROM (SELECT doc_id, unnest([a, b, c]) AS ln FROM f WHERE n > 1)),
-r AS (SELECT doc_id, list(ln) AS gone FROM g GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  md5(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: lines[i]), chr(10)), '') END) AS text_md5
-FROM d LEFT JOIN r USING (doc_id)
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows_ FROM documents),
+p AS (SELECT doc_id, r, unnest(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10)), 1) AS u
+      FROM (SELECT doc_id, rows_, unnest(range(1, len(rows_) + 1)) AS r FROM d)),
+l AS (SELECT doc_id, r, s, row_number() OVER (PARTITION BY doc_id ORDER BY r, u) AS pos, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM p),
+w AS (SELECT doc_id, pos AS a, lead(pos, 1) OVER o AS b, lead(pos, 2) OVER o AS c, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM l WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) AS n FROM w WHERE c IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest([a, b, c]) AS pos FROM f WHERE n > 1)),
+h AS (SELECT l.*, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, pos)),
+k AS (SELECT doc_id, r, string_agg(s, '' ORDER BY pos) AS s FROM h WHERE NOT gone GROUP BY doc_id, r),
+t AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY r) AS text FROM k GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  md5(CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE coalesce(t.text, '') END) AS text_md5
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
