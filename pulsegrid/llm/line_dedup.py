@@ -11,14 +11,14 @@ from pulsegrid.llm.common import materialise
 BROADCAST_ROWS, BROADCAST_POSITIONS = 100_000, 2_000_000
 
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
-#: Between a sentence's end and the blank after it.
-_SENTENCE_END = r"(?<=[.!?])(?=[ \t])"
+#: A sentence's end after so many characters without one, and the blank after it; shorter sentences say too little to be lines.
+_SENTENCE_END = r"([^.!?]{24}[.!?])([ \t])"
 
 
 def _lines(text):
     """All lines of a text, in order, as (at, row, s): a line's number, the number of newlines before it, and its text."""
     rows = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    cut = F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(row, _SENTENCE_END, -1), lambda s: F.struct(i.alias("row"), s.alias("s")))))
+    cut = F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(F.regexp_replace(row, _SENTENCE_END, "$1\n$2"), "\n", -1), lambda s: F.struct(i.alias("row"), s.alias("s")))))
     return F.transform(cut, lambda x, k: F.struct(k.alias("at"), x["row"].alias("row"), x["s"].alias("s")))
 
 
@@ -71,8 +71,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text, ...) with the later occurrences of repeated three-line windows taken out of text.
 
-    A line ends at a newline, or where a blank follows a sentence's end (. ! ?),
-    so a paragraph without newlines is several lines.  Lines without a word are
+    A line ends at a newline, or where a blank follows a sentence's end (. ! ?)
+    that has 24 characters without one before it, so a paragraph without
+    newlines is several lines, and a short sentence is one with the next.  Lines without a word are
     neither counted in windows nor removed; the others are compared without
     blanks at their ends.  A row with fewer than three such lines has no window
     and stays as it is, as do null and empty texts.  All lines that later
@@ -110,7 +111,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows_ FROM documents),
-p AS (SELECT doc_id, r, unnest(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10)), 1) AS u
+p AS (SELECT doc_id, r, unnest(string_split(regexp_replace(rows_[r], '([^.!?]{24}[.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(rows_[r], '([^.!?]{24}[.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10)), 1) AS u
       FROM (SELECT doc_id, rows_, unnest(range(1, len(rows_) + 1)) AS r FROM d)),
 l AS (SELECT doc_id, r, s, row_number() OVER (PARTITION BY doc_id ORDER BY r, u) AS pos, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM p),
 w AS (SELECT doc_id, pos AS a, lead(pos, 1) OVER o AS b, lead(pos, 2) OVER o AS c, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM l WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
