@@ -11,14 +11,14 @@ from pulsegrid.llm.common import materialise
 BROADCAST_ROWS, BROADCAST_POSITIONS = 100_000, 2_000_000
 
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
-#: A sentence's end after so many characters without one, and the blank after it; shorter sentences say too little to be lines.
-_SENTENCE_END = r"([^.!?]{24}[.!?])([ \t])"
+#: Between the end of a sentence of 24 characters or more and a blank; shorter ones say too little to be lines.  Its first part fails at once in most places.
+_SENTENCE_END = r"(?<=[.!?])(?=[ \t])(?<=[^.!?]{24}[.!?])"
 
 
 def _lines(text):
     """All lines of a text, in order, as (at, row, s): a line's number, the number of newlines before it, and its text."""
     rows = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    cut = F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(F.regexp_replace(row, _SENTENCE_END, "$1\n$2"), "\n", -1), lambda s: F.struct(i.alias("row"), s.alias("s")))))
+    cut = F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(row, _SENTENCE_END, -1), lambda s: F.struct(i.alias("row"), s.alias("s")))))
     return F.transform(cut, lambda x, k: F.struct(k.alias("at"), x["row"].alias("row"), x["s"].alias("s")))
 
 
@@ -111,8 +111,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows_ FROM documents),
-p AS (SELECT doc_id, r, unnest(string_split(regexp_replace(rows_[r], '([^.!?]{24}[.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(rows_[r], '([^.!?]{24}[.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10)), 1) AS u
+q AS (SELECT doc_id, r, unnest(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS s, generate_subscripts(string_split(regexp_replace(rows_[r], '([.!?])([ \t])', '\1' || chr(10) || '\2', 'g'), chr(10)), 1) AS u
       FROM (SELECT doc_id, rows_, unnest(range(1, len(rows_) + 1)) AS r FROM d)),
+e AS (SELECT *, sum(CASE WHEN regexp_matches(s, '[^.!?]{24}[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, r ORDER BY u) - CASE WHEN regexp_matches(s, '[^.!?]{24}[.!?]$') THEN 1 ELSE 0 END AS v FROM q),
+p AS (SELECT doc_id, r, v AS u, string_agg(s, '' ORDER BY u) AS s FROM e GROUP BY doc_id, r, v),
 l AS (SELECT doc_id, r, s, row_number() OVER (PARTITION BY doc_id ORDER BY r, u) AS pos, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM p),
 w AS (SELECT doc_id, pos AS a, lead(pos, 1) OVER o AS b, lead(pos, 2) OVER o AS c, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM l WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) AS n FROM w WHERE c IS NOT NULL),

@@ -180,7 +180,7 @@ def brute_line_dedup(docs):
     """{doc_id: text} with lines cut, windows remembered and later ones removed one after the other."""
     seen, out = {}, {}
     for d, text in sorted(docs, key=lambda r: r[0]):
-        lines = [(r, s) for r, row in enumerate(text.split("\n")) for s in re.sub(r"([^.!?]{24}[.!?])([ \t])", r"\1\n\2", row).split("\n")]
+        lines = [(r, s) for r, row in enumerate(text.split("\n")) for s in re.split(r"(?<=[^.!?]{24}[.!?])(?=[ \t])", row)]
         solid = [k for k, (_, s) in enumerate(lines) if s.strip(" \t\n\x0b\x0c\r")]
         gone = set()
         for i in range(len(solid) - 2):
