@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import materialise
 
-#: Up to so many affected rows with so many positions (some 20 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_POSITIONS = 100_000, 2_000_000
-
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: Between the end of a sentence of 24 characters or more and a blank; shorter ones say too little to be lines.  Its first part fails at once in most places.
 _SENTENCE_END = r"(?<=[.!?])(?=[ \t])(?<=[^.!?]{24}[.!?])"
@@ -60,7 +57,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .where(~F.col("first").eqNullSafe(F.col("last")))
         .drop("last")
     )
-    later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    first = materialise(first, "first-windows")  # so both sides of the join are shuffles, which it takes to split a hot key
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return (
         later.groupBy("doc_id", "row_key")
         .agg(F.collect_set(F.struct("a", "b", "c")).alias("w"))
@@ -88,10 +86,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     gone = repeated_lines(keyed.select("doc_id", "row_key", _lines(F.col("text")).alias("lines")).select("doc_id", "row_key", _solid(F.col("lines")).alias("solid")))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("positions").alias("_positions"))
-    gone = materialise(gone, "repeated-lines")
-    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_positions")), F.lit(0)).alias("positions")).first()
-    if size["rows"] <= BROADCAST_ROWS and size["positions"] <= BROADCAST_POSITIONS:
-        gone = F.broadcast(gone)  # no text is shuffled to learn of positions that few rows have
+    gone = gone.hint("merge")  # a plan for any share of rows: what goes grows with docs
     here = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
     out = here.withColumn("_lines", _lines(F.col("text")))
     out = out.withColumn("removed", F.coalesce(F.array_sort("_positions"), F.array().cast("array<int>")))
