@@ -113,13 +113,56 @@ def signal_agreement(pairs: DataFrame, keys, ours: str, truth: str) -> DataFrame
     return s.select(*keys, "n", "corr", "gain", db(F.col("vx"), F.col("vd")).alias("snr"), db(F.col("vx"), F.greatest(left / F.nullif(F.col("gain") * F.col("gain"), F.lit(0.0)), F.lit(1e-12))).alias("snr_gain_fixed"), (F.col("rms") * 1000.0).alias("rms_uv"))
 
 
-def best_lag(a: DataFrame, b: DataFrame, keys, most: int) -> DataFrame:
-    """keys, lag of highest correlation of a (keys, i, mv) with b shifted by up to `most`; smallest lag of equal ones."""
+def best_lag(a: DataFrame, b: DataFrame, keys, most: int, normalised: bool = True) -> DataFrame:
+    """keys, lag of highest correlation of a (keys, i, mv) with b shifted by up to `most`; smallest lag of equal ones.
+
+    Not normalised, the sum of products decides.
+    """
+    score = F.coalesce(F.round(F.corr("mv", "y"), 12), F.lit(-2.0)) if normalised else F.round(F.sum(F.col("mv") * F.col("y")), 9)
     moved = b.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("i", F.col("i") + F.col("lag")).withColumnRenamed("mv", "y")
-    c = a.join(moved, [*keys, "i"]).groupBy(*keys, "lag").agg(F.coalesce(F.round(F.corr("mv", "y"), 12), F.lit(-2.0)).alias("c"))
+    c = a.join(moved, [*keys, "i"]).groupBy(*keys, "lag").agg(score.alias("c"))
     return c.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "lag"))["lag"].alias("lag"))
 
 
+def height_pairs(ours: DataFrame, truth: DataFrame, peaks: DataFrame, most: int, half: int, reach: int, least_mv: float = 0.2) -> DataFrame:
+    """record_id, lead, peak, truth, ours: heights of the reference's complexes in both signals (record_id, lead, i, mv).
+
+    Both are taken less their medians, and the reference is moved by the lag of
+    the largest sum of products; peak (given in its samples) is in ours.  The
+    apex is the largest deviation from half before to half - 1 after, all of
+    which both must have; ours is the extreme of the same sign within reach of
+    it there.  Lower apexes than least_mv are left out.
+    """
+    keys = ["record_id", "lead"]
+    level = lambda s: s.withColumn("mv", F.col("mv") - F.percentile("mv", F.lit(0.5)).over(Window.partitionBy(*keys)))
+    ours, truth = level(ours), level(truth)
+    lag = best_lag(ours, truth, keys, most, normalised=False)
+    near = peaks.join(lag, "record_id" if "lead" not in peaks.columns else keys).withColumn("peak", F.col("peak") + F.col("lag"))
+    near = near.select(*keys, "peak", "lag", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + (half - 1))).alias("i"))
+    both = near.join(ours.withColumnRenamed("mv", "o"), [*keys, "i"]).withColumn("at", F.col("i") - F.col("lag")).join(truth.toDF(*["at" if c == "i" else "t" if c == "mv" else c for c in truth.columns]), [*keys, "at"])
+    w = Window.partitionBy(*keys, "peak")
+    both = both.withColumn("n", F.count(F.col("o") + F.col("t")).over(w)).withColumn("top", F.min(F.struct((-F.round(F.abs("t"), 9)).alias("size"), "i", "t")).over(w))
+    both = both.where((F.col("n") == 2 * half) & (F.abs("top.t") >= least_mv) & (F.abs(F.col("i") - F.col("top.i")) <= reach))
+    ups, downs = F.max("o"), F.min("o")
+    return both.groupBy(*keys, "peak", F.col("top.t").alias("t")).agg(ups.alias("up"), downs.alias("down")).select(*keys, "peak", F.abs("t").alias("truth"), F.abs(F.when(F.col("t") > 0, F.col("up")).otherwise(F.col("down"))).alias("ours"))
+
+
+def by_folder(records: DataFrame, files: DataFrame, key: str = "record_id") -> DataFrame:
+    """records with the rows of files (path, ...) that lie in a folder of the record's name; records without one are left out."""
+    return records.join(files.withColumn("_folder", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)), F.col(key).cast("string") == F.col("_folder")).drop("_folder")
+
+
+def first_by_name(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """The n first rows by name: a trial run over some of the records."""
+    return rows.orderBy(name).limit(n)
+
+
+def largest(rows: DataFrame, group: str, size: str, tie: str, k: int = 5) -> DataFrame:
+    """The k largest rows of each group, the smaller `tie` first of equal ones; place counts from 1."""
+    w = Window.partitionBy(group).orderBy(F.desc(size), tie)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def peak_height_ratio(signals: DataFrame, ours: DataFrame, peaks: DataFrame, half: int, least_mv: float = 0.15) -> DataFrame:
     """record_id, lead, n, ratio: median ratio of heights at the reference's peaks; two peaks of some height at least."""
     near = peaks.withColumn("i", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + half)))

@@ -210,6 +210,16 @@ def trace_quality(trace: DataFrame, keys, y: str, height: str) -> DataFrame:
     return got.select(*keys, (1 - (0.30 * F.col("gap") + 0.25 * F.col("clip") + 0.15 * F.col("plateau") + 0.15 * F.coalesce("base", F.lit(0.0)) + 0.15 * F.col("jump"))).alias("q"))
 
 
+def keep_best(first: DataFrame, second: DataFrame, keys, good: float = 0.93) -> DataFrame:
+    """The traces (keys, q, ...) of a first method; those of a second one where the first is below `good` and the second is better.
+
+    The second need only hold cells of which first.q is below good.
+    """
+    q = lambda d, name: d.groupBy(*keys).agg(F.max("q").alias(name))
+    better = q(first, "q0").where(F.col("q0") < good).join(q(second, "q1"), keys).where("q1 > q0").select(*keys)
+    return first.join(better, keys, "left_anti").unionByName(second.join(better, keys, "left_semi"))
+
+
 def assemble(cell_signals: DataFrame) -> DataFrame:
     """record_id, lead, i, mv from cells (record_id, lead, is_rhythm, i, mv): the rhythm strip where a lead has one, else its cell."""
     best = cell_signals.groupBy("record_id", "lead", "i").agg(F.max(F.when(F.col("is_rhythm"), F.col("mv"))).alias("r"), F.max(F.when(~F.col("is_rhythm"), F.col("mv"))).alias("c"), F.max(F.col("is_rhythm").cast("int")).alias("_"))

@@ -752,4 +752,4 @@ def v7(spark, d):
     return Y.probe_peaks(signals(spark, d, ["I", "II"], 300), 0.2).withColumn("top", F.round("top", 6))
 
 
-from pulsegrid.plans import beat_queries  # noqa: E402, F401 - adds its queries
+from pulsegrid.plans import beat_queries, pair_queries  # noqa: E402, F401 - add their queries

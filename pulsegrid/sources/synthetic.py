@@ -32,3 +32,21 @@ def signals(records: DataFrame, fs: int = 250, n: int = 600, leads=None, without
     phase = ((F.col("i") + F.col("record_id") % 37) % period) / period
     mv = F.col("l.gain") * (1 + (F.col("record_id") % 7) / F.lit(20.0)) * beat(phase, without)
     return rows.select("record_id", F.col("l.lead").alias("lead"), "i", mv.alias("mv"))
+
+
+#: Widths (ms) of the probe's triangles, one after the other, and seconds from one to the next.
+PROBE_MS, PROBE_SECONDS = (20, 40, 80, 160), 0.4
+
+
+def probe(records: DataFrame, fs: int = 500, n: int = 5000, leads=None) -> DataFrame:
+    """(record_id, lead, i, mv): triangles of known width and a height of 1 mV, up and down in turn, to measure what a chain makes of them.
+
+    Only periods that end before n have one.
+    """
+    period = int(PROBE_SECONDS * fs)
+    rows = records.select("record_id").distinct().withColumn("lead", F.explode(F.array(*map(F.lit, leads or list(GAINS))))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    k = F.floor(F.col("i") / period).cast("int")
+    half = F.element_at(F.array(*[F.lit(max(1, w * fs // 2000)) for w in PROBE_MS]), k % len(PROBE_MS) + 1)
+    off = F.abs(F.col("i") - k * period - period // 2)
+    mv = F.when((off <= half) & ((k + 1) * period < n), F.when(k % 2 == 0, 1.0).otherwise(-1.0) * (1 - off / (half + 1))).otherwise(0.0)
+    return rows.withColumn("mv", mv)
