@@ -41,11 +41,16 @@ def s20(spark, d):
     return synthetic.probe(users(spark, d), 500, 1001, ["I"]).where("mv <> 0").select("record_id", "i", F.round("mv", 9).alias("mv"))
 
 
-@query("t14_keep_best", f"WITH {E_SQL}, a AS (SELECT user_id, i % 4 AS cell, avg(CASE WHEN i % 2 = 0 THEN x END) / 60 AS q, avg(CASE WHEN i % 8 < 6 THEN x END) / 60 AS q2 FROM e GROUP BY 1, 2), b AS (SELECT *, q < 0.93 AND q2 > q AS better FROM (SELECT user_id, cell, round(coalesce(q, 0.5), 6) AS q, round(coalesce(q2, 0.0), 6) AS q2 FROM a)) SELECT user_id, cell, CASE WHEN better THEN 'second' ELSE 'first' END AS method, CASE WHEN better THEN q2 ELSE q END AS q FROM b")
+#: Scores as whole numbers, which no order of summing changes.
+_SCORE = "CAST(coalesce(floor(sum(CASE WHEN {0} THEN CAST(round(x * 100) AS BIGINT) END) / count(CASE WHEN {0} THEN 1 END)), {1}) AS BIGINT)"
+
+
+@query("t14_keep_best", f"WITH {E_SQL}, b AS (SELECT user_id, i % 4 AS cell, {_SCORE.format('i % 2 = 0', 3000)} AS q, {_SCORE.format('i % 8 < 6', 0)} AS q2 FROM e GROUP BY 1, 2), c AS (SELECT *, q < 5580 AND q2 > q AS better FROM b) SELECT user_id, cell, CASE WHEN better THEN 'second' ELSE 'first' END AS method, CASE WHEN better THEN q2 ELSE q END AS q FROM c")
 def t14(spark, d):
-    e = events(spark, d).withColumn("cell", F.col("i") % 4)
-    mean = lambda seen, name, none: e.groupBy("user_id", "cell").agg(F.round(F.coalesce(F.avg(F.when(seen, F.col("x"))) / 60, F.lit(none)), 6).alias("q")).withColumn("method", F.lit(name))
-    return Y.keep_best(mean(F.col("i") % 2 == 0, "first", 0.5), mean(F.col("i") % 8 < 6, "second", 0.0), ["user_id", "cell"])
+    e = events(spark, d).withColumn("cell", F.col("i") % 4).withColumn("hundredths", F.round(F.col("x") * 100).cast("long"))
+    mean = lambda seen: F.floor(F.sum(F.when(seen, F.col("hundredths"))) / F.nullif(F.count_if(seen), F.lit(0)))
+    scored = lambda seen, name, none: e.groupBy("user_id", "cell").agg(F.coalesce(mean(seen), F.lit(none)).cast("long").alias("q")).withColumn("method", F.lit(name))
+    return Y.keep_best(scored(F.col("i") % 2 == 0, "first", 3000), scored(F.col("i") % 8 < 6, "second", 0), ["user_id", "cell"], good=5580)
 
 
 _NAMES = ["V1", "aVF", "I", "V6", "III", "aVR"]
