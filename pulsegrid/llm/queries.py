@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, licenses, line_dedup, mixing
+from pulsegrid.llm import chat, licenses, line_dedup, mixing, repair
 from pulsegrid.llm.common import read
 from pulsegrid.llm.decontaminate import contaminated
 from pulsegrid.llm.minhash import near_duplicates
+from pulsegrid.llm.packing import pack
 from pulsegrid.llm.pii import surrogates
 from pulsegrid.llm.quality import quality_rules
 from pulsegrid.llm.tokens import token_counts
 from pulsegrid.llm.toxicity import toxicity
+from pulsegrid.llm.whitening import whiten
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -61,6 +63,21 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return pack(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_structure_repair(spark, sf_dir):
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.report(conversations, repair.damaged(conversations))
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
