@@ -18,7 +18,6 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,58 +26,86 @@ from pulsegrid.llm.common import materialise, text_bytes
 
 CAPACITY = 2048
 END = 0  # the id after each document
-#: Words of at most so many bytes are remembered, so many of them in each of two generations.
-WORD_BYTES, REMEMBERED = 64, 250_000
+#: Pieces of at most so many characters are remembered, so many of them in each of two generations: some 200 MB of a Python worker.
+PIECE, REMEMBERED = 48, 500_000
 #: Bytes of a text whose ids are made at once.
 BLOCK = 1 << 20
 
 _ASCII_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 # ---------------------------------------------------------------- ids
 
 
-class Words(dict):
-    """Ids (little-endian, 4 bytes each) of blank-separated words; the least recently met generation is forgotten."""
+#: Texts of these characters alone (Latin, without the one whose lower case is longer) need no normal form, and their letters, digits and blanks can be written down.
+_NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
+_LETTERS, _DIGITS, _BLANKS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\x09-\\x0d\\x20\u0085\u00a0"
+_PRE_TOKENS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 
-    def __init__(self, path: str):
+
+class Remembered(dict):
+    """Ids of pieces by make(piece), little-endian and 4 bytes each; short pieces are remembered, the generation met longest ago is forgotten."""
+
+    def __init__(self, make):
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        self.make, self.older = make, {}
 
-        self.tokenizer, self.older, self.pieces = Tokenizer.from_file(path), {}, {}
-
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fresh(self, word: bytes) -> bytes:
-        """The ids of a word, by the library's own normaliser, pre-tokenizer and model; the model's part is remembered by pre-token."""
-        text = word.decode("utf-8", "replace")
-        if len(word) > WORD_BYTES or "<|" in text:  # special strings are looked for before the normaliser
-            return self.encode(text)
-        parts = []
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-            parts.append(ids)
-        return b"".join(parts)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
+    def __missing__(self, piece) -> bytes:
+        ids = self.older.get(piece)
         if ids is None:
-            ids = self.fresh(word)
-        if len(word) <= WORD_BYTES:
+            ids = self.make(piece)
+        if len(piece) <= PIECE:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self[word] = ids
+            self[piece] = ids
         return ids
 
 
-_words: dict[str, Words] = {}
+class _Characters(dict):
+    """How the pre-tokenizer writes a character's bytes, by code."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__()
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = "".join(p for p, _ in self.pre_tokenizer.pre_tokenize_str(chr(code)))
+        return found
+
+
+class Ids:
+    """Ids of texts as the library gives them, made of remembered pieces.
+
+    Latin texts are cut into the pre-tokens of the vocabulary's own pattern,
+    and the library's model is asked for new ones.  Other texts, and those that
+    may hold a special string, are cut at ASCII blanks, and the library is
+    asked for whole words.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.characters = self.tokenizer.model, _Characters(self.tokenizer.pre_tokenizer)
+        self.pieces, self.words = Remembered(self._piece), Remembered(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        written = piece if piece.isascii() and piece.isalpha() else piece.translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def of(self, text: str) -> bytes:
+        if _NOT_LATIN.search(text):
+            return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, _PRE_TOKENS.findall(text.lower())))
+
+
+_ids: dict[str, Ids] = {}
 
 
 def blocks(raw: bytes, size: int = BLOCK):
@@ -91,11 +118,11 @@ def blocks(raw: bytes, size: int = BLOCK):
         at = to
 
 
-def pieces_of(raw: bytes, words: Words, capacity: int):
+def pieces_of(raw: bytes, ids_of: Ids, capacity: int):
     """(start, ids) of each piece of a text, its end id included; scratch is a block and a piece."""
     held, start, width = b"", 0, 4 * capacity
     for part in blocks(raw):
-        held += b"".join(map(words.__getitem__, part.split()))
+        held += ids_of.of(part.decode("utf-8", "replace"))
         whole = max(0, len(held) - 4) // width * width  # the end id may still fill the last piece
         for at in range(0, whole, width):
             yield start + at // 4, held[at : at + width]
@@ -109,7 +136,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches):
-        words = _words.get(path) or _words.setdefault(path, Words(path))
+        ids_of = _ids.get(path) or _ids.setdefault(path, Ids(path))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             out, held = [], 0
@@ -120,7 +147,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
                 return done
 
             for i, (doc, copy) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist())):
-                for n, (start, ids) in enumerate(pieces_of(data[offsets[i] : offsets[i + 1]].tobytes(), words, capacity)):
+                for n, (start, ids) in enumerate(pieces_of(data[offsets[i] : offsets[i + 1]].tobytes(), ids_of, capacity)):
                     out.append((doc, copy, n, start, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
                     held += len(ids) if with_ids else 0
                     if len(out) >= 4096 or held > 4 << 20:

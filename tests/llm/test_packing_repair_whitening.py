@@ -99,10 +99,19 @@ def test_pack_holds_every_token_of_odd_rows(spark):
 def test_words_are_forgotten_and_found_again(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     monkeypatch.setattr(packing, "BLOCK", 10)
-    words = packing.Words(WORD_BPE)
-    text = " ".join(f"w{i % 11} Über{i % 5}," for i in range(200))
-    ids = b"".join(i for _, i in packing.pieces_of(text.encode(), words, 7))
-    assert np.frombuffer(ids, "<u4").tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 0] and len(words) <= 3
+    ids_of = packing.Ids(WORD_BPE)
+    for more in ("", " Ж"):
+        text = " ".join(f"w{i % 11} Über{i % 5}," for i in range(200)) + more
+        ids = b"".join(i for _, i in packing.pieces_of(text.encode(), ids_of, 7))
+        assert np.frombuffer(ids, "<u4").tolist() == [*ids_of.tokenizer.encode(text, add_special_tokens=False).ids, 0] and len(ids_of.pieces) <= 3
+
+
+def test_ids_of_every_latin_character_and_of_odd_mixtures():
+    ids_of, rng = packing.Ids(WORD_BPE), random.Random(9)
+    letters = [chr(c) for c in range(1, 0x260)]
+    texts = [f"{a}{b}" for a in letters for b in ("", "a", "1", "'s", " x")] + ["".join(rng.choices([*letters, *"aaabbee  ''sstt123.,\n", "'ll", "'VE", "\u0301", "Ж"], k=rng.randint(1, 30))) for _ in range(4000)]
+    for text, want in zip(texts, ids_of.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids_of.of(text), "<u4").tolist() == want.ids, repr(text)
 
 
 def test_op11_over_its_table(spark, data):
