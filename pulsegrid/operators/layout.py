@@ -226,24 +226,34 @@ def assemble(cell_signals: DataFrame) -> DataFrame:
     return best.select("record_id", "lead", "i", F.coalesce("r", "c").alias("mv"))
 
 
-def pulse_window(profile: DataFrame, key: str = "record_id") -> DataFrame:
-    """record_id, a, length: widest stretch among the first 30 % of columns with over 1.5 times the median ink of the rest (x, c)."""
-    w = Window.partitionBy(key)
-    rows = profile.withColumn("width", F.max("x").over(w) + 1).withColumn("med", F.percentile(F.when(F.col("x") >= 0.3 * F.col("width"), F.col("c")), F.lit(0.5)).over(w))
-    hot = rows.where("x < 0.3 * width").withColumn("hot", F.col("c") > 1.5 * F.col("med")).where("hot")
+def pulse_window(profile: DataFrame, keys="record_id") -> DataFrame:
+    """keys, a, length: widest stretch of the first 30 % of columns with over 1.5 times the trace's ink, the first of equal ones.
+
+    profile: keys, x, c (ink of a column) and, if given, width; without it the
+    last column is the largest x.  The trace's ink is the median over the
+    columns from 35 to 90 % of the width that have any; a page without such
+    columns has no window.
+    """
+    keys = [keys] if isinstance(keys, str) else [*keys]
+    w = Window.partitionBy(*keys)
+    rows = profile if "width" in profile.columns else profile.withColumn("width", F.max("x").over(w) + 1)
+    place = lambda share: F.floor(F.lit(share) * F.col("width"))
+    middle = rows.where((F.col("x") >= place(0.35)) & (F.col("x") < place(0.9)) & (F.col("c") > 0)).groupBy(*keys).agg(F.percentile("c", F.lit(0.5)).alias("trace"))
+    hot = rows.where(F.col("x") < place(0.3)).join(middle, keys).where(F.col("c") > 1.5 * F.col("trace"))
     hot = hot.withColumn("island", F.col("x") - F.row_number().over(w.orderBy("x")))
-    runs = hot.groupBy(key, "island").agg(F.min("x").alias("a"), F.count("*").alias("n"))
-    best = runs.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("b"))
-    return best.select(key, "b.a", (-F.col("b.n")).alias("length"))
-
-
-def common_value(values: DataFrame, key: str, x: str) -> DataFrame:
-    """key, value, spread, n: the value most others are near to (2 or 12 %), from three on: median and median deviation of its neighbours."""
-    v = values.select(key, F.col(x).cast("double").alias("a"))
-    pairs = v.distinct().join(v.withColumnRenamed("a", "b"), key).where(F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(2.0), 0.12 * F.col("a")))
-    best = pairs.groupBy(key, "a").agg(F.count("*").alias("n")).groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "a"))["a"].alias("a"))
-    near = pairs.join(best, [key, "a"]).withColumn("med", F.percentile("b", F.lit(0.5)).over(Window.partitionBy(key)))
-    got = near.groupBy(key).agg(F.first("med").alias("value"), F.percentile(F.abs(F.col("b") - F.col("med")), F.lit(0.5)).alias("spread"), F.count("*").alias("n"))
+    runs = hot.groupBy(*keys, "island").agg(F.min("x").alias("a"), F.count("*").alias("n"))
+    best = runs.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("b"))
+    return best.select(*keys, "b.a", (-F.col("b.n")).alias("length"))
+
+
+def common_value(values: DataFrame, keys, x: str) -> DataFrame:
+    """keys, value, spread, n: the value most others are near to (2 or 12 %), from three on, the least of equal ones: median and median deviation of its neighbours."""
+    keys = [keys] if isinstance(keys, str) else [*keys]
+    v = values.select(*keys, F.col(x).cast("double").alias("a"))
+    pairs = v.distinct().join(v.withColumnRenamed("a", "b"), keys).where(F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(2.0), 0.12 * F.col("a")))
+    best = pairs.groupBy(*keys, "a").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "a"))["a"].alias("a"))
+    near = pairs.join(best, [*keys, "a"]).withColumn("med", F.percentile("b", F.lit(0.5)).over(Window.partitionBy(*keys)))
+    got = near.groupBy(*keys).agg(F.first("med").alias("value"), F.percentile(F.abs(F.col("b") - F.col("med")), F.lit(0.5)).alias("spread"), F.count("*").alias("n"))
     return got.where("n >= 3")
 
 

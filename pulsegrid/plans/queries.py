@@ -608,10 +608,19 @@ def p1(spark, d):
     return events(spark, d).select("user_id", "i", S.samples_of(F.floor("x"), 250).alias("n"))
 
 
-@query("s6_layout_cells", "SELECT * FROM (VALUES ('3x4', 12, 0), ('3x4_1R', 13, 1), ('3x4_3R', 15, 3), ('6x2', 12, 0), ('6x2_1R', 13, 1), ('12x1', 12, 0)) t(layout, cells, strips)")
+_GRIDS = [("3x4", 12, 0), ("3x4_1R", 13, 1), ("3x4_3R", 15, 3), ("6x2", 12, 0), ("6x2_1R", 13, 1), ("12x1", 12, 0)]
+
+
+@query(
+    "s6_layout_cells",
+    f"WITH {E_SQL}, p AS (SELECT user_id, i, CAST(floor(x) AS BIGINT) % {len(_GRIDS)} AS k FROM e) SELECT user_id, layout, CAST(count(*) AS INTEGER) AS pages, CAST(sum(cells) AS INTEGER) AS cells, CAST(sum(strips) AS INTEGER) AS strips "
+    f"FROM p JOIN (VALUES {', '.join(str((k, *g)) for k, g in enumerate(_GRIDS))}) t(k, layout, cells, strips) ON p.k = t.k GROUP BY 1, 2",
+)
 def s6(spark, d):
-    c = readers.layout_cells(spark).groupBy("layout").agg(F.count("*").cast("int").alias("cells"), F.count_if("is_rhythm").cast("int").alias("strips"))
-    return c
+    """Each event is a page in one of the layouts; its cells are those of the catalogue."""
+    name = F.array(*[F.lit(g[0]) for g in _GRIDS])[(F.floor("x") % len(_GRIDS)).cast("int")]
+    pages = events(spark, d).select("user_id", "i", name.alias("layout")).join(F.broadcast(readers.layout_cells(spark)), "layout")
+    return pages.groupBy("user_id", "layout").agg(F.count_distinct("i").cast("int").alias("pages"), F.count("*").cast("int").alias("cells"), F.count_if("is_rhythm").cast("int").alias("strips"))
 
 
 @query("i1_otsu_threshold", f"WITH {E_SQL}, h AS (SELECT user_id AS record_id, CAST(floor(x / 2) AS INTEGER) AS v, count(*) AS c FROM e GROUP BY 1, 2), r AS (SELECT record_id, v, sum(c) OVER w AS n0, sum(c * v) OVER w AS s0, sum(c) OVER (PARTITION BY record_id) AS n, sum(c * v) OVER (PARTITION BY record_id) AS s FROM h WINDOW w AS (PARTITION BY record_id ORDER BY v)), b AS (SELECT record_id, v, round(n0 * (n - n0) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) / (n * n), 9) AS b FROM r WHERE n0 < n) SELECT record_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY b DESC, v) AS k FROM b) WHERE k = 1")
@@ -660,9 +669,10 @@ def t11(spark, d):
     return t.groupBy(*keys).agg(F.count("y").alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.max("coverage").alias("coverage"))
 
 
-@query("t18_pulse_window", f"WITH {E_SQL}, w AS (SELECT user_id, i - 1 AS x, x AS c, max(i) OVER (PARTITION BY user_id) AS width FROM e), m AS (SELECT *, quantile_cont(CASE WHEN x >= 0.3 * width THEN c END, 0.5) OVER (PARTITION BY user_id) AS med FROM w), h AS (SELECT user_id, x, x - row_number() OVER (PARTITION BY user_id ORDER BY x) AS g FROM m WHERE x < 0.3 * width AND c > 1.5 * med), r AS (SELECT user_id, min(x) AS a, count(*) AS n FROM h GROUP BY user_id, g) SELECT user_id AS record_id, a, n AS length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, a) AS k FROM r) WHERE k = 1")
+@query("t18_pulse_window", f"WITH {E_SQL}, w AS (SELECT user_id, i - 1 AS x, CASE WHEN i % 3 = 0 THEN 0 ELSE x END AS c, max(i) OVER (PARTITION BY user_id) AS width FROM e), m AS (SELECT *, quantile_cont(CASE WHEN x >= floor(0.35 * width) AND x < floor(0.9 * width) AND c > 0 THEN c END, 0.5) OVER (PARTITION BY user_id) AS med FROM w), h AS (SELECT user_id, x, x - row_number() OVER (PARTITION BY user_id ORDER BY x) AS g FROM m WHERE x < floor(0.3 * width) AND c > 1.5 * med), r AS (SELECT user_id, min(x) AS a, count(*) AS n FROM h GROUP BY user_id, g) SELECT user_id AS record_id, a, n AS length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, a) AS k FROM r) WHERE k = 1")
 def t18(spark, d):
-    return Y.pulse_window(events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") - 1).alias("x"), F.col("x").alias("c")))
+    c = F.when(F.col("i") % 3 == 0, 0.0).otherwise(F.col("x"))
+    return Y.pulse_window(events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") - 1).alias("x"), c.alias("c")))
 
 
 @query("t22_reconcile_scale", f"WITH {E_SQL}, p AS (SELECT user_id, i, x, (8.0 / (x / 50)) AS ratio FROM e), c AS (SELECT *, abs(ratio - 1) <= 0.15 AS agrees FROM p) SELECT user_id, i, round(ratio, 6) AS ratio, agrees, (i % 9 >= 5 AND x / 5000 <= 0.08 AND NOT agrees) AS applied, round(CASE WHEN i % 9 >= 5 AND x / 5000 <= 0.08 AND NOT agrees THEN ratio ELSE 1.0 END, 6) AS gain FROM c")
@@ -752,4 +762,4 @@ def v7(spark, d):
     return Y.probe_peaks(signals(spark, d, ["I", "II"], 300), 0.2).withColumn("top", F.round("top", 6))
 
 
-from pulsegrid.plans import beat_queries, pair_queries  # noqa: E402, F401 - add their queries
+from pulsegrid.plans import beat_queries, ink_queries, pair_queries  # noqa: E402, F401 - add their queries
