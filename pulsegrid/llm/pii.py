@@ -12,6 +12,10 @@ documents that mention them.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +33,68 @@ GIVEN = {
     ("n", "latin"): ["Alex", "Ariel", "Casey", "Dana", "Eden", "Jamie", "Jordan", "Kim", "Morgan", "Noel", "Quinn", "Robin", "Sam", "Sasha", "Taylor", "Toni"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан"],
     ("f", "cyrillic"): ["Алла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "София"],
+    ("m", "greek"): ["Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Κώστας", "Λευτέρης", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Τάσος", "Φώτης", "Χρήστος"],
+    ("f", "greek"): ["Άννα", "Βάσω", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λίνα", "Μαρία", "Νίκη", "Ουρανία", "Πηνελόπη", "Ρένα", "Σοφία", "Χριστίνα"],
+    ("n", "greek"): ["Άλεξ", "Άρια", "Βάλια", "Γιάννι", "Έλλη", "Ζήνα", "Ηρώ", "Θάλεια", "Ίρις", "Κλειώ", "Λήδα", "Μέλπω", "Νέλλη", "Ρούλα", "Τόνι", "Χάρις"],
     ("n", "cyrillic"): ["Валя", "Женя", "Саша", "Слава", "Шура", "Паша", "Вася", "Гера", "Лера", "Миша", "Никки", "Рома", "Сима", "Тоша", "Юра", "Ян"],
 }
 #: Letters that take each other's place: digits, hex digits, letters by case, and vowels and consonants of names by script.
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "abcdef"
 VOWELS, CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
 ACCENTED = "áàâäéèêëíìîïóòôöúùûü"
+MARKED = "ñçøåæœłęćąśźżńőűčšžěřůğşđ"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"
+GREEK, GREEK_ACCENTED = "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώ"
+OTHERS = [ACCENTED, MARKED, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK, GREEK_ACCENTED]
+#: What takes each other's place in a secret without any letter or digit.
+PUNCTUATION = "!$%&()*+-./<>?@[]^_{|}~#"
+
+
+@lru_cache(maxsize=1)
+def letter_classes() -> list[list[tuple[int, int, int]]]:
+    """All other letters and digits, by script, category and whether upper and lower case lead to each other: runs (first code, step, number) of each class.
+
+    The script is the first word of a character's name.  Classes of one
+    character are taken together.
+    """
+    known = set(DIGITS + "".join(a + a.upper() for a in (LETTERS, *OTHERS)))
+    classes: dict[tuple, list[int]] = {}
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        kind_ = unicodedata.category(c)
+        if kind_[0] in "LN" and c not in known:
+            other = c.upper() if kind_ == "Ll" else c.lower()
+            paired = kind_ not in ("Ll", "Lu") or len(other) == 1 and (other.lower() if kind_ == "Ll" else other.upper()) == c
+            classes.setdefault((unicodedata.name(c, "?").split()[0], kind_, paired), []).append(code)
+    alone = [codes[0] for codes in classes.values() if len(codes) == 1]
+    out = []
+    for codes in [c for c in classes.values() if len(c) > 1] + [alone]:
+        runs, at = [], 0
+        while at < len(codes):
+            n = {step: next((j for j in range(1, len(codes) - at) if codes[at + j] - codes[at] != j * step), len(codes) - at) for step in (1, 2)}
+            step = 1 if n[1] >= n[2] else 2
+            runs.append((codes[at], step, n[step]))
+            at += n[step]
+        out.append(runs)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _class_tables() -> dict[str, str]:
+    """letter_classes() as SQL arrays: of each run its first and last code, step, class and offset; runs by the upper bits of codes; first run, number of runs and size of each class."""
+    runs = [(a, a + step * (n - 1), step, k, sum(r[2] for r in each[:i])) for k, each in enumerate(letter_classes()) for i, (a, step, n) in enumerate(each)]
+    blocks: list[list[int]] = [[] for _ in range((max(r[1] for r in runs) >> 8) + 1)]
+    for at, (low, high, *_) in enumerate(runs):
+        for b in range(low >> 8, (high >> 8) + 1):
+            blocks[b].append(at)
+    flat = lambda v: f"array({', '.join(map(str, v))})"
+    out = {name: flat(column) for name, column in zip(("low", "high", "step", "class", "offset"), zip(*runs))}
+    starts, at = [], 0
+    for each in letter_classes():
+        starts.append(at)
+        at += len(each)
+    out |= {"start": flat(starts), "runs": flat(map(len, letter_classes())), "size": flat(sum(r[2] for r in each) for each in letter_classes())}
+    return out | {"block": "array(" + ", ".join(flat(b) if b else "cast(array() as array<int>)" for b in blocks) + ")"}
 
 _KEY = r"\bAKIA[0-9A-Z]{16}\b|\b[0-9a-fA-F]{32,}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}"
 
@@ -105,54 +164,90 @@ def canonical(e: Column, k: Column) -> Column:
 # --------------------------------------------------------------- permutations
 
 
+_STAYS = "struct<v:int,m:int,a:string>"
+
+
+def _classed(c: Column) -> Column:
+    """A character as a place of its letter class, whose name is # and a number; null if it has none."""
+    t = {k: F.expr(v) for k, v in _class_tables().items() if k != "runs"}
+    code = F.ascii(c)
+    runs = F.coalesce(F.get(t["block"], F.shiftright(code, 8)), F.array().cast("array<int>"))
+    run = F.get(F.filter(runs, lambda p: (code >= t["low"][p]) & (code <= t["high"][p]) & ((code - t["low"][p]) % t["step"][p] == 0)), F.lit(0))
+    place = lambda p: F.struct((t["offset"][p] + F.floor((code - t["low"][p]) / t["step"][p])).cast("int").alias("v"), t["size"][t["class"][p]].alias("m"), F.concat(F.lit("#"), t["class"][p]).alias("a"))
+    return _bound(run, lambda p: F.when(p.isNotNull(), place(p)))
+
+
+def _of_class(a: Column, v: Column) -> Column:
+    """The character at a place of a letter class."""
+    t = {k: F.expr(x) for k, x in _class_tables().items() if k in ("low", "step", "offset", "start", "runs")}
+    k = F.substring(a, 2, 9).cast("int")
+    run = F.array_max(F.filter(F.sequence(t["start"][k], t["start"][k] + t["runs"][k] - 1), lambda p: t["offset"][p] <= v))
+    code = _bound(run, lambda p: t["low"][p] + (v - t["offset"][p]) * t["step"][p])
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def _places(s: Column, alphabets: Column, first: Column, last: Column) -> Column:
-    """The characters of a string as an array of (v: place in its alphabet a, m: size of a); a character of none of the alphabets, or not from first to last (from 1), is its own."""
+    """The characters of a string as an array of (v: place in its alphabet a, m: size of a); a character of none of the alphabets and of no letter class, or not from first to last (from 1), is its own."""
 
     def one(i):
         c = F.substring(s, i, F.lit(1))
-        own = F.when(i.between(first, last), F.coalesce(F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0)), c)).otherwise(c)
-        return _bound(own, lambda a: F.struct((F.call_function("instr", a, c) - 1).alias("v"), F.length(a).alias("m"), a.alias("a")))
+        inside = i.between(first, last)
+        listed = F.when(inside, F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0)))
+        stays = F.struct(F.lit(0).alias("v"), F.lit(1).alias("m"), c.alias("a"))
+        plain = lambda a: F.struct((F.call_function("instr", a, c) - 1).alias("v"), F.length(a).alias("m"), a.alias("a"))
+        return _bound(listed, lambda a: F.when(a.isNotNull(), plain(a)).when(inside & (F.ascii(c) > 127), F.coalesce(_classed(c), stays)).otherwise(stays))
 
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), one)).otherwise(F.array().cast("array<struct<v:int,m:int,a:string>>"))
+    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), one)).otherwise(F.array().cast(f"array<{_STAYS}>"))
 
 
 def _text(places: Column) -> Column:
-    return F.array_join(F.transform(places, lambda x: F.substring(x["a"], x["v"] + 1, F.lit(1))), "")
+    char = lambda x: F.when((x["m"] > 1) & x["a"].startswith("#"), _of_class(x["a"], x["v"])).otherwise(F.substring(x["a"], x["v"] + 1, F.lit(1)))
+    return F.array_join(F.transform(places, char), "")
 
 
-def permuted(rows: DataFrame, name: str, key: str, rounds: int = 2) -> DataFrame:
+def permuted(rows: DataFrame, name: str, key: str, rounds: int = 4) -> DataFrame:
     """rows whose column `name`, an array of (places, tweak), becomes an array of the permuted places.
 
     A keyed permutation, without fixed points, of all arrays of places over the
     same alphabets: an alternating Feistel network whose halves are moved place
     by place, so every place stays in its alphabet and no value leaves its
-    format; between it and its inverse every place is moved on by one, so no
-    array with a place that can move is its own image.
+    format; between it and its inverse every place is moved on by one.  Either
+    half holds places that can move; where there is but one such place, it is
+    moved on by a keyed number instead of one.  What stays is part of the tweak.
     """
 
+    def digest(x, r, of):
+        return F.sha2(F.concat_ws("\x1f", F.lit(key), x["tweak"], F.lit(str(r)), of), 512)
+
     def moved(part, by, sign=1):
-        return F.transform(part, lambda x, i: F.struct(F.pmod(x["v"] + sign * by(i), x["m"]).cast("int").alias("v"), x["m"].alias("m"), x["a"].alias("a")))
+        return F.transform(part, lambda x, i: F.struct(F.pmod(x["v"] + sign * by(i, x["m"]), x["m"]).cast("int").alias("v"), x["m"].alias("m"), x["a"].alias("a")))
 
     def halves(x):
-        half = F.floor(F.size(x["places"]) / 2).cast("int")
-        return F.struct(x["tweak"].alias("tweak"), F.slice(x["places"], F.lit(1), half).alias("l"), F.slice(x["places"], half + 1, F.size(x["places"]) - half).alias("r"))
+        free = F.filter(F.transform(x["places"], lambda p, i: F.when(p["m"] > 1, i + 1).otherwise(0)), lambda i: i > 0)
+        half = _bound(free, lambda f: F.when(F.size(f) > 1, F.get(f, F.floor(F.size(f) / 2).cast("int") - 1)).otherwise(0))
+        stays = F.array_join(F.transform(F.filter(x["places"], lambda p: p["m"] == 1), lambda p: p["a"]), "")
+        cut = lambda h: F.struct(F.concat_ws("\x1f", x["tweak"], stays).alias("tweak"), F.slice(x["places"], F.lit(1), h).alias("l"), F.slice(x["places"], h + 1, F.size(x["places"]) - h).alias("r"))
+        return _bound(half, cut)
 
     def turn(r, sign):
         """The right half is moved by the left one in even rounds, the left by the right in odd ones."""
         source, target = ("l", "r") if r % 2 == 0 else ("r", "l")
 
         def one(x):
-            seed = F.concat_ws("\x1f", F.lit(key), x["tweak"], F.lit(str(r)), F.array_join(F.transform(x[source], lambda p: p["v"].cast("string")), ","))
+            seed = F.array_join(F.transform(x[source], lambda p: p["v"].cast("string")), ",")
             # four hex digits for each of 32 places, and for those beyond the same again, on by seven
-            by = lambda d: lambda i: F.conv(F.substring(d, F.pmod(i, F.lit(32)).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
-            new = _bound(F.sha2(seed, 512), lambda d: moved(x[target], by(d), sign))
+            by = lambda d: lambda i, m: F.conv(F.substring(d, F.pmod(i, F.lit(32)).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 32).cast("int") * 7
+            new = _bound(digest(x, r, seed), lambda d: moved(x[target], by(d), sign))
             both = {source: x[source], target: new}
             return F.struct(x["tweak"].alias("tweak"), both["l"].alias("l"), both["r"].alias("r"))
 
         return one
 
     def on(x):
-        return F.struct(x["tweak"].alias("tweak"), moved(x["l"], lambda i: F.lit(1)).alias("l"), moved(x["r"], lambda i: F.lit(1)).alias("r"))
+        alone = F.size(x["l"]) == 0
+        keyed = lambda d: lambda i, m: F.when(alone & (m > 2), 1 + F.conv(F.substring(d, 1, 8), 16, 10).cast("long") % (m - 1)).otherwise(1)
+        on_ = lambda part: _bound(F.when(alone, digest(x, "one", F.lit(""))), lambda d: moved(part, keyed(d)))
+        return F.struct(x["tweak"].alias("tweak"), on_(x["l"]).alias("l"), on_(x["r"]).alias("r"))
 
     forth = [turn(r, 1) for r in range(rounds)]
     back = [turn(r, -1) for r in reversed(range(rounds))]
@@ -167,9 +262,11 @@ def _sets(*alphabets: str) -> Column:
 
 
 def _alphabets(s: Column) -> Column:
-    """Digits for digits and letters for letters by case; hex stays hex."""
+    """Digits for digits and letters for letters by case; hex stays hex; what has neither letters nor digits keeps to punctuation."""
     hexed = (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")) | s.rlike("^[0-9a-fA-F]{32,}$")
-    return F.when(hexed, _sets(DIGITS, HEX, HEX.upper())).otherwise(_sets(DIGITS, LETTERS, LETTERS.upper()))
+    plain = [DIGITS, LETTERS, LETTERS.upper()]
+    more = [x for a in OTHERS for x in (a, a.upper())]
+    return F.when(hexed, _sets(DIGITS, HEX, HEX.upper())).when(s.rlike(r"^\p{ASCII}*[0-9A-Za-z]\p{ASCII}*$"), _sets(*plain)).when(s.rlike(r"[\p{L}\p{N}]"), _sets(*plain, *more)).otherwise(_sets(PUNCTUATION))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -236,7 +333,7 @@ def _address(places: Column) -> Column:
 
 
 def _script(name: Column) -> Column:
-    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _given_at(canon: Column, key: str) -> Column:
@@ -302,7 +399,7 @@ def _part(k: Column, canon: Column) -> Column:
     )
 
     def described(p):
-        names = _sets(VOWELS, CONSONANTS, ACCENTED, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS)
+        names = _sets(VOWELS, CONSONANTS, *OTHERS)
         sets = F.when(k == "person", names).when(k.isin("card", "phone"), _sets(DIGITS)).otherwise(_alphabets(p))
         first = F.when((k == "card") | ((k == "phone") & canon.rlike("^[01]")), 2).otherwise(1)
         last = F.length(p) - F.when((k == "person") & (F.length(p) >= 5) & p.rlike(r"\p{IsCyrillic}"), 2).otherwise(0)
@@ -385,8 +482,13 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     one surname still have one.  Distinct entities of a type stay distinct in
     every corpus, and none is its own surrogate; in a format that is densely
     used a surrogate can be the value of another entity, which itself has
-    another one.  Characters that are neither digits nor Latin letters stay in
-    secrets, keys and addresses.  The rest of a text is untouched; null and
+    another one.  Letters and digits of every script take the places of others
+    of their script and case (a class of one letter: of another such class).
+    Punctuation stays, but in secrets that have nothing else; a secret of
+    symbols beyond ASCII alone is the one entity that stays what it is.  Given
+    names of other scripts than Cyrillic and Greek become Latin ones.  Which of
+    two entities of a format with two values gets which surrogate does not
+    depend on the key, as only one is not the original.  The rest of a text is untouched; null and
     empty texts stay.  Rows with the same text come out alike.  Columns named
     entities are replaced.
     """
