@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import kernels
 from pulsegrid.functions.series import filled
+from pulsegrid.operators.segments import less_running_median
 from pulsegrid.schema import AUTO_LAYOUTS, LAYOUTS, MM_PER_MV, MM_PER_S
 from pulsegrid.tables import materialise
 
@@ -347,16 +347,5 @@ def probe_peaks(signals: DataFrame, threshold: float) -> DataFrame:
 
 
 def drift_removed(signals: DataFrame, fs: int, seconds: float = 0.6) -> DataFrame:
-    """signals (record_id, lead, i, mv) less their running median over a window too wide for a frame; one series at a time."""
-    kind = signals.schema["record_id"].dataType.simpleString()
-    per = signals.where("mv is not null").groupBy("record_id", "lead").agg(F.sort_array(F.collect_list(F.struct("i", "mv"))).alias("p"))
-    per = per.select("record_id", "lead", F.transform("p", lambda x: x["i"]).alias("i"), F.transform("p", lambda x: x["mv"]).alias("mv"))
-
-    def run(frames):
-        for f in frames:
-            f = f.copy()
-            f["mv"] = [(np.asarray(x) - kernels.running_median(x, min(int(seconds * fs) | 1, 2 * len(x) - 1))).tolist() for x in f["mv"]]
-            yield f
-
-    flat = per.mapInPandas(run, f"record_id {kind}, lead string, i array<int>, mv array<double>")
-    return flat.select("record_id", "lead", F.explode(F.arrays_zip("i", "mv")).alias("z")).select("record_id", "lead", "z.i", "z.mv")
+    """signals (record_id, lead, i, mv) less their running median, segment by segment."""
+    return less_running_median(signals, ["record_id", "lead"], int(seconds * fs) | 1)
