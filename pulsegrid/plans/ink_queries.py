@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import nearest as J
 from pulsegrid.operators import pixels as P
 from pulsegrid.operators import shapes as S
-from pulsegrid.plans.queries import E_SQL, events, query, users
+from pulsegrid.plans.queries import _GRIDS, E_SQL, events, query, users
+from pulsegrid.plans.roundtrip import round_trip
+from pulsegrid.schema import LEADS
+from pulsegrid.sources import synthetic
 
 KEYS = ["record_id"]
 _V_SQL = "v AS (SELECT user_id AS record_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS x, event_id, event_type, CAST(floor(value) AS INTEGER) % 40 AS a, CAST(floor(value * 7) AS INTEGER) % 40 AS b FROM events)"
@@ -249,3 +252,10 @@ def t35(spark, d):
     maps = e.select(F.col("user_id").alias("record_id"), (F.col("i") % 2).alias("band"), F.floor(F.col("i") / 2).cast("int").alias("at"), "y", level(3, 11, 97).alias("signal"), level(5, 7, 89).alias("grid"), level(1, 5, 83).alias("text"))
     got = J.gap_diagnostics(maps.withColumnRenamed("at", "x"), ["record_id", "band"], 0.9)
     return got.select("record_id", "band", *[F.round(c, 9).alias(c) for c in ("gap", "signal", "grid", "text")])
+
+
+@query("v9_round_trip", f"SELECT record_id, layout, CAST(cells AS INTEGER) AS cells, CAST(strips AS INTEGER) AS strips, TRUE AS covered, TRUE AS near FROM (SELECT DISTINCT user_id AS record_id FROM events), (VALUES {', '.join(map(str, _GRIDS))}) t(layout, cells, strips)")
+def v9(spark, d):
+    """Each user's signal drawn in every layout and traced again; the twin is what was drawn."""
+    got = round_trip(synthetic.signals(users(spark, d), 24, 240, LEADS))
+    return got.select("record_id", "layout", "cells", "strips", (F.col("coverage") > 0.9).alias("covered"), (F.col("near") > 0.9).alias("near"))
