@@ -6,12 +6,15 @@ blank-separated pieces, each encoded once and remembered in a bounded cache.
 A huge document is encoded in overlapping chunks with offsets, which are
 spliced at a boundary that is stable in any context: a place right after a
 blank at which both encodings start a token.  An overlap without one is
-widened; if it reaches the start of the chunk, both are encoded as one.
+widened; if it reaches the start of the chunk, or the chunk has no blank, both
+are encoded as one, up to a chunk beyond the next blank, so that a stretch
+without blanks is encoded once and not again for every chunk of it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Characters of a chunk and of the first overlap.
 CHUNK, OVERLAP = 16_384, 512
-#: Pieces remembered by a Python worker.
-REMEMBERED = 400_000
+#: Pieces remembered by a Python worker, and the bytes of the longest of them.
+REMEMBERED, PIECE_BYTES = 400_000, 256
+_BLANKS = " \t\n\x0b\x0c\r"
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 LIMIT = 2048
 
 
@@ -42,20 +47,27 @@ def _starts(tokenizer, text: str, at: int) -> np.ndarray:
 
 def splice_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text, from overlapping chunks of it."""
+    def beyond(at: int) -> int:
+        """A chunk beyond the next blank."""
+        blank = _BLANK.search(text, at)
+        return min(len(text), blank.end() + chunk) if blank else len(text)
+
     total, begin = 0, 0
     end = min(chunk, len(text))
     starts = _starts(tokenizer, text[:end], 0)
     while end < len(text):
-        step, joined = overlap, False
+        blank = max(text.rfind(c, begin + 1, end) for c in _BLANKS)
+        step, joined = max(overlap, 2 * (end - blank)) if blank > 0 else end - begin, False
         while not joined:
             first = max(begin, end - step)
-            last = min(len(text), max(end, first) + chunk)
+            last = min(len(text), end + chunk)
             if first == begin:  # nothing stable in the whole chunk: both in one
-                starts, end, joined = _starts(tokenizer, text[begin:last], begin), last, True
+                end = beyond(end)
+                starts, joined = _starts(tokenizer, text[begin:end], begin), True
                 break
             following = _starts(tokenizer, text[first:last], first)
             common = np.intersect1d(starts[starts > first], following)
-            stable = [p for p in common[common < end].tolist() if text[p - 1] in " \t\n\x0b\x0c\r"]
+            stable = [p for p in common[common < end].tolist() if text[p - 1] in _BLANKS]
             if stable:
                 cut = stable[len(stable) // 2]
                 total += int(np.count_nonzero(starts < cut))
@@ -74,7 +86,11 @@ def _count_pieces(tokenizer, known: dict, texts: list[bytes]) -> list[int]:
         part = new[at : at + 4096]
         for p, e in zip(part, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
             known[p] = len(e.ids)
-    return [sum(map(known.__getitem__, each)) for each in pieces]
+    counts = [sum(map(known.__getitem__, each)) for each in pieces]
+    for p in new:
+        if len(p) > PIECE_BYTES:
+            del known[p]
+    return counts
 
 
 def _counted(path: str, chunk: int, overlap: int):
