@@ -60,6 +60,37 @@ def ratio_report(pairs: DataFrame, least: int = 5) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), _median("ratio").alias("ratio")).where(F.col("n") >= least)
 
 
+def lead_report(rows: DataFrame, metrics, lead: str = "lead", ratio: str = "r_amp", coverage: str = "coverage", near: float = 0.05) -> DataFrame:
+    """lead, n, coverage (mean), medians of the metrics and of the height ratio, and the share of ratios within `near` of 1; lead is null in the row over all.
+
+    rows: one for each record and lead; a lead without a comparison has nulls.
+    """
+    sets = rows.groupingSets([[F.col(lead)], []], lead)
+    within = F.avg((F.abs(F.col(ratio) - 1) < near).cast("double"))
+    return sets.agg(F.count(metrics[0]).alias("n"), F.avg(coverage).alias("coverage"), *[_median(m).alias(m) for m in metrics], _median(ratio).alias(ratio), within.alias("within"))
+
+
+def specificity(before: DataFrame, after: DataFrame, key: str, found: str) -> DataFrame:
+    """total, false, share: of records in which something is found, measured again with it erased, those in which it is found again.
+
+    Records that the second run could not measure do not count.
+    """
+    had = before.where(F.col(found).isNotNull()).select(key)
+    both = after.join(had, key, "left_semi")
+    return both.agg(F.count("*").alias("total"), F.count(found).alias("false")).withColumn("share", F.col("false") / F.greatest(F.col("total"), F.lit(1)))
+
+
+def parameter_grid(measure, values: list[float], truth: DataFrame, key: str, metric: str) -> DataFrame:
+    """value, n, bias, med_abs, p90_abs: a parameter's values by the error of what measure(value), a table of (key, metric), gives.
+
+    One value serves all records: fitted to each record, it would show an
+    accuracy that new data do not have.
+    """
+    runs = stages({str(v): measure(v).select(key, F.col(metric).alias("_m")) for v in values})
+    rows = runs.join(truth.select(key, F.col(metric).alias("_t")), key).withColumn("_e", F.col("_m") - F.col("_t")).where("_e is not null")
+    return rows.groupBy(F.col("stage").cast("double").alias("value")).agg(F.count("*").alias("n"), _median("_e").alias("bias"), _median(F.abs("_e")).alias("med_abs"), F.percentile(F.abs("_e"), F.lit(0.9)).alias("p90_abs"))
+
+
 def analyser_spread(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
     """n, med_abs, p90_abs between two analysers' values of a metric."""
     d = F.abs(F.col("x") - F.col("y"))

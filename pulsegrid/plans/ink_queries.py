@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import compare as C
 from pulsegrid.operators import nearest as J
 from pulsegrid.operators import pixels as P
 from pulsegrid.operators import shapes as S
@@ -259,3 +260,66 @@ def v9(spark, d):
     """Each user's signal drawn in every layout and traced again; the twin is what was drawn."""
     got = round_trip(synthetic.signals(users(spark, d), 24, 240, LEADS))
     return got.select("record_id", "layout", "cells", "strips", (F.col("coverage") > 0.9).alias("covered"), (F.col("near") > 0.9).alias("near"))
+
+
+# ------------------------------------------------------------------ crops, masks, reports
+
+
+@query("p19_crop_and_fill", f"WITH {_PAGE_SQL}, b AS (SELECT record_id, CAST(record_id % 7 AS INTEGER) - 4 AS x0, CAST(record_id % 5 AS INTEGER) - 2 AS y0, CAST(max(width) AS INTEGER) - 10 AS x1 FROM page GROUP BY 1), g AS (SELECT *, CAST(unnest(range(x0, x1)) AS INTEGER) AS x FROM b), h AS (SELECT *, CAST(unnest(range(y0, 14)) AS INTEGER) AS y FROM g) SELECT h.record_id, h.x - x0 AS x, h.y - y0 AS y, coalesce(gray, 250) AS gray FROM h LEFT JOIN page p ON p.record_id = h.record_id AND p.x = h.x AND p.y = h.y")
+def p19(spark, d):
+    """Boxes that leave the page on two or three sides."""
+    rows, sizes = pages(spark, d)
+    box = sizes.select("record_id", ((F.col("record_id") % 7).cast("int") - 4).alias("x0"), (F.col("width") - 10).alias("x1"), ((F.col("record_id") % 5).cast("int") - 2).alias("y0"), F.lit(14).alias("y1"))
+    return P.cropped(rows, box, 250)
+
+
+@query("s15_ink_of_masks", f"WITH {_PAGE_SQL} SELECT record_id, x, y FROM page WHERE CASE WHEN record_id % 3 = 0 THEN (gray * 3) % 256 > 127 ELSE gray < 90 END")
+def s15(spark, d):
+    """Every third page comes with a mask; the ink of the others is what is darker than a level."""
+    rows, _ = pages(spark, d)
+    masks = rows.where("record_id % 3 = 0").select("record_id", "x", "y", ((F.col("gray") * 3) % 256).alias("mask"))
+    return P.ink_of(masks, rows, lambda p: p.where("gray < 90"))
+
+
+_METRICS = ["corr", "gain", "snr", "rms_uv"]
+_A3_SQL = f"""WITH {E_SQL}, m AS (SELECT event_type AS lead, (i % 10) / 10.0 AS coverage, CASE WHEN i % 4 > 0 THEN x / 600 END AS corr, CASE WHEN i % 4 > 0 THEN x / 50 END AS gain, CASE WHEN i % 4 > 0 THEN x / 9 END AS snr, CASE WHEN i % 4 > 0 THEN x * 3 END AS rms_uv, CASE WHEN i % 6 > 0 THEN 0.9 + x / 500 END AS r_amp FROM e)
+SELECT lead, count(corr) AS n, round(avg(coverage), 6) AS coverage, round(quantile_cont(corr, 0.5), 6) AS corr, round(quantile_cont(gain, 0.5), 6) AS gain, round(quantile_cont(snr, 0.5), 6) AS snr, round(quantile_cont(rms_uv, 0.5), 6) AS rms_uv, round(quantile_cont(r_amp, 0.5), 6) AS r_amp, round(avg(CASE WHEN abs(r_amp - 1) < 0.05 THEN 1.0 WHEN r_amp IS NOT NULL THEN 0.0 END), 6) AS within FROM m GROUP BY GROUPING SETS ((lead), ())"""
+
+
+@query("a3_lead_report", _A3_SQL)
+def a3(spark, d):
+    """Agreement by lead, and over all leads beside it; event types stand for leads."""
+    compared = F.when(F.col("i") % 4 > 0, F.col("x"))
+    rows = events(spark, d).select(
+        F.col("event_type").alias("lead"), ((F.col("i") % 10) / F.lit(10.0)).alias("coverage"), (compared / 600).alias("corr"), (compared / 50).alias("gain"), (compared / 9).alias("snr"), (compared * 3).alias("rms_uv"),
+        F.when(F.col("i") % 6 > 0, 0.9 + F.col("x") / 500).alias("r_amp"),
+    )
+    got = C.lead_report(rows, _METRICS)
+    return got.select("lead", "n", *[F.round(c, 6).alias(c) for c in ("coverage", *_METRICS, "r_amp", "within")])
+
+
+@query("a19_specificity", f"WITH {E_SQL}, r AS (SELECT user_id, i, x > 40 AS had, i % 7 > 0 AS measured, x > 90 AS again FROM e) SELECT count(*) AS total, count(*) FILTER (again) AS false, round(count(*) FILTER (again) / CAST(greatest(count(*), 1) AS DOUBLE), 9) AS share FROM r WHERE had AND measured")
+def a19(spark, d):
+    """Events stand for records: what was found over 40, is erased, and found again over 90; every seventh cannot be measured again."""
+    e = events(spark, d).withColumn("key", F.concat_ws("/", "user_id", "i"))
+    before, after = e.select("key", F.when(F.col("x") > 40, F.col("x")).alias("p")), e.where("i % 7 > 0").select("key", F.when(F.col("x") > 90, F.col("x")).alias("p"))
+    return C.specificity(before, after, "key", "p").withColumn("share", F.round("share", 9))
+
+
+_A21_SQL = f"""WITH {E_SQL}, t AS (SELECT user_id, count(*) FILTER (x > 75) AS n FROM e GROUP BY 1), g AS (SELECT v, user_id, i, i - row_number() OVER (PARTITION BY v, user_id ORDER BY i) AS g FROM e, (VALUES (CAST(50.0 AS DOUBLE)), (75.0), (120.0)) t(v) WHERE x > v),
+m AS (SELECT v, user_id, count(DISTINCT g) AS n FROM g GROUP BY 1, 2), d AS (SELECT v, m.n - t.n AS e FROM m JOIN t USING (user_id))
+SELECT v AS value, count(*) AS n, round(quantile_cont(e, 0.5), 6) AS bias, round(quantile_cont(abs(e), 0.5), 6) AS med_abs, round(quantile_cont(abs(e), 0.9), 6) AS p90_abs FROM d GROUP BY 1"""
+
+
+@query("a21_parameter_grid", _A21_SQL)
+def a21(spark, d):
+    """A threshold's values by how far the number of stretches over it is from the number of values over 75."""
+    e = events(spark, d)
+
+    def stretches(value):
+        over = e.where(F.col("x") > value)
+        island = F.col("i") - F.row_number().over(Window.partitionBy("user_id").orderBy("i"))
+        return over.withColumn("g", island).groupBy("user_id").agg(F.count_distinct("g").alias("n"))
+
+    got = C.parameter_grid(stretches, [50.0, 75.0, 120.0], e.groupBy("user_id").agg(F.count_if(F.col("x") > 75).alias("n")), "user_id", "n")
+    return got.select("value", "n", *[F.round(c, 6).alias(c) for c in ("bias", "med_abs", "p90_abs")])

@@ -114,14 +114,22 @@ def n8(spark, d):
     return N.quietest_range(events(spark, d), ["user_id"], "i", "x", 5).withColumn("quiet", F.round("quiet", 6))
 
 
-@query("n9_sustained_below", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) < 60 AND i >= 10 AS ok FROM e) SELECT user_id, coalesce(min(CASE WHEN ok THEN i END), max(i)) AS \"at\" FROM h GROUP BY user_id")
+_PEAK_SQL = "p AS (SELECT user_id, min(struct_pack(v := -x, i := i)).i AS p FROM e GROUP BY 1)"
+
+
+def _from_peak(spark, d):
+    """Each series with the place of its largest value, the first of equal ones."""
+    return events(spark, d).withColumn("peak", F.min(F.struct((-F.col("x")).alias("v"), "i")).over(Window.partitionBy("user_id"))["i"])
+
+
+@query("n9_sustained_below", f"WITH {E_SQL}, {_PEAK_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) < 60 AND i >= p AS ok FROM e JOIN p USING (user_id)) SELECT user_id, coalesce(min(CASE WHEN ok THEN i END), max(i)) AS \"at\" FROM h GROUP BY user_id")
 def n9(spark, d):
-    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(10), F.lit(60.0), 4)
+    return N.sustained_below(_from_peak(spark, d), ["user_id"], "i", "x", F.col("peak"), F.lit(60.0), 4)
 
 
-@query("n9_sustained_below_backward", f"WITH {E_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) < 60 AND i <= 40 AS ok FROM e) SELECT user_id, coalesce(max(CASE WHEN ok THEN i END), min(i)) AS \"at\" FROM h GROUP BY user_id")
+@query("n9_sustained_below_backward", f"WITH {E_SQL}, {_PEAK_SQL}, h AS (SELECT user_id, i, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) < 60 AND i <= p AS ok FROM e JOIN p USING (user_id)) SELECT user_id, coalesce(max(CASE WHEN ok THEN i END), min(i)) AS \"at\" FROM h GROUP BY user_id")
 def n9b(spark, d):
-    return N.sustained_below(events(spark, d), ["user_id"], "i", "x", F.lit(40), F.lit(60.0), 3, -1)
+    return N.sustained_below(_from_peak(spark, d), ["user_id"], "i", "x", F.col("peak"), F.lit(60.0), 3, -1)
 
 
 @query("n11_longest_plateau", f"WITH {E_SQL}, c AS (SELECT user_id, i, CAST(floor(x / 30) AS BIGINT) AS b FROM e), g AS (SELECT user_id, i, b, sum(CASE WHEN b = lb THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, lag(b) {_W} AS lb FROM c)) SELECT user_id, max(n) AS plateau FROM (SELECT user_id, g, count(*) AS n FROM g GROUP BY user_id, g) GROUP BY user_id")
@@ -637,13 +645,26 @@ def page(spark, d):
     return xs.select("record_id", "x", y.cast("int").alias("y")), sizes
 
 
-@query("t1_row_profile", "WITH ink AS (SELECT record_id, CAST(30 + 60 * k + (x * (k + 3) + record_id) % 17 AS INTEGER) AS y FROM (SELECT DISTINCT user_id AS record_id FROM events), (SELECT unnest(range(320)) AS x), (SELECT unnest(range(4)) AS k)), m AS (SELECT r.record_id, g.y, coalesce(c, 0) / 320.0 AS m FROM (SELECT DISTINCT record_id FROM ink) r CROSS JOIN (SELECT unnest(range(240)) AS y) g LEFT JOIN (SELECT record_id, y, count(*) AS c FROM ink GROUP BY 1, 2) c ON c.record_id = r.record_id AND c.y = g.y), b AS (SELECT m.record_id, m.y, sum(n.m) / 7 AS b FROM m, (SELECT unnest(range(-3, 4)) AS o) o, m n WHERE n.record_id = m.record_id AND n.y = CASE WHEN m.y + o < 0 THEN -(m.y + o) WHEN m.y + o > 239 THEN 478 - (m.y + o) ELSE m.y + o END GROUP BY 1, 2) SELECT record_id, CAST(y AS INTEGER) AS y, round(b / max(b) OVER (PARTITION BY record_id), 6) AS cover FROM b")
+_PROFILE_SQL = "ink AS (SELECT record_id, CAST(30 + 60 * k + (x * (k + 3) + record_id) % 17 AS INTEGER) AS y FROM (SELECT DISTINCT user_id AS record_id FROM events), (SELECT unnest(range(320)) AS x), (SELECT unnest(range(4)) AS k)), m AS (SELECT r.record_id, g.y, coalesce(c, 0) / 320.0 AS m FROM (SELECT DISTINCT record_id FROM ink) r CROSS JOIN (SELECT unnest(range(240)) AS y) g LEFT JOIN (SELECT record_id, y, count(*) AS c FROM ink GROUP BY 1, 2) c ON c.record_id = r.record_id AND c.y = g.y), b AS (SELECT m.record_id, m.y, sum(n.m) / 7 AS b FROM m, (SELECT unnest(range(-3, 4)) AS o) o, m n WHERE n.record_id = m.record_id AND n.y = CASE WHEN m.y + o < 0 THEN -(m.y + o) WHEN m.y + o > 239 THEN 478 - (m.y + o) ELSE m.y + o END GROUP BY 1, 2)"
+
+
+@query("t1_row_profile", f"WITH {_PROFILE_SQL} SELECT record_id, CAST(y AS INTEGER) AS y, round(b / max(b) OVER (PARTITION BY record_id), 6) AS cover FROM b")
 def t1(spark, d):
     ink_rows, sizes = page(spark, d)
     return Y.row_profile(ink_rows, sizes).withColumn("cover", F.round("cover", 6))
 
 
-@query("t6_layout_choice")
+_T6_SQL = f"""WITH {_PROFILE_SQL}, c AS (SELECT record_id, CAST(y AS INTEGER) AS y, b / max(b) OVER (PARTITION BY record_id) AS cover FROM b),
+z AS (SELECT record_id, min(y) AS y0, max(y) AS y1 FROM c WHERE cover > 0.15 GROUP BY 1), s AS (SELECT record_id, n, k, (y1 - y0) / CAST(n AS DOUBLE) AS pitch, y0 + (k + 0.5) * ((y1 - y0) / CAST(n AS DOUBLE)) AS mid FROM z, (VALUES (4), (7), (12)) t(n), (SELECT unnest(range(12)) AS k) WHERE k < n),
+r AS (SELECT s.record_id, n, k, min(struct_pack(v := -round(cover, 9), y := c.y)).y AS centre FROM s JOIN c ON c.record_id = s.record_id AND c.y BETWEEN ceil(mid - 0.4 * pitch) AND floor(mid + 0.4 * pitch) GROUP BY 1, 2, 3),
+l AS (SELECT *, lead(centre) OVER (PARTITION BY record_id, n ORDER BY centre) AS after FROM r),
+o AS (SELECT l.record_id, n, avg(cover) AS o, count(DISTINCT centre) AS m, stddev_pop(after - centre) AS sd, avg(after - centre) AS gap FROM l JOIN c ON c.record_id = l.record_id AND c.y = centre GROUP BY 1, 2),
+f AS (SELECT l.record_id, n, avg(cover) AS f FROM l JOIN c ON c.record_id = l.record_id AND after - centre >= 2 AND c.y BETWEEN ceil(centre + (after - centre) / 4.0) AND floor(after - (after - centre) / 4.0) GROUP BY 1, 2),
+g AS (SELECT o.record_id, o.n, CASE WHEN m < o.n THEN -1.0 ELSE o - coalesce(f, 0) - 0.6 * coalesce(sd / nullif(gap, 0), 0) END AS score FROM o LEFT JOIN f ON f.record_id = o.record_id AND f.n = o.n)
+SELECT record_id, n_rows, CASE n_rows WHEN 4 THEN '3x4_1R' WHEN 7 THEN '6x2_1R' ELSE '12x1' END AS layout FROM (SELECT record_id, min(struct_pack(v := -round(score, 9), n := n)).n AS n_rows FROM g GROUP BY 1)"""
+
+
+@query("t6_layout_choice", _T6_SQL)
 def t6(spark, d):
     """Rows counted by the fit of even splits of the covered stretch."""
     ink_rows, sizes = page(spark, d)

@@ -14,7 +14,7 @@ def test_twin(spark, duck, data, name):
     assert plain(ours) == plain(theirs)
 
 
-@pytest.mark.parametrize("name", ["b1_anchor_peaks", "t6_layout_choice"])
+@pytest.mark.parametrize("name", ["b1_anchor_peaks", "t13_recut"])
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
