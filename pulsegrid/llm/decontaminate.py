@@ -60,6 +60,7 @@ class Index:
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(np.unique(_bigrams(x)) for x in split_item(t)) for _, _, t in kept]
         self.longest = max([len(g) + 1 for _, g, _ in kept], default=1)
+        self.spans = [max(PASSAGE, 2 * (len(g) + 1)) for _, g, _ in kept]
         self.alone = [tuple(len(_words(x)) == 1 for x in split_item(t)) for _, _, t in kept]
         n, mean = len(kept), np.mean([len(g) for _, g, _ in kept]) if kept else 1.0
         n_all, n_with = n, None
@@ -85,6 +86,12 @@ class Index:
             block_max = np.array([part[a : a + POSTINGS].max() for a in range(0, len(part), POSTINGS)])
             self.postings.append((items_, part, block_max))
             self.most[j] = part.max()
+        owned: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for j, (items_, part, _) in enumerate(self.postings):
+            for k, c in zip(items_.tolist(), part.tolist()):
+                owned[k].append((j, c))
+        #: Of each item its terms, in order, and what each adds to its score.
+        self.owned = [(np.array([j for j, _ in o], np.int64), np.array([c for _, c in o])) for o in owned]
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -138,7 +145,12 @@ class Index:
                 out.append((item, score))
 
     def search(self, words: np.ndarray, grams: np.ndarray, threshold: float, overlap: float):
-        """(item id, score, question overlap, answer overlap, first word) of what the passages of a document's words and their bigrams contain."""
+        """(item id, score, question overlap, answer overlap, first word) of what a document's words and their bigrams contain.
+
+        Passages long enough for the longest item are searched; an item found in
+        one is then scored, and its question and answer looked for, in spans of
+        its own size there, so that a long item makes no check of others lax.
+        """
         at, term = self.places(grams)
         if not len(at):
             return
@@ -148,14 +160,29 @@ class Index:
             a, b = np.searchsorted(at, (begin, begin + size))
             if total[b] - total[a] < threshold - 1e-9:
                 continue
-            terms = np.unique(term[a:b])
-            for k, score in self.retrieve(terms, threshold):
-                passage = self.terms[terms]
-                # a part of one word has no bigram: it is looked for among the passage's words
-                within = words[begin : begin + size + 1]
-                q, r = (float(np.isin(part, within if alone else passage).mean()) if len(part) else 1.0 for part, alone in zip(self.parts[k], self.alone[k]))
-                if q >= overlap and r >= overlap:
-                    yield self.ids[k], score, q, r, begin
+            for k, _ in self.retrieve(np.unique(term[a:b]), threshold):
+                yield from self.spans_with(k, at, term, words, begin, begin + size, threshold, overlap)
+
+    def spans_with(self, k: int, at: np.ndarray, term: np.ndarray, words: np.ndarray, begin: int, end: int, threshold: float, overlap: float):
+        """What search() yields of one item: its spans that begin in a passage, or hold its beginning."""
+        own, adds = self.owned[k]
+        span = self.spans[k]
+        step = span // 2
+        mine = np.isin(term, own)
+        at, term = at[mine], term[mine]
+        for first in range(max(0, begin // step - 1) * step, end, step):
+            a, b = np.searchsorted(at, (first, first + span))
+            if a == b:
+                continue
+            found = np.unique(term[a:b])
+            score = float(adds[np.searchsorted(own, found)].sum())
+            if score < threshold - 1e-9:
+                continue
+            # a part of one word has no bigram: it is looked for among the span's words
+            passage, within = self.terms[found], words[first : first + span + 1]
+            q, r = (float(np.isin(part, within if alone else passage).mean()) if len(part) else 1.0 for part, alone in zip(self.parts[k], self.alone[k]))
+            if q >= overlap and r >= overlap:
+                yield self.ids[k], score, q, r, first
 
 
 def index_blocks(benchmark: DataFrame, chars: int = INDEX_CHARS):
@@ -191,9 +218,10 @@ def index_blocks(benchmark: DataFrame, chars: int = INDEX_CHARS):
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of the documents that contain test items.
 
-    Words are letters and digits, lower-cased (A-Z).  Passages are windows of
-    twice the longest item (PASSAGE words at least) at half their length, so an
-    item is whole in one of them.  A pair is reported once, with its best
+    Words are letters and digits, lower-cased (A-Z).  An item is looked for in
+    windows of twice its own length (PASSAGE words at least) at half their
+    length, so it is whole in one of them, and other items' lengths don't
+    matter.  A pair is reported once, with its best
     passage (highest score, then first), if it scores `threshold` of the item's
     own score and has `overlap` of the distinct bigrams of question and answer
     each; a question or answer of one word must be among the passage's words.
@@ -228,5 +256,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no test item."""
+    """The rows of docs that contain no test item.
+
+    All rows of an id go when one of them contains an item; rows with a null id
+    stay, as no id tells them apart.
+    """
     return by_ids(docs, contaminated(docs, benchmark), "left_anti")
