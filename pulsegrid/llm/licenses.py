@@ -99,6 +99,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     two words, null and empty texts match nothing.
     Added: n_units (long, lines with a word), n_matches (long, matching units),
     licences (array of names, sorted), best_dice (double, null without a match).
+    Ids are not looked at: null and repeated ones are rows like others.
     """
     least = min(len(b) for _, b in templates()) * LEAST / (2 - LEAST)
     clean = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SEPARATORS, " ")

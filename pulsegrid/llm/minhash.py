@@ -197,6 +197,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component.  Rows with the same doc_id get the component of that id's rows
     together; a row with a null doc_id takes part in nothing: its component_id
     is null and it is kept.  kept: doc_id = component_id.  Other columns are ignored.
+    Links are found by bands of minima: a pair at exactly 0.75 shares none once
+    in 190,000 times, and is dropped by the estimate once in some 500,000; more
+    similar pairs are lost more rarely still.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialise(docs.mapInArrow(_sign, f"doc_id long, {SIGNED}"), "signed")

@@ -149,6 +149,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, chanc
     (Bonferroni), so all choices hold together.  Of the safe cutoffs of a rule
     the one that catches most bad documents, less COST for each good one, is
     taken; without a safe one that gains, the rule rejects nothing there.
+    Rows of an id that occurs several times count as that many documents.
     """
     worst = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = measured.where(~F.col("base_failed")).join(worst, "doc_id")

@@ -100,6 +100,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     empty text has no feature.  No shuffle.  toxic: p_toxic >= 0.5.  Where the
     labels had no severity, grades are doses (see fit): a high expected severity
     says that many words typical of toxic texts are there, not how grave they are.
+    Of equally likely grades the lowest is taken; null and repeated ids are rows like others.
     """
 
     def run(batches):
