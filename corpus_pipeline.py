@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 what a stage returns and reads it again as the next one's docs.  All stages but
 the last return the columns of documents; the last adds each document's domain
-and rate.
+and rate.  Where a stage rejects documents by id, all rows of the id go, and
+rows with a null id, which no id tells apart, stay.
 """
 
 from __future__ import annotations
