@@ -349,3 +349,24 @@ def probe_peaks(signals: DataFrame, threshold: float) -> DataFrame:
 def drift_removed(signals: DataFrame, fs: int, seconds: float = 0.6) -> DataFrame:
     """signals (record_id, lead, i, mv) less their running median, segment by segment."""
     return less_running_median(signals, ["record_id", "lead"], int(seconds * fs) | 1)
+
+
+def digitised(trace: DataFrame, keys, fs: int, seconds: str, mm_px: str, limit: float = 3.0, drift_seconds: float = 0.6) -> DataFrame:
+    """keys, j, mv: traces (keys, x, y without gaps, and columns `seconds` and `mm_px`) as fs * seconds samples from the first column to the last.
+
+    Heights become mV off the median height, lose their running median over
+    drift_seconds (of samples; never over more columns than there are), are held
+    within the limit, and are read off straight lines between columns.
+    """
+    keys = [*keys]
+    whole = Window.partitionBy(*keys)
+    level = trace.groupBy(*keys).agg(F.percentile("y", F.lit(0.5)).alias("_m"))
+    mv = trace.join(level, keys).select(*keys, F.col("x").alias("i"), (-(F.col("y") - F.col("_m")) / (MM_PER_MV * F.col(mm_px))).alias("mv"))
+    flat = less_running_median(mv, keys, int(drift_seconds * fs) | 1, within=True)
+    w = whole.orderBy("i")
+    held = F.least(F.lit(limit), F.greatest(F.lit(-limit), F.col("mv")))
+    points = flat.select(*keys, "i", held.alias("a")).withColumn("p", F.row_number().over(w) - 1).withColumn("b", F.coalesce(F.lead("a").over(w), F.col("a")))
+    sizes = trace.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(seconds).alias("_s")).withColumn("_to", F.floor(F.col("_s") * fs).cast("int")).where("_to > 0")
+    grid = sizes.select(*keys, "_n", "_to", F.explode(F.sequence(F.lit(0), F.col("_to") - 1)).alias("j"))
+    grid = grid.withColumn("_at", F.col("j") * (F.col("_n") - 1) / F.greatest(F.lit(1), F.col("_to") - 1)).withColumn("p", F.floor("_at").cast("int"))
+    return grid.join(points.select(*keys, "p", "a", "b"), [*keys, "p"]).select(*keys, "j", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.col("p"))).alias("mv"))

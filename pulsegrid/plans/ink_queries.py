@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import compare as C
+from pulsegrid.operators import layout as Y
 from pulsegrid.operators import nearest as J
 from pulsegrid.operators import pixels as P
 from pulsegrid.operators import shapes as S
@@ -323,3 +324,18 @@ def a21(spark, d):
 
     got = C.parameter_grid(stretches, [50.0, 75.0, 120.0], e.groupBy("user_id").agg(F.count_if(F.col("x") > 75).alias("n")), "user_id", "n")
     return got.select("value", "n", *[F.round(c, 6).alias(c) for c in ("bias", "med_abs", "p90_abs")])
+
+
+_T15_SQL = f"""WITH {E_SQL}, m AS (SELECT user_id AS record_id, i - 1 AS p, -(x - quantile_cont(x, 0.5) OVER (PARTITION BY user_id)) / (10.0 * (3 + user_id % 3)) AS mv, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+wide AS (SELECT record_id, p, mv FROM m UNION ALL SELECT record_id, -1 - p, mv FROM m WHERE p < 12 UNION ALL SELECT record_id, 2 * n - 1 - p, mv FROM m WHERE p >= n - 12),
+r AS (SELECT record_id, p, mv, quantile_cont(mv, 0.5) OVER (PARTITION BY record_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS med FROM wide),
+h AS (SELECT r.record_id, r.p, least(3.0, greatest(-3.0, r.mv - med)) AS a, n FROM r JOIN m ON m.record_id = r.record_id AND m.p = r.p),
+g AS (SELECT DISTINCT record_id, n, CAST(unnest(range(100 + 40 * (record_id % 2))) AS INTEGER) AS j FROM m), t AS (SELECT *, j * (n - 1) / CAST(99 + 40 * (record_id % 2) AS DOUBLE) AS mid FROM g)
+SELECT t.record_id, j, round(a.a + (coalesce(b.a, a.a) - a.a) * (mid - floor(mid)), 9) AS mv FROM t JOIN h a ON a.record_id = t.record_id AND a.p = floor(mid) LEFT JOIN h b ON b.record_id = t.record_id AND b.p = floor(mid) + 1"""
+
+
+@query("t15_digitised", _T15_SQL)
+def t15(spark, d):
+    """Values as heights of a trace, a column for each event, at 40 samples a second."""
+    trace = events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") - 1).alias("at"), F.col("x").alias("y"), (2.5 + F.col("user_id") % 2).alias("seconds"), (3.0 + F.col("user_id") % 3).alias("mm_px"))
+    return Y.digitised(trace.withColumnRenamed("at", "x"), ["record_id"], 40, "seconds", "mm_px").withColumn("mv", F.round("mv", 9))
