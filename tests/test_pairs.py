@@ -2,7 +2,7 @@
 
 from pulsegrid.operators.compare import height_pairs
 from pulsegrid.operators.layout import keep_best
-from pulsegrid.plans.report import from_start, write_matrix, write_table_csv
+from pulsegrid.plans.report import from_start, wfdb_blocks, wfdb_files, wfdb_heads, write_matrix, write_table_csv
 from pulsegrid.sources.synthetic import probe
 
 SIGNAL = "record_id long, lead string, i int, mv double"
@@ -39,3 +39,20 @@ def test_start_and_sinks(spark, tmp_path):
     assert back == {(1, 0): (None, 250.0), (1, 1): (500.0, None), (1, 2): (None, None), (2, 0): (None, None)}
     write_table_csv(spark.createDataFrame([(7, "x", "why, so")], "ecg_id long, `group` string, why string"), f"{tmp_path}/cases")
     assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/cases").collect()] == [("7", "x", "why, so")]
+
+
+def test_parts_of_a_record_are_its_file(spark):
+    rows = [(k, lead, i, (i * 7 % 23 - 11) / 10 * (1 + k) + j if i % 5 else None) for k in (1, 2) for j, lead in enumerate(("V1", "I")) for i in range(50 + k + j)] + [(1, "I", 51, 99.0)]
+    s = spark.createDataFrame(rows, SIGNAL)
+    whole = {r.record_id: r for r in wfdb_files(s, 250).collect()}
+    parts = {}
+    for r in wfdb_blocks(s, block=16).collect():
+        parts.setdefault(r.record_id, {})[r.block] = bytes(r.data)
+    for k in (1, 2):
+        n = 50 + k
+        want = {lead: [round(max(-32768, min(32767, (v or 0) * 1000))) for r, x, _, v in sorted(rows, key=lambda r: r[2]) if r == k and x == lead][:n] for lead in ("I", "V1")}
+        data = b"".join(v.to_bytes(2, "little", signed=True) for pair in zip(want["I"], want["V1"]) for v in pair)
+        assert bytes(whole[k].data) == data == b"".join(parts[k][b] for b in sorted(parts[k])) and len(parts[k]) == 4
+        sums = {lead: sum(v) & 0xFFFF for lead, v in want.items()}
+        assert whole[k].header == f"{k} 2 250 {n}\n" + "".join(f"{k}.dat 16 1000.0(0)/mV 16 0 {want[x][0]} {sums[x] - 65536 if sums[x] > 32767 else sums[x]} 0 {x}\n" for x in ("I", "V1"))
+    assert {r.record_id: r.samples for r in wfdb_heads(s, 250).collect()} == {1: 51, 2: 52}
