@@ -214,6 +214,30 @@ def b6(spark, d):
     return B.best_shift(beats, template, 75, 105, 7)
 
 
+def _aligned_sql(k):
+    """One alignment of the beats to their mean: t{k} mean of m{k}, x{k} correlations by shift, h{k} best shifts, m{k + 1} moved beats."""
+    return f"""t{k} AS (SELECT record_id, lead, i, avg(mv) AS t FROM m{k} GROUP BY 1, 2, 3),
+x{k} AS (SELECT be.record_id, be.lead, be.beat, sh, coalesce(corr(mv, t), -2.0) AS c FROM be, (SELECT unnest(range(-7, 8)) AS sh), t{k} t WHERE be.i BETWEEN 68 AND 111 AND t.record_id = be.record_id AND t.lead = be.lead AND t.i = be.i + sh AND t.i BETWEEN 75 AND 104 GROUP BY 1, 2, 3, 4),
+h{k} AS (SELECT record_id, lead, beat, min(struct_pack(c := -round(c, 12), s := sh)).s AS s FROM x{k} GROUP BY 1, 2, 3),
+m{k + 1} AS (SELECT be.record_id, be.lead, be.beat, CAST(i + s AS INTEGER) AS i, mv FROM be JOIN h{k} USING (record_id, lead, beat))"""
+
+
+@query(
+    "b7_family",
+    f"""WITH {_LINE}, be AS (SELECT record_id, lead, beat, CAST(i + beat - record_id % 3 AS INTEGER) AS i, CASE beat WHEN 4 THEN -mv WHEN 3 THEN mv + (i % 5) * 0.3 * (record_id % 2) ELSE mv END AS mv FROM al, (SELECT unnest(range(5)) AS beat) WHERE lead IN ('II', 'V2')),
+m0 AS (SELECT * FROM be), {_aligned_sql(0)}, {_aligned_sql(1)}, t AS (SELECT record_id, lead, i, avg(mv) AS t FROM m2 GROUP BY 1, 2, 3),
+a AS (SELECT m2.record_id, m2.lead, beat, CASE WHEN count(*) >= 8 THEN coalesce(corr(mv, t), -1.0) ELSE -1.0 END AS c FROM m2 JOIN t USING (record_id, lead, i) GROUP BY 1, 2, 3),
+o AS (SELECT *, sum(CASE WHEN c >= 0.9 THEN 1 ELSE 0 END) OVER w AS m, min(struct_pack(c := -round(c, 12), beat := beat)) OVER w AS f FROM a WINDOW w AS (PARTITION BY record_id, lead))
+SELECT m2.record_id, m2.lead, CAST(m2.beat AS INTEGER) AS beat, CAST(min(m2.i) AS INTEGER) AS first_i, count(*) AS n, round(sum(mv), 6) AS total FROM m2 JOIN o USING (record_id, lead, beat) WHERE (m >= 2 AND c >= 0.9) OR (m < 2 AND beat = f.beat) GROUP BY 1, 2, 3""",
+)
+def b7(spark, d):
+    """Five beats of two leads, moved, one upside down and one with a saw on it in every other record: those alike stay."""
+    beats = in_line(spark, d).where("lead in ('II', 'V2')").withColumn("beat", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    odd = F.when(F.col("beat") == 4, -F.col("mv")).when(F.col("beat") == 3, F.col("mv") + (F.col("i") % 5) * 0.3 * (F.col("record_id") % 2)).otherwise(F.col("mv"))
+    beats = beats.withColumn("mv", odd).withColumn("i", (F.col("i") + F.col("beat") - F.col("record_id") % 3).cast("int"))
+    return B.family(beats, 90, FS).groupBy("record_id", "lead", "beat").agg(F.min("i").alias("first_i"), F.count("*").alias("n"), F.round(F.sum("mv"), 6).alias("total"))
+
+
 @query(
     "b9_energy_shift",
     f"""WITH {_LINE}, m AS (SELECT record_id, lead, CAST(i + CASE lead WHEN 'V5' THEN record_id % 6 WHEN 'I' THEN -2 ELSE 0 END AS INTEGER) AS i, mv FROM al WHERE lead <> 'V3'),
