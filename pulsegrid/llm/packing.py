@@ -12,6 +12,7 @@ its own, and take their slots by joining with the plan on length and rank.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -41,6 +42,8 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts of these characters alone (Latin, without the one whose lower case is longer) need no normal form, and their letters, digits and blanks can be written down.
 _NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
 _LETTERS, _DIGITS, _BLANKS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\x09-\\x0d\\x20\u0085\u00a0"
+#: The normal form and the pattern of pre-tokens that the next line is for; other vocabularies are asked for whole words.
+_FORM, _PATTERN = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRE_TOKENS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+")
 
 
@@ -91,6 +94,10 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.characters = self.tokenizer.model, _Characters(self.tokenizer.pre_tokenizer)
         self.pieces, self.words = Remembered(self._piece), Remembered(self._word)
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        steps, cuts = ((form.get(a) or {}).get(b) or [{}] for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.known = [x.get("type") for x in steps] == _FORM and cuts[0].get("pattern") == {"Regex": _PATTERN}
 
     def _piece(self, piece: str) -> bytes:
         written = piece if piece.isascii() and piece.isalpha() else piece.translate(self.characters)
@@ -100,7 +107,7 @@ class Ids:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
-        if _NOT_LATIN.search(text):
+        if not self.known or _NOT_LATIN.search(text):
             return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
         return b"".join(map(self.pieces.__getitem__, _PRE_TOKENS.findall(text.lower())))
 

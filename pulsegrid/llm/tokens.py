@@ -1,8 +1,7 @@
 """Token counts of whole texts, as the tokenizer's own library gives them.
 
-Ordinary documents are encoded piece by piece: no pre-token of these
-vocabularies spans an ASCII blank, so a text's count is the sum over its
-blank-separated pieces, each encoded once and remembered in a bounded cache.
+Ordinary documents are made of remembered pieces (packing.Ids), of which new
+ones alone are given to the library.
 A huge document is encoded in overlapping chunks with offsets, which are
 spliced at a boundary that is stable in any context: a place right after a
 blank at which both encodings start a token.  An overlap without one is
@@ -13,7 +12,6 @@ without blanks is encoded once and not again for every chunk of it.
 
 from __future__ import annotations
 
-import os
 import re
 from functools import lru_cache
 
@@ -22,21 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import text_bytes
+from pulsegrid.llm.packing import Ids
+
 #: Characters of a chunk and of the first overlap.
 CHUNK, OVERLAP = 16_384, 512
-#: Pieces remembered by a Python worker, and the bytes of the longest of them.
-REMEMBERED, PIECE_BYTES = 400_000, 256
 _BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 LIMIT = 2048
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+def _ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def _starts(tokenizer, text: str, at: int) -> np.ndarray:
@@ -76,54 +72,18 @@ def splice_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
     return total + len(starts)
 
 
-def _count_pieces(tokenizer, known: dict, texts: list[bytes]) -> list[int]:
-    pieces = [t.split() for t in texts]
-    new = list({p for each in pieces for p in each if p not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({p for each in pieces for p in each})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for p, e in zip(part, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-            known[p] = len(e.ids)
-    counts = [sum(map(known.__getitem__, each)) for each in pieces]
-    for p in new:
-        if len(p) > PIECE_BYTES:
-            del known[p]
-    return counts
-
-
 def _counted(path: str, chunk: int, overlap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        tokenizer, known = _tokenizer(path)
+        ids = _ids(path)
         for batch in batches:
-            size, counts, small, of = [], [], [], []
-
-            def flush():
-                for i, n in zip(of, _count_pieces(tokenizer, known, small)):
-                    counts[i] = n
-                small.clear()
-                of.clear()
-
-            held = 0
-            for x in batch.column("text"):
-                text = x.as_py() or ""
-                raw = text.encode("utf-8")
-                size.append(len(raw))
-                counts.append(0)
-                if len(text) > chunk:
-                    counts[-1] = splice_count(tokenizer, text, chunk, overlap)
-                else:
-                    small.append(raw)
-                    of.append(len(counts) - 1)
-                    held += len(raw)
-                    if held > 4 << 20:
-                        flush()
-                        held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
+            data, offsets = text_bytes(batch.column("text"))
+            counts = []
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+                text = data[a:b].tobytes().decode("utf-8", "replace")
+                counts.append(splice_count(ids.tokenizer, text, chunk, overlap) if len(text) > chunk else len(ids.of(text)) // 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     return run
 

@@ -11,7 +11,7 @@ WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_stretches_without_blanks_are_encoded_once(monkeypatch):
-    tokenizer, _ = tokens._tokenizer(WORD_BPE)
+    tokenizer = tokens._ids(WORD_BPE).tokenizer
     rng, seen, starts = random.Random(1), [], tokens._starts
     monkeypatch.setattr(tokens, "_starts", lambda t, text, at: seen.append(len(text)) or starts(t, text, at))
     blob = "".join(rng.choices("abcdefghijklmnop0123456789+/", k=60_000))
@@ -22,7 +22,7 @@ def test_stretches_without_blanks_are_encoded_once(monkeypatch):
 
 
 def test_splices_of_any_chunk_agree():
-    tokenizer, _ = tokens._tokenizer(WORD_BPE)
+    tokenizer = tokens._ids(WORD_BPE).tokenizer
     rng = random.Random(2)
     for _ in range(150):
         text = "".join(rng.choice(["ab", "x" * rng.randint(1, 60), " ", "\n", "é", "12", "'s", ",", "  "]) for _ in range(rng.randint(1, 400)))
@@ -31,8 +31,7 @@ def test_splices_of_any_chunk_agree():
 
 
 def test_long_pieces_are_not_remembered():
-    tokenizer, _ = tokens._tokenizer(WORD_BPE)
-    known = {}
-    long = b"z" * (tokens.PIECE_BYTES + 1)
-    assert tokens._count_pieces(tokenizer, known, [b"a b " + long, long]) == [2 + len(tokenizer.encode(long.decode()).ids), len(tokenizer.encode(long.decode()).ids)]
-    assert set(known) == {b"a", b"b"}
+    ids = tokens._ids(WORD_BPE)
+    long = "z" * 200
+    assert len(ids.of(f"a b {long}, Ж {long}")) // 4 == len(ids.tokenizer.encode(f"a b {long}, Ж {long}", add_special_tokens=False).ids)
+    assert not any(len(p) > 48 for p in (*ids.pieces, *ids.words))

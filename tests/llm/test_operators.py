@@ -470,7 +470,7 @@ def tokenizer():
     import public_tokenizers
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
-    return path, tokens._tokenizer(path)[0]
+    return path, tokens._ids(path).tokenizer
 
 
 def test_token_counts_are_the_library_s(spark, data, tokenizer):

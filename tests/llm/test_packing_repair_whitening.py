@@ -108,6 +108,7 @@ def test_words_are_forgotten_and_found_again(monkeypatch):
 
 def test_ids_of_every_latin_character_and_of_odd_mixtures():
     ids_of, rng = packing.Ids(WORD_BPE), random.Random(9)
+    assert ids_of.known
     letters = [chr(c) for c in range(1, 0x260)]
     texts = [f"{a}{b}" for a in letters for b in ("", "a", "1", "'s", " x")] + ["".join(rng.choices([*letters, *"aaabbee  ''sstt123.,\n", "'ll", "'VE", "\u0301", "Ж"], k=rng.randint(1, 30))) for _ in range(4000)]
     for text, want in zip(texts, ids_of.tokenizer.encode_batch(texts, add_special_tokens=False)):
