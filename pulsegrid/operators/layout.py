@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.series import filled
 from pulsegrid.operators.segments import less_running_median
 from pulsegrid.schema import AUTO_LAYOUTS, LAYOUTS, MM_PER_MV, MM_PER_S
 from pulsegrid.tables import materialise
@@ -77,7 +76,8 @@ def row_centres(profile: DataFrame, counts: list[int], edge: float = 0.15) -> Da
     slots = ends.withColumn("n_rows", F.explode(F.array(*map(F.lit, counts)))).withColumn("k", F.explode(F.expr("sequence(0, n_rows - 1)")))
     slots = slots.withColumn("pitch", (F.col("y1") - F.col("y0")) / F.col("n_rows")).withColumn("at", F.col("y0") + (F.col("k") + 0.5) * F.col("pitch"))
     slots = slots.withColumn("y", F.explode(F.sequence(F.ceil(F.col("at") - 0.4 * F.col("pitch")).cast("int"), F.floor(F.col("at") + 0.4 * F.col("pitch")).cast("int"))))
-    near = slots.join(profile, ["record_id", "y"])
+    # what explode() makes counts as one row each, so the planner is told not to send it to every executor; below as well
+    near = slots.hint("merge").join(profile, ["record_id", "y"])
     return near.groupBy("record_id", "n_rows", "k").agg(F.min(F.struct((-F.round("cover", 9)).alias("c"), "y"))["y"].alias("centre"))
 
 
@@ -90,7 +90,7 @@ def layout_scores(profile: DataFrame, centres: DataFrame) -> DataFrame:
     )
     gaps = rows.where("next is not null").withColumn("q", (F.col("next") - F.col("centre")) / 4.0)
     gaps = gaps.where("next - centre >= 2").withColumn("y", F.explode(F.expr("sequence(cast(ceil(centre + q) as int), cast(floor(next - q) as int))")))
-    off = gaps.join(profile, ["record_id", "y"]).groupBy("record_id", "n_rows").agg(F.avg("cover").alias("off"))
+    off = gaps.hint("merge").join(profile, ["record_id", "y"]).groupBy("record_id", "n_rows").agg(F.avg("cover").alias("off"))
     score = F.when(F.col("n") < F.col("n_rows"), -1.0).otherwise(F.col("on") - F.coalesce("off", F.lit(0.0)) - 0.6 * F.coalesce(F.col("sd") / F.col("gap"), F.lit(0.0)))
     return on.join(off, ["record_id", "n_rows"], "left").select("record_id", "n_rows", score.alias("score"))
 
@@ -106,7 +106,7 @@ def bands(profile: DataFrame, centres: DataFrame, edge: float = 0.1, pad: int =
     """record_id, n_rows, k, lo, hi: rows divided at the least cover between centres; outer bounds where cover ends, with a pad."""
     w = Window.partitionBy("record_id", "n_rows").orderBy("k")
     rows = centres.withColumn("next", F.lead("centre").over(w))
-    between = rows.where("next > centre").withColumn("y", F.explode(F.sequence("centre", "next"))).join(profile, ["record_id", "y"])
+    between = rows.where("next > centre").withColumn("y", F.explode(F.sequence("centre", "next"))).hint("merge").join(profile, ["record_id", "y"])
     cut = between.groupBy("record_id", "n_rows", "k").agg(F.min(F.struct(F.round("cover", 9).alias("c"), "y"))["y"].alias("cut"))
     ends = profile.where(F.col("cover") > edge).groupBy("record_id").agg((F.min("y") - pad).alias("y0"), (F.max("y") + pad).alias("y1"))
     height = profile.groupBy("record_id").agg(F.max("y").alias("last"))
@@ -185,9 +185,13 @@ def traces(clusters: DataFrame, keys, widths: DataFrame, slew: float | None = 70
         return F.transform(F.array(within), lambda w: F.struct(w["at"].alias("at"), F.concat(state["taken"], w["taken"]).alias("taken")))[0]
 
     cell = materialise(cell.select(*keys, "width", F.aggregate(parts, start, fold)["taken"].alias("taken")), "traces").where(F.size("taken") >= least)
-    grid = cell.select(*keys, (F.size("taken") / F.col("width")).alias("coverage"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    points = cell.select(*keys, F.explode("taken").alias("t")).select(*keys, "t.x", "t.y")
-    return grid.join(points, [*keys, "x"], "left").select(*keys, "x", "y", "coverage").withColumn("y", filled("y", keys, "x"))
+    # each column taken makes those up to the next one; the first and the last make the ends
+    points = cell.select(*keys, "width", "taken", (F.size("taken") / F.col("width")).alias("coverage"), F.posexplode("taken").alias("p", "t"))
+    points = points.select(*keys, "width", "coverage", "p", "t", F.try_element_at("taken", F.col("p") + 2).alias("next"))
+    first, last = F.when(F.col("p") == 0, 0).otherwise(F.col("t.x")), F.coalesce(F.col("next.x"), F.col("width")) - 1
+    rows = points.select(*keys, "coverage", "t", "next", F.explode(F.sequence(first, last)).alias("x"))
+    between = F.col("t.y") + (F.col("next.y") - F.col("t.y")) * (F.col("x") - F.col("t.x")) / (F.col("next.x") - F.col("t.x"))
+    return rows.select(*keys, "x", F.when((F.col("x") <= F.col("t.x")) | F.col("next").isNull(), F.col("t.y")).otherwise(between).alias("y"), "coverage")
 
 
 def millivolts(y: Column, middle: Column, mm_px: Column, limit: float = 5.0) -> Column:
@@ -260,14 +264,15 @@ def common_value(values: DataFrame, keys, x: str) -> DataFrame:
 def reconcile(pulse_px: Column, grid_px_per_mm: Column) -> Column:
     """Scale from the calibration pulse (10 mm) against the grid's: px_per_mm, ratio, agrees (15 %)."""
     px = pulse_px / 10.0
-    ratio = grid_px_per_mm / px
+    # a pulse of no height is infinitely far from the grid's scale
+    ratio = F.coalesce(F.try_divide(grid_px_per_mm, px), F.when(px == 0, F.when(grid_px_per_mm == 0, F.lit(float("nan"))).otherwise(F.signum(grid_px_per_mm) * F.lit(float("inf")))))
     return F.struct(px.alias("px_per_mm"), ratio.alias("ratio"), (F.abs(ratio - 1) <= 0.15).alias("agrees"))
 
 
 def correction(pulse_px: Column, ratio: Column, agrees: Column, rows: Column, spread: Column, width: Column) -> Column:
     """Gain and seconds to apply: only with five rows or more, a spread of 8 % at most, and disagreement."""
     apply = (rows >= 5) & (spread <= 0.08) & ~agrees
-    return F.struct(apply.alias("applied"), F.when(apply, ratio).otherwise(1.0).alias("gain"), F.when(apply, width / (pulse_px / 10.0) / MM_PER_S).alias("seconds"))
+    return F.struct(apply.alias("applied"), F.when(apply, ratio).otherwise(1.0).alias("gain"), F.when(apply, F.try_divide(width, pulse_px / 10.0) / MM_PER_S).alias("seconds"))
 
 
 def seconds_per_pixel(widths: DataFrame, key: str, w: str) -> DataFrame:
@@ -369,4 +374,4 @@ def digitised(trace: DataFrame, keys, fs: int, seconds: str, mm_px: str, limit:
     sizes = trace.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(seconds).alias("_s")).withColumn("_to", F.floor(F.col("_s") * fs).cast("int")).where("_to > 0")
     grid = sizes.select(*keys, "_n", "_to", F.explode(F.sequence(F.lit(0), F.col("_to") - 1)).alias("j"))
     grid = grid.withColumn("_at", F.col("j") * (F.col("_n") - 1) / F.greatest(F.lit(1), F.col("_to") - 1)).withColumn("p", F.floor("_at").cast("int"))
-    return grid.join(points.select(*keys, "p", "a", "b"), [*keys, "p"]).select(*keys, "j", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.col("p"))).alias("mv"))
+    return grid.hint("merge").join(points.select(*keys, "p", "a", "b"), [*keys, "p"]).select(*keys, "j", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.col("p"))).alias("mv"))
