@@ -169,7 +169,7 @@ def height_pairs(ours: DataFrame, truth: DataFrame, peaks: DataFrame, most: int,
     ours, truth = level(ours), level(truth)
     lag = best_lag(ours, truth, keys, most, normalised=False)
     near = peaks.join(lag, "record_id" if "lead" not in peaks.columns else keys).withColumn("peak", F.col("peak") + F.col("lag"))
-    near = near.select(*keys, "peak", "lag", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + (half - 1))).alias("i"))
+    near = near.select(*keys, "peak", "lag", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + (half - 1))).alias("i")).hint("merge")
     both = near.join(ours.withColumnRenamed("mv", "o"), [*keys, "i"]).withColumn("at", F.col("i") - F.col("lag")).join(truth.toDF(*["at" if c == "i" else "t" if c == "mv" else c for c in truth.columns]), [*keys, "at"])
     w = Window.partitionBy(*keys, "peak")
     both = both.withColumn("n", F.count(F.col("o") + F.col("t")).over(w)).withColumn("top", F.min(F.struct((-F.round(F.abs("t"), 9)).alias("size"), "i", "t")).over(w))
@@ -196,7 +196,7 @@ def largest(rows: DataFrame, group: str, size: str, tie: str, k: int = 5) -> Dat
 
 def peak_height_ratio(signals: DataFrame, ours: DataFrame, peaks: DataFrame, half: int, least_mv: float = 0.15) -> DataFrame:
     """record_id, lead, n, ratio: median ratio of heights at the reference's peaks; two peaks of some height at least."""
-    near = peaks.withColumn("i", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + half)))
+    near = peaks.withColumn("i", F.explode(F.sequence(F.col("peak") - half, F.col("peak") + half))).hint("merge")
     top = lambda s, name: s.join(near, ["record_id", "i"]).groupBy("record_id", "lead", "peak").agg(F.max("mv").alias(name))
     both = top(signals, "t").join(top(ours, "o"), ["record_id", "lead", "peak"]).where(F.abs("t") >= least_mv)
     return both.groupBy("record_id", "lead").agg(F.count("*").alias("n"), _median(F.col("o") / F.col("t")).alias("ratio")).where("n >= 2")
@@ -206,7 +206,7 @@ def erase(signals: DataFrame, spans: DataFrame) -> DataFrame:
     """signals with each span (record_id, a, b) of samples replaced by the line between its ends."""
     at = lambda end: signals.join(spans.select("record_id", "a", "b", F.col(end).alias("i")), ["record_id", "i"]).select("record_id", "lead", "a", "b", F.col("mv").alias(f"y_{end}"))
     ends = at("a").join(at("b"), ["record_id", "lead", "a", "b"])
-    hit = ends.withColumn("i", F.explode(F.sequence("a", "b"))).select("record_id", "lead", "i", (F.col("y_a") + (F.col("y_b") - F.col("y_a")) * (F.col("i") - F.col("a")) / (F.col("b") - F.col("a"))).alias("flat"))
+    hit = ends.withColumn("i", F.explode(F.sequence("a", "b"))).select("record_id", "lead", "i", (F.col("y_a") + (F.col("y_b") - F.col("y_a")) * (F.col("i") - F.col("a")) / (F.col("b") - F.col("a"))).alias("flat")).hint("merge")
     return signals.join(hit, ["record_id", "lead", "i"], "left").withColumn("mv", F.coalesce("flat", "mv")).drop("flat")
 
 
