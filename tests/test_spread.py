@@ -41,6 +41,13 @@ def test_no_samples_are_sent_to_everyone(spark, data, name):
     assert not any("lead#" in line or " i#" in line or " at#" in line for line in sent)
 
 
+def test_row_profiles_are_not_sent(spark, data):
+    ink_rows, sizes = page(spark, data)
+    profile = Y.row_profile(ink_rows, sizes)
+    profile.count()
+    assert "BroadcastHashJoin" not in profile._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_tables_are_not_sent(spark):
     few = spark.range(5)
     joined = few.join(materialise(spark.range(5), "long", long=True), "id")
