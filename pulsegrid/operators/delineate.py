@@ -80,9 +80,21 @@ def baselines(beats: DataFrame, bounds: DataFrame, fs: int) -> DataFrame:
     return rows.where(at).groupBy("record_id", "lead").agg(F.percentile("mv", F.lit(0.5)).alias("base"))
 
 
+def _based(beats: DataFrame, base: DataFrame) -> DataFrame:
+    """beats with base, of the leads that have one.
+
+    A record's baselines, one for each lead, are joined by the record alone:
+    samples that lie by record are neither moved nor sorted by lead for it.
+    """
+    level = F.map_from_entries(F.collect_list(F.struct("lead", "base"))).alias("_base")
+    levels = base.where("lead is not null").groupBy("record_id").agg(level).hint("shuffle_hash")
+    rows = beats.join(levels, "record_id").where(F.map_contains_key("_base", F.col("lead")))
+    return rows.withColumn("base", F.col("_base")[F.col("lead")]).drop("_base")
+
+
 def p_magnitude(beats: DataFrame, base: DataFrame, fs: int) -> DataFrame:
     """record_id, i, mag: length of the deviation from the baselines over the independent leads, smoothed over 20 ms."""
-    rows = beats.where(F.col("lead").isin(INDEPENDENT)).join(base, ["record_id", "lead"])
+    rows = _based(beats.where(F.col("lead").isin(INDEPENDENT)), base)
     d = F.col("mv") - F.col("base")
     total = rows.groupBy("record_id", "i").agg(F.sqrt(F.sum(d * d)).alias("m"))
     return total.select("record_id", "i", moving_average("m", ["record_id"], "i", _ms(20, fs)).alias("mag"))
@@ -159,7 +171,7 @@ def p_waves(magnitude: DataFrame, bounds: DataFrame, rates: DataFrame, fs: int)
 
 def p_seen(beats: DataFrame, base: DataFrame, p: DataFrame) -> DataFrame:
     """record_id of the P waves that deviate by 0.04 mV or more in two leads."""
-    rows = beats.join(base, ["record_id", "lead"]).join(p, "record_id").where("i >= p_on and i < p_off")
+    rows = _based(beats, base).join(p, "record_id").where("i >= p_on and i < p_off")
     seen = rows.groupBy("record_id", "lead").agg(F.max(F.abs(F.col("mv") - F.col("base"))).alias("d")).where(F.col("d") >= P_WAVE["least_mv"])
     return seen.groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("n") >= P_WAVE["leads"]).select("record_id")
 
@@ -203,7 +215,7 @@ def t_ends(beats: DataFrame, base: DataFrame, windows: DataFrame, fs: int) -> Da
     rows = beats.where(F.col("lead").isin(INDEPENDENT)).withColumn("sm", moving_average("mv", key, "i", _ms(30, fs)))
     w = Window.partitionBy(*key)
     rows = rows.withColumn("slope", F.col("sm") - F.lag("sm").over(w.orderBy("i"))).withColumn("n", F.max("i").over(w) + 1)
-    rows = rows.join(base, key).join(windows, "record_id")
+    rows = _based(rows, base).join(windows, "record_id")
     apex = F.min(F.when((F.col("i") >= F.col("t_lo")) & (F.col("i") < F.col("t_hi")), F.struct((-F.abs(F.col("mv") - F.col("base"))).alias("v"), "i", (F.col("mv") - F.col("base")).alias("amp")))).over(w)
     rows = rows.withColumn("apex", apex).where(F.col("t_hi") - F.col("t_lo") >= _ms(60, fs))
     tail = (F.col("i") >= F.col("apex.i") + _ms(10, fs)) & (F.col("i") < F.least(F.col("n"), F.col("t_hi") + _ms(40, fs)))
@@ -228,7 +240,7 @@ def t_consensus(ends: DataFrame, rates: DataFrame, last: int, fs: int) -> DataFr
 
 def net_deflection(beats: DataFrame, base: DataFrame, spans: DataFrame, tag: str) -> DataFrame:
     """record_id, lead, tag, net: highest plus lowest deviation within spans (record_id, a, b)."""
-    rows = beats.join(base, ["record_id", "lead"]).join(spans, "record_id").where("i >= a and i < b")
+    rows = _based(beats, base).join(spans, "record_id").where("i >= a and i < b")
     d = F.col("mv") - F.col("base")
     return rows.groupBy("record_id", "lead").agg((F.max(d) + F.min(d)).alias("net")).select("record_id", "lead", F.lit(tag).alias("tag"), "net")
 
@@ -241,14 +253,14 @@ def axes(net: DataFrame) -> DataFrame:
 
 def st_levels(beats: DataFrame, base: DataFrame, bounds: DataFrame, fs: int) -> DataFrame:
     """record_id, lead, j, j60, j80: deviation at the end of the complex and 60 and 80 ms later."""
-    rows = beats.join(base, ["record_id", "lead"]).join(bounds, "record_id")
+    rows = _based(beats, base).join(bounds, "record_id")
     at = lambda ms: F.max(F.when(F.col("i") == F.col("qrs_off") + _ms(ms, fs), F.col("mv") - F.col("base")))
     return rows.groupBy("record_id", "lead").agg(at(0).alias("j"), at(60).alias("j60"), at(80).alias("j80"))
 
 
 def amplitudes(beats: DataFrame, base: DataFrame, bounds: DataFrame, t: DataFrame) -> DataFrame:
     """record_id, lead, r, s, t: extremes within the complex, and the value at the peak of T."""
-    rows = beats.join(base, ["record_id", "lead"]).join(bounds, "record_id").join(t.select("record_id", "t_peak"), "record_id", "left")
+    rows = _based(beats, base).join(bounds, "record_id").join(t.select("record_id", "t_peak"), "record_id", "left")
     d = F.col("mv") - F.col("base")
     inside = (F.col("i") >= F.col("qrs_on")) & (F.col("i") < F.col("qrs_off"))
     return rows.groupBy("record_id", "lead").agg(F.max(F.when(inside, d)).alias("r"), F.min(F.when(inside, d)).alias("s"), F.max(F.when(F.col("i") == F.col("t_peak"), d)).alias("t"))

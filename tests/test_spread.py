@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import delineate as D
 from pulsegrid.operators import layout as Y
 from pulsegrid.plans.queries import QUERIES, SQL, page, signals
 from pulsegrid.sources import synthetic
@@ -41,6 +42,26 @@ def test_no_samples_are_sent_to_everyone(spark, data, name):
     assert not any("lead#" in line or " i#" in line or " at#" in line for line in sent)
 
 
+@pytest.mark.parametrize("name", ["d4_p_magnitude", "d7_p_confirmed", "d11_t_ends", "d12_t_consensus", "d14_axis", "d16_amplitudes", "d16_st_levels", "d17_sokolow"])
+def test_samples_stay_where_they_lie_when_baselines_are_joined(spark, data, monkeypatch, name):
+    """More partitions of samples than of joins, as in large tables: the marks move to the samples, which are never dealt by lead."""
+    monkeypatch.setattr(synthetic, "PART_ROWS", 10_000)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert "lead#" in plan
+    assert not any("Exchange hashpartitioning" in line and "lead#" in line for line in plan.splitlines())
+
+
+def test_a_lead_without_baseline_gives_no_rows(spark):
+    beats = spark.createDataFrame([(1, "I", 0, 1.0), (1, "II", 0, 2.0), (1, None, 0, 3.0), (2, "I", 0, 4.0)], "record_id long, lead string, i int, mv double")
+    base = spark.createDataFrame([(1, "I", 0.5), (1, None, 0.25), (2, "II", 0.5)], "record_id long, lead string, base double")
+    assert [tuple(r) for r in D._based(beats, base).collect()] == [(1, "I", 0, 1.0, 0.5)]
+
+
 def test_row_profiles_are_not_sent(spark, data):
     ink_rows, sizes = page(spark, data)
     profile = Y.row_profile(ink_rows, sizes)
