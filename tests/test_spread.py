@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import delineate as D
 from pulsegrid.operators import layout as Y
-from pulsegrid.plans.queries import QUERIES, SQL, page, signals
+from pulsegrid.plans.queries import QUERIES, SQL, errors, page, signals
 from pulsegrid.sources import synthetic
 from pulsegrid.tables import materialise
 
@@ -84,6 +84,21 @@ def test_pulse_without_height(spark):
     assert got[0] == (math.inf, False, True, None) and math.isnan(got[1][0]) and got[2][:2] == (2.0, False) and got[3][0] is None
 
 
+def test_means_do_not_depend_on_the_order_of_rows(spark, duck, tmp_path):
+    """Each user has a value that equals the mean: only the order of the sum says whether it is found above it."""
+    rows = []
+    for user in range(200):
+        least, middle = 3000 + 7 * user % 1000, 4100 + 13 * user
+        for cents in (least, middle, 2 * middle - least):
+            rows.append((len(rows), user, "click", cents / 100))
+    for name, part in (("ahead", rows), ("back", rows[::-1])):
+        spark.createDataFrame(part, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+    got = {n: sorted(tuple(r) for r in errors(spark, f"{tmp_path}/{n}").collect()) for n in ("ahead", "back")}
+    assert got["ahead"] == got["back"]
+    want = duck.sql(SQL["a2_group_report"].replace("FROM events", f"FROM '{tmp_path}/ahead/events.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in QUERIES["a2_group_report"](spark, f"{tmp_path}/back").collect()] == want
+
+
 def test_reconcile_of_zero_values_is_that_of_the_twin(spark, duck, tmp_path):
     path = str(tmp_path)
     duck.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE value END AS value) FROM events) TO '{path}/events.parquet'")
