@@ -147,11 +147,17 @@ def signal_agreement(pairs: DataFrame, keys, ours: str, truth: str) -> DataFrame
 def best_lag(a: DataFrame, b: DataFrame, keys, most: int, normalised: bool = True) -> DataFrame:
     """keys, lag of highest correlation of a (keys, i, mv) with b shifted by up to `most`; smallest lag of equal ones.
 
-    Not normalised, the sum of products decides.
+    Not normalised, the sum of products decides.  Samples meet in a window over
+    their places, so nothing is shuffled but them, by keys.
     """
     score = F.coalesce(F.round(F.corr("mv", "y"), 12), F.lit(-2.0)) if normalised else F.round(F.sum(F.col("mv") * F.col("y")), 9)
-    moved = b.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("i", F.col("i") + F.col("lag")).withColumnRenamed("mv", "y")
-    c = a.join(moved, [*keys, "i"]).groupBy(*keys, "lag").agg(score.alias("c"))
+    placed = [F.col(k).isNotNull() for k in (*keys, "i")]
+    rows = a.select(*keys, F.col("i").cast("long").alias("i"), "mv", F.lit(None).cast("double").alias("y"), F.lit(True).alias("ours"))
+    rows = rows.unionByName(b.select(*keys, F.col("i").cast("long").alias("i"), F.lit(None).cast("double").alias("mv"), F.col("mv").alias("y"), F.lit(False).alias("ours")))
+    near = Window.partitionBy(*keys).orderBy("i").rangeBetween(-most, most)
+    rows = rows.where(reduce(lambda x, y: x & y, placed)).withColumn("near", F.collect_list(F.when(~F.col("ours"), F.struct("i", "y"))).over(near)).where("ours")
+    pairs = rows.select(*keys, F.col("i").alias("_i"), "mv", F.inline("near")).withColumn("lag", (F.col("_i") - F.col("i")).cast("int"))
+    c = pairs.groupBy(*keys, "lag").agg(score.alias("c"))
     return c.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("c"), "lag"))["lag"].alias("lag"))
 
 

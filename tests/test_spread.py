@@ -127,7 +127,7 @@ def dealt(frame):
     return [block for block in text.split("\n\n") if re.match(r"\(\d+\) Exchange", block)]
 
 
-@pytest.mark.parametrize("name", ["d5_p_bounds", "l3_lead_fill"])
+@pytest.mark.parametrize("name", ["d5_p_bounds", "j14_best_lag", "l3_lead_fill"])
 def test_samples_are_not_shuffled(spark, data, monkeypatch, name):
     """More partitions of samples than of joins and nothing small enough to be sent, as in large tables: only records and their marks are dealt."""
     monkeypatch.setattr(synthetic, "PART_ROWS", 1_000)
