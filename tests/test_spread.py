@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import delineate as D
 from pulsegrid.operators import layout as Y
-from pulsegrid.plans.queries import QUERIES, SQL, errors, page, signals
+from pulsegrid.plans.queries import QUERIES, SQL, errors, page, signals, users
 from pulsegrid.sources import synthetic
 from pulsegrid.tables import materialise
 
@@ -141,3 +141,16 @@ def test_samples_are_not_shuffled(spark, data, monkeypatch, name):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert found and not [block for block in found if re.search(r"\b(mag|mv|i)#", block)]
+
+
+@pytest.mark.parametrize("name, made", [("d1_spatial_velocity", 8 * 260)])
+def test_tasks_are_as_many_as_samples_need(spark, data, monkeypatch, name, made):
+    """However few partitions a shuffle has: a larger table makes more tasks of the last step, not larger ones."""
+    monkeypatch.setattr(synthetic, "PART_ROWS", 10_000, raising=False)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        parts = QUERIES[name](spark, data).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert parts == math.ceil(users(spark, data).count() * made / 10_000) > 2
