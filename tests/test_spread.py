@@ -143,14 +143,14 @@ def test_samples_are_not_shuffled(spark, data, monkeypatch, name):
     assert found and not [block for block in found if re.search(r"\b(mag|mv|i)#", block)]
 
 
-@pytest.mark.parametrize("name, made", [("d1_spatial_velocity", 8 * 260)])
+@pytest.mark.parametrize("name, made", [("d1_spatial_velocity", 8 * 260), ("v7_probe_peaks", 2 * 300)])
 def test_tasks_are_as_many_as_samples_need(spark, data, monkeypatch, name, made):
     """However few partitions a shuffle has: a larger table makes more tasks of the last step, not larger ones."""
-    monkeypatch.setattr(synthetic, "PART_ROWS", 10_000, raising=False)
+    monkeypatch.setattr(synthetic, "PART_ROWS", 1_000, raising=False)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
         parts = QUERIES[name](spark, data).rdd.getNumPartitions()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert parts == math.ceil(users(spark, data).count() * made / 10_000) > 2
+    assert parts == math.ceil(users(spark, data).count() * made / 1_000) > 2
