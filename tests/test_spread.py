@@ -143,7 +143,7 @@ def test_samples_are_not_shuffled(spark, data, monkeypatch, name):
     assert found and not [block for block in found if re.search(r"\b(mag|mv|i)#", block)]
 
 
-@pytest.mark.parametrize("name, made", [("d1_spatial_velocity", 8 * 260), ("v7_probe_peaks", 2 * 300), ("d10_t_window", 8 * 520)])
+@pytest.mark.parametrize("name, made", [("d1_spatial_velocity", 8 * 260), ("v7_probe_peaks", 2 * 300), ("d10_t_window", 8 * 520), ("d2_qrs_bounds", 8 * 520)])
 def test_tasks_are_as_many_as_samples_need(spark, data, monkeypatch, name, made):
     """However few partitions a shuffle has: a larger table makes more tasks of the last step, not larger ones."""
     monkeypatch.setattr(synthetic, "PART_ROWS", 1_000, raising=False)
