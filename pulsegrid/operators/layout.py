@@ -261,12 +261,18 @@ def common_value(values: DataFrame, keys, x: str) -> DataFrame:
     return got.where("n >= 3")
 
 
-def reconcile(pulse_px: Column, grid_px_per_mm: Column) -> Column:
-    """Scale from the calibration pulse (10 mm) against the grid's: px_per_mm, ratio, agrees (15 %)."""
-    px = pulse_px / 10.0
+def agreement(px_per_mm: Column, grid_px_per_mm: Column) -> Column:
+    """A scale against the grid's: px_per_mm, ratio (by a scale of 0 as IEEE numbers divide, with its sign), agrees (15 %)."""
     # a pulse of no height is infinitely far from the grid's scale
-    ratio = F.coalesce(F.try_divide(grid_px_per_mm, px), F.when(px == 0, F.when(grid_px_per_mm == 0, F.lit(float("nan"))).otherwise(F.signum(grid_px_per_mm) * F.lit(float("inf")))))
-    return F.struct(px.alias("px_per_mm"), ratio.alias("ratio"), (F.abs(ratio - 1) <= 0.15).alias("agrees"))
+    sign = F.when(px_per_mm.cast("string").startswith("-"), -1.0).otherwise(1.0)
+    at_zero = F.when(grid_px_per_mm == 0, F.lit(float("nan"))).otherwise(F.signum(grid_px_per_mm) * sign * F.lit(float("inf")))
+    ratio = F.coalesce(F.try_divide(grid_px_per_mm, px_per_mm), F.when(px_per_mm == 0, at_zero))
+    return F.struct(px_per_mm.alias("px_per_mm"), ratio.alias("ratio"), (F.abs(ratio - 1) <= 0.15).alias("agrees"))
+
+
+def reconcile(pulse_px: Column, grid_px_per_mm: Column) -> Column:
+    """Scale from the calibration pulse (10 mm) against the grid's, as agreement() gives it."""
+    return agreement(pulse_px / 10.0, grid_px_per_mm)
 
 
 def correction(pulse_px: Column, ratio: Column, agrees: Column, rows: Column, spread: Column, width: Column) -> Column:

@@ -701,11 +701,18 @@ def t18(spark, d):
     return Y.pulse_window(events(spark, d).select(F.col("user_id").alias("record_id"), (F.col("i") - 1).alias("x"), c.alias("c")))
 
 
+def _rounded(x, places):
+    """x as the twins round it, by multiplying: F.round() goes by the decimal digits, which differ where a product ends in a half."""
+    scaled = F.col(x) * 10.0**places
+    return F.when(F.abs(scaled) < 2.0**52, F.round(scaled) / 10.0**places).otherwise(F.col(x))
+
+
 @query("t22_reconcile_scale", f"WITH {E_SQL}, p AS (SELECT user_id, i, x, (8.0 / (x / 50)) AS ratio FROM e), c AS (SELECT *, abs(ratio - 1) <= 0.15 AS agrees FROM p) SELECT user_id, i, round(ratio, 6) AS ratio, agrees, (i % 9 >= 5 AND x / 5000 <= 0.08 AND NOT agrees) AS applied, round(CASE WHEN i % 9 >= 5 AND x / 5000 <= 0.08 AND NOT agrees THEN ratio ELSE 1.0 END, 6) AS gain FROM c")
 def t22(spark, d):
-    e = events(spark, d).withColumn("s", Y.reconcile(F.col("x") / 5, F.lit(8.0)))
+    # as the twin divides: x / 5 / 10 is not x / 50 in the last place
+    e = events(spark, d).withColumn("s", Y.agreement(F.col("x") / 50, F.lit(8.0)))
     e = e.withColumn("c", Y.correction(F.col("x") / 5, F.col("s.ratio"), F.col("s.agrees"), F.col("i") % 9, F.col("x") / 5000, F.lit(2000.0)))
-    return e.select("user_id", "i", F.round("s.ratio", 6).alias("ratio"), "s.agrees", "c.applied", F.round("c.gain", 6).alias("gain"))
+    return e.select("user_id", "i", _rounded("s.ratio", 6).alias("ratio"), "s.agrees", "c.applied", _rounded("c.gain", 6).alias("gain"))
 
 
 @query("t34_seconds_per_pixel", f"WITH {E_SQL}, m AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY user_id) AS med FROM e) SELECT user_id, round(2.5 / avg(x), 9) AS sec_px FROM m WHERE x < 2 * med GROUP BY user_id")

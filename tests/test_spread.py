@@ -112,6 +112,21 @@ def test_reconcile_of_zero_values_is_that_of_the_twin(spark, duck, tmp_path):
         assert got[c].tolist() == want[c].tolist()
 
 
+def test_reconcile_of_uneven_values_is_that_of_the_twin(spark, duck, tmp_path):
+    """Zeros of both signs, and values whose ratio lies near the half of a last place."""
+    path = str(tmp_path)
+    near = "40000 / (4.0 + (event_id * 7919 % 2000000) / 2000000.0)"
+    value = f"CASE event_id % 4 WHEN 0 THEN CAST('-0.0' AS DOUBLE) WHEN 1 THEN 1 / (1.0 + event_id) WHEN 2 THEN {near} ELSE value END"
+    duck.sql(f"COPY (SELECT user_id, ts, event_type, event_id + 10000 * k AS event_id, {value.replace('event_id', '(event_id + 10000 * k)')} AS value FROM events, (SELECT unnest(range(50)) AS k)) TO '{path}/events.parquet'")
+    want = duck.sql(SQL["t22_reconcile_scale"].replace("FROM events", f"FROM '{path}/events.parquet'")).df()
+    got = QUERIES["t22_reconcile_scale"](spark, path).toPandas()
+    key = ["user_id", "i"]
+    got, want = got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True)
+    assert want["ratio"].min() == -math.inf
+    for c in want.columns:
+        assert got[c].tolist() == want[c].tolist()
+
+
 def test_traces_are_filled_without_a_join(spark):
     rows = [("a", x, y, 1) for x, y in [(2, 10.0), (3, 12.0), (7, 20.0)]]
     clusters = spark.createDataFrame(rows, "record_id string, x int, centre double, thickness int")
