@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import delineate as D
 from pulsegrid.operators import layout as Y
+from pulsegrid.operators import pixels as P
 from pulsegrid.plans.queries import QUERIES, SQL, errors, page, signals, users
 from pulsegrid.sources import synthetic
 from pulsegrid.tables import materialise
@@ -169,3 +170,31 @@ def test_tasks_are_as_many_as_samples_need(spark, data, monkeypatch, name, made)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert parts == math.ceil(users(spark, data).count() * made / 1_000) > 2
+
+
+def test_pages_of_a_grid_are_not_shuffled(spark, data, monkeypatch):
+    """However large: only users are dealt, and no table is written between the steps."""
+    monkeypatch.setattr(synthetic, "PART_ROWS", 20_000)
+    monkeypatch.setattr(P, "materialise", None, raising=False)
+    found = dealt(QUERIES["i11_grid_presence"](spark, data))
+    assert found and not [block for block in found if re.search(r"\b(gray|v|u|re|im|power)#", block)]
+
+
+def test_taps_of_pages_are_those_of_the_target_places(spark):
+    """Sizes up, down and equal, one column and one row: each target place takes its own taps."""
+    for kind, reach in (("linear", (0, 1)), ("cubic", (-1, 0, 1, 2))):
+        for (w, h), (tw, th) in (((5, 3), (11, 7)), ((11, 7), (4, 3)), ((6, 6), (6, 6)), ((1, 4), (3, 1)), ((9, 1), (2, 5))):
+            value = {(x, y): (x * 7 + y * 13 + x * y) % 17 for x in range(w) for y in range(h)}
+            pixels = spark.createDataFrame([(1, x, y, v) for (x, y), v in value.items()], "record_id long, x int, y int, gray int")
+            sizes = spark.createDataFrame([(1, w, h, tw, th)], "record_id long, width int, height int, to_width int, to_height int")
+
+            def taps(t, n, to):
+                c = (t + 0.5) * (n / to) - 0.5
+                cubic = lambda d: ((1.25 * d - 2.25) * d) * d + 1 if d <= 1 else ((-0.75 * d + 3.75) * d - 6) * d + 3 if d < 2 else 0.0
+                for k in reach:
+                    d = abs(c - (math.floor(c) + k))
+                    yield max(0, min(n - 1, math.floor(c) + k)), 1 - d if kind == "linear" else cubic(d)
+
+            want = {(x, y): sum(value[s, r] * a * b for s, a in taps(x, w, tw) for r, b in taps(y, h, th)) for x in range(tw) for y in range(th)}
+            got = {(r.x, r.y): r.gray for r in P.sampled(pixels, sizes, "gray", kind).collect()}
+            assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
