@@ -197,3 +197,9 @@ def test_taps_of_pages_are_those_of_the_target_places(spark):
             want = {(x, y): sum(value[s, r] * a * b for s, a in taps(x, w, tw) for r, b in taps(y, h, th)) for x in range(tw) for y in range(th)}
             got = {(r.x, r.y): r.gray for r in P.sampled(pixels, sizes, "gray", kind).collect()}
             assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("name", ["b6_best_shift", "b7_family"])
+def test_beats_are_not_shuffled(spark, data, monkeypatch, name):
+    """As samples: beats are brought into line where they lie."""
+    test_samples_are_not_shuffled(spark, data, monkeypatch, name)
