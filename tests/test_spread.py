@@ -203,3 +203,7 @@ def test_taps_of_pages_are_those_of_the_target_places(spark):
 def test_beats_are_not_shuffled(spark, data, monkeypatch, name):
     """As samples: beats are brought into line where they lie."""
     test_samples_are_not_shuffled(spark, data, monkeypatch, name)
+
+
+def test_leads_are_not_shuffled_to_the_strongest(spark, data, monkeypatch):
+    test_samples_are_not_shuffled(spark, data, monkeypatch, "b9_energy_shift")
