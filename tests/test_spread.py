@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import beats as B
 from pulsegrid.operators import delineate as D
 from pulsegrid.operators import layout as Y
 from pulsegrid.operators import pixels as P
@@ -207,3 +208,21 @@ def test_beats_are_not_shuffled(spark, data, monkeypatch, name):
 
 def test_leads_are_not_shuffled_to_the_strongest(spark, data, monkeypatch):
     test_samples_are_not_shuffled(spark, data, monkeypatch, "b9_energy_shift")
+
+
+def test_signals_stay_where_they_lie_until_the_anchor_is_cut(spark, data, monkeypatch):
+    """Of eight leads none is shuffled before the anchor's stretch is written."""
+    plans = []
+    monkeypatch.setattr(synthetic, "PART_ROWS", 1_000)
+    monkeypatch.setattr(B, "materialise", lambda df, *_, **__: plans.append(dealt(df)) or df)
+    monkeypatch.setattr(B, "refined", lambda lead, *_: lead)
+    monkeypatch.setattr(B, "complexes", lambda lead, *_: lead)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        B.anchor_peaks(signals(spark, data), 250)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(plans) == 1 and plans[0] and not [block for block in plans[0] if re.search(r"\b(mv|i)#", block)]
